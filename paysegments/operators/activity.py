@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from paysegments.config import SegmentConfig, slug
 from paysegments.functions.dates import days_until, month_start, months_between_starts, paid_date
 from paysegments.functions.numeric import ratio
-from paysegments.operators.filters import eligible, in_window, per_company_in_segment
+from paysegments.operators.filters import SegmentScope, eligible, in_window, segment_scope
 
 
-def recency(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig) -> DataFrame:
+def recency(
+    payments: DataFrame, segments: DataFrame | SegmentScope, cfg: SegmentConfig
+) -> DataFrame:
     """Days from the first and last payment in the window to the anchor date."""
 
     def first_and_last(rows: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def recency(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig) -> Dat
         )
 
     rows = in_window(eligible(payments, cfg), cfg)
-    dates = per_company_in_segment(rows, segments, cfg, first_and_last)
+    dates = segment_scope(segments, cfg).summarise(rows, first_and_last)
     return with_days_since(dates, cfg).drop("first_date", "last_date")
 
 
@@ -35,7 +37,10 @@ def with_days_since(dates: DataFrame, cfg: SegmentConfig) -> DataFrame:
 
 
 def monthly_activity(
-    payments: DataFrame, segments: DataFrame, cfg: SegmentConfig, by_type: bool = False
+    payments: DataFrame,
+    segments: DataFrame | SegmentScope,
+    cfg: SegmentConfig,
+    by_type: bool = False,
 ) -> DataFrame:
     """Amount and distinct payments per company and month (and payment type)."""
     keys = ["company_id", "month"] + (["payment_type"] if by_type else [])
@@ -51,7 +56,7 @@ def monthly_activity(
         )
 
     rows = in_window(eligible(payments, cfg), cfg)
-    return per_company_in_segment(rows, segments, cfg, monthly).select(
+    return segment_scope(segments, cfg).summarise(rows, monthly).select(
         *keys,
         F.lit(cfg.segment).alias("segment"),
         "sum_monthly_payments",

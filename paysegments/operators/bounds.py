@@ -1,17 +1,24 @@
 """Lower bounds that rule out medoid candidates without scoring them.
 
-The points are summed up in a fixed number of grid cells. For every candidate a
-bound on its score follows from the cells alone:
-
-* Distance sums: distance is convex, so a cell's points are together at least
-  as far from a candidate as ``weight`` times the cell's mean is.
-* Swaps: a point gains at most what its distance to the remaining medoids
-  exceeds its distance to the candidate. Over a cell this is bounded from the
-  cell's box and from its mean, whichever is less.
-
-A candidate whose bound is above the best score found can be left out. The
-result stays exact; only the number of candidates scored depends on the data.
-The pruning idea follows published work on exact medoid search (Newling and
+A fixed number of centres is taken from the candidates, and one pass over the
+points describes each centre p exactly. For a candidate h = p + v near it a bound
+follows, because the distance to a point is convex in h and so lies above its
+tangent at p:
+
+    d(o, h) >= d(o, p) + v . (p - o) / d(o, p)
+
+* Distance sums: add the tangents of the cluster's points.
+* Swaps: a point gains max(0, reach - d(o, h)), its reach being the distance to
+  the nearest medoid that remains. Points whose reach ends within a radius
+  around p are added up for v = 0 and for the whole radius, with the chord in
+  between; for the others the tangent says all. Candidates outside the radius
+  get no bound from this set of centres.
+
+What a bound gives away shrinks with the square of the distance to the centre,
+so new centres among the candidates that remain soon separate them. A candidate
+whose bound is above the best score found cannot win. The result stays exact;
+only the number of candidates scored depends on the data. The idea of pruning
+with known scores follows published work on exact medoid search (Newling and
 Fleuret, "A sub-quadratic exact medoid algorithm", 2017).
 """
 
@@ -22,149 +29,186 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paysegments.functions.numeric import distance
+from paysegments.functions.shipping import ship_by_value
 from paysegments.operators.scoring import blocks, distances, nearest
 
-# Grid cells at most, over all columns together; a cell counts once per medoid.
-CELLS = 1024
+ship_by_value(__name__)
 
+# Centres described in one pass.
+CENTRES = 4096
 
-def grid(sites: DataFrame, cols: Sequence[str], cells: int = CELLS) -> Column:
-    """Cell number from approximate quantiles; any edges give valid bounds."""
-    bins = max(2, int(cells ** (1 / len(cols)) + 1e-9))
-    probs = [i / bins for i in range(1, bins)]
-    edges = sites.agg(*[F.percentile_approx(c, probs, 1000).alias(c) for c in cols]).first()
-    number = F.lit(0)
-    for c in cols:
-        above = [F.when(F.col(c) > F.lit(e), 1).otherwise(0) for e in sorted(set(edges[c]))]
-        number = number * bins + sum(above[1:], above[0])
-    return number
+
+@dataclass(frozen=True)
+class Centres:
+    points: np.ndarray
+    radius: float
 
 
 @dataclass(frozen=True)
-class Cells:
-    """Per cell and label: weight, mean, box, and the reach of its points."""
-
-    label: np.ndarray
-    weight: np.ndarray
-    mean: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    # Distance to the nearest (0) and second nearest (1) medoid: sum, least, most.
-    reach: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]
-
-    def member(self, k: int) -> np.ndarray:
-        return (self.label[:, None] == np.arange(k)).astype(float)
-
-
-def summarise_cells(
-    sites: DataFrame, cols: Sequence[str], cell: Column, medoids: np.ndarray
-) -> Cells:
-    """One aggregate; its result has at most CELLS rows per medoid."""
-    found = F.array(*[distance(cols, m) for m in medoids])
-    rounded = F.transform(found, lambda d: F.round(d, 9))
-    ordered = F.array_sort(found)
-    keyed = sites.select(
-        "weight",
-        *cols,
-        cell.alias("cell"),
-        (F.array_position(rounded, F.array_min(rounded)) - 1).alias("label"),
-        F.get(ordered, F.lit(0)).alias("near"),
-        F.get(ordered, F.lit(min(1, len(medoids) - 1))).alias("second"),
-    )
-    rows = (
-        keyed.groupBy("cell", "label")
-        .agg(
-            F.sum("weight"),
-            *[F.sum(F.col("weight") * F.col(c)) / F.sum("weight") for c in cols],
-            *[F.min(c) for c in cols],
-            *[F.max(c) for c in cols],
-            *[
-                s
-                for r in ("near", "second")
-                for s in (F.sum(F.col("weight") * F.col(r)), F.min(r), F.max(r))
-            ],
+class Tangents:
+    """What is known at each centre, by reach, centre and medoid.
+
+    The last axis holds: the sum over points that are certainly reached, the
+    same for the points in doubt at v = 0 and at the whole radius, the slope.
+    ``price`` is what losing each medoid costs before any gain.
+    """
+
+    values: np.ndarray
+    price: np.ndarray
+
+
+def choose_centres(candidates: DataFrame, cols: Sequence[str], n: int, swap: bool) -> Centres:
+    """Candidates in hash order; any choice of points and radius gives valid bounds."""
+    table = candidates.orderBy(F.xxhash64("id"), "id").limit(n).select(*cols).toArrow()
+    points = np.column_stack([table[c].to_numpy() for c in cols])
+    if not swap or len(points) < 2:
+        return Centres(points, np.inf)
+    # Most candidates are about as near to a centre as centres are to each other.
+    gaps = [
+        np.partition(distances(points[at : at + 16], points), 1, axis=1)[:, 1]
+        for at in range(0, len(points), 16)
+    ]
+    return Centres(points, float(np.quantile(np.concatenate(gaps), 0.7)) + 1e-12)
+
+
+def _at_centres(
+    x: np.ndarray, weight: np.ndarray, to_medoids: np.ndarray, at: Centres, swap: bool
+) -> np.ndarray:
+    """Contribution of some points to ``Tangents.values``, as reach, medoid, centre, value."""
+    label, near, second = nearest(to_medoids)
+    member = (label == np.arange(to_medoids.shape[1])[:, None]) * weight
+    d = distances(x, at.points)
+    inverse = 1 / np.where(d > 0, d, np.inf)
+    parts = []
+    for reach in (near, second) if swap else (np.zeros(len(x)),):
+        over = reach[:, None] - d
+        radius = at.radius if swap else 0.0
+        sure = over >= radius if swap else np.ones_like(d, dtype=bool)
+        doubt = ~sure & (over > -radius)
+        pull = sure * inverse
+        parts.append(
+            np.stack(
+                [
+                    member @ (over * sure),
+                    member @ (np.maximum(over, 0) * doubt),
+                    member @ ((over + radius) * doubt),
+                    *[
+                        (member * x[:, j]) @ pull - (member @ pull) * at.points[:, j]
+                        for j in range(x.shape[1])
+                    ],
+                ],
+                axis=-1,
+            )
         )
-        .drop("cell")
-        .collect()
-    )
-    table = np.array([tuple(r) for r in rows], dtype=float)
-    d = len(cols)
-    mean, low, high = (table[:, 2 + i * d : 2 + (i + 1) * d] for i in range(3))
-    tail = table[:, 2 + 3 * d :].T
-    return Cells(
-        table[:, 0].astype(int), table[:, 1], mean, low, high, (tuple(tail[:3]), tuple(tail[3:]))
-    )
+    return np.stack(parts)
 
 
-def within_bound(x: np.ndarray, cells: Cells, medoids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cluster of each candidate, and a bound on its distance sum within it."""
-    slot = nearest(distances(x, medoids))[0]
-    sums = distances(x, cells.mean) @ (cells.member(len(medoids)) * cells.weight[:, None])
-    return slot, sums[np.arange(len(x)), slot]
+def tangents(
+    sites: DataFrame, cols: Sequence[str], at: Centres, medoids: np.ndarray, swap: bool
+) -> Tangents:
+    """One pass over the points; each task returns one row per centre and medoid."""
+    names, k, width = list(cols), len(medoids), 3 + len(cols)
+    reaches = 2 if swap else 1
+    value_names = [f"v{i}" for i in range(reaches * width)]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, price, seen = 0.0, 0.0, False
+        for part, x in blocks(batches, names, len(at.points)):
+            weight = part.column("weight").to_numpy(zero_copy_only=False)
+            to_medoids = distances(x, medoids)
+            total = total + _at_centres(x, weight, to_medoids, at, swap)
+            label, near, second = nearest(to_medoids)
+            price = price + np.bincount(label, weight * (second - near) if swap else 0 * near, k)
+            seen = True
+        if seen:
+            flat = np.moveaxis(total, 0, 2).reshape(k * len(at.points), -1)
+            columns = [
+                pa.array(np.arange(k).repeat(len(at.points)), pa.int32()),
+                pa.array(np.tile(np.arange(len(at.points)), k), pa.int32()),
+                pa.array(price.repeat(len(at.points)), pa.float64()),
+                *[pa.array(v, pa.float64()) for v in flat.T],
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["slot", "centre", "price", *value_names])
+
+    schema = "slot int, centre int, " + ", ".join(f"{n} double" for n in ["price", *value_names])
+    table = (
+        sites.select("weight", *cols)
+        .mapInArrow(task, schema)
+        .groupBy("slot", "centre")
+        .agg(*[F.sum(n).alias(n) for n in ["price", *value_names]])
+        .orderBy("slot", "centre")
+        .toArrow()  # CENTRES rows per medoid at most
+    )
+    found = np.column_stack([table[n].to_numpy() for n in value_names])
+    values = found.reshape(k, len(at.points), reaches, width).transpose(2, 1, 0, 3)
+    return Tangents(values, table["price"].to_numpy().reshape(k, -1)[:, 0])
 
 
-def _most_gained(
-    t: np.ndarray, low: np.ndarray, high: np.ndarray, weight: np.ndarray, reach: tuple
+def bound(
+    x: np.ndarray, at: Centres, known: Tangents, own: np.ndarray | None
 ) -> np.ndarray:
-    """Upper bound on the sum of max(0, reach - distance) over each cell's points.
+    """Bound on the score of candidates ``x``, -inf where there is none.
 
-    ``t`` is the distance to the mean, ``low`` and ``high`` the least and most
-    possible distance to the box. A sum of hinges in the distance is convex, so
-    it lies below the chord between the least and the greatest reach.
+    With ``own`` (each candidate's cluster) on its distance sum there, else on
+    the best change of the loss a swap with it can bring.
     """
-    total, least, most = reach
-    width = np.maximum(most - least, 1e-300)
-    part = np.clip((low - least) / width, 0.0, 1.0)
-    by_box = np.where(low <= least, total - weight * low, (1 - part) * (total - weight * least))
-    part = np.clip((high - least) / width, 0.0, 1.0)
-    missed = np.where(high >= most, weight * high - total, part * (weight * most - total))
-    return np.maximum(np.minimum(by_box, total - weight * t + np.maximum(missed, 0.0)), 0.0)
-
-
-def swap_bound(x: np.ndarray, cells: Cells, k: int) -> np.ndarray:
-    """Bound on the best change of the loss each candidate can bring by a swap."""
-    t = distances(x, cells.mean)
-    low, high = np.zeros_like(t), np.zeros_like(t)
-    for j in range(x.shape[1]):
-        under = cells.low[None, :, j] - x[:, j, None]
-        over = x[:, j, None] - cells.high[None, :, j]
-        low += np.maximum(np.maximum(under, over), 0.0) ** 2
-        high += np.maximum(np.abs(under), np.abs(over)) ** 2
-    low, high = np.sqrt(low), np.sqrt(high)
-    kept = _most_gained(t, low, high, cells.weight, cells.reach[0])
-    freed = _most_gained(t, low, high, cells.weight, cells.reach[1])
-    member = cells.member(k)
-    price = (cells.reach[1][0] - cells.reach[0][0]) @ member
-    gain = kept.sum(axis=1)[:, None] + (freed - kept) @ member
-    return (price - gain).min(axis=1)
+    to_centres = distances(x, at.points)
+    centre = to_centres.argmin(axis=1)
+    away = to_centres[np.arange(len(x)), centre]
+    v = x - at.points[centre]
+    values = known.values[:, centre]
+    sure = values[..., 0] + np.einsum("nd,rnkd->rnk", v, values[..., 3:])
+    if own is not None:
+        return -sure[0, np.arange(len(x)), own]
+    share = (away / at.radius)[:, None]
+    doubt = values[..., 1] + share * (values[..., 2] - values[..., 1])
+    kept, freed = np.maximum(sure + doubt, 0.0)
+    gain = kept.sum(axis=1, keepdims=True) - kept + freed
+    return np.where(away <= at.radius, (known.price - gain).min(axis=1), -np.inf)
 
 
 def candidate_bounds(
-    sites: DataFrame, cols: Sequence[str], cells: Cells, medoids: np.ndarray, swap: bool
+    candidates: DataFrame,
+    sites: DataFrame,
+    cols: Sequence[str],
+    medoids: np.ndarray,
+    swap: bool,
+    n_centres: int = CENTRES,
 ) -> DataFrame:
-    """Every site with the cluster it would serve and the bound on its score."""
+    """Every candidate with its cluster, the bound on its score, and its turn.
+
+    A bound known from earlier centres is kept where it is the closer one. Turns
+    follow the bounds, with candidates that have none at the end.
+    """
     names = list(cols)
+    at = choose_centres(candidates, cols, n_centres, swap)
+    known = tangents(sites, cols, at, medoids, swap)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, x in blocks(batches, names, len(cells.label)):
-            if swap:
-                slot = np.zeros(len(x))
-                bound = swap_bound(x, cells, len(medoids))
-            else:
-                slot, bound = within_bound(x, cells, medoids)
+        for part, x in blocks(batches, names, len(at.points)):
+            own = None if swap else nearest(distances(x, medoids))[0]
+            earlier = part.column("bound").to_numpy(zero_copy_only=False)
+            least = np.maximum(bound(x, at, known, own), earlier)
+            slot = np.zeros(len(x), dtype=np.int32) if own is None else own
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
+                    part.column("weight"),
                     *[part.column(c) for c in names],
-                    pa.array(slot, pa.float64()).cast(pa.int32()),
-                    pa.array(bound, pa.float64()),
+                    pa.array(slot, pa.int32()),
+                    pa.array(least, pa.float64()),
                 ],
-                ["id", *names, "slot", "bound"],
+                ["id", "weight", *names, "slot", "bound"],
             )
 
-    schema = ", ".join(["id long", *[f"{c} double" for c in names], "slot int", "bound double"])
-    return sites.select("id", *cols).mapInArrow(task, schema)
+    if "bound" not in candidates.columns:
+        candidates = candidates.withColumn("bound", F.lit(-np.inf))
+    doubles = ", ".join(f"{c} double" for c in ("weight", *names))
+    bounded = candidates.select("id", "weight", *cols, "bound").mapInArrow(
+        task, f"id long, {doubles}, slot int, bound double"
+    )
+    unbounded = F.col("bound") == F.lit(-np.inf)
+    return bounded.withColumn("turn", F.when(unbounded, F.lit(np.inf)).otherwise(F.col("bound")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,22 +78,34 @@ def segment_payments(segments: DataFrame, payments: DataFrame, cfg: SegmentConfi
     return in_segment(segments, cfg).join(payments, "company_id")
 
 
-def per_company_in_segment(
-    payments: DataFrame,
-    segments: DataFrame,
-    cfg: SegmentConfig,
-    summarise: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """``summarise`` the payments of the segment's companies.
-
-    ``summarise`` has to group within ``company_id``, so the lookup can be
-    applied on either side of it. A segment counted to be small is broadcast and
-    drops foreign payments before any shuffle. A larger one is joined to the
-    summary: payments are never shuffled by company alone, where one company
-    could hold a third of them. The count takes repeated lookup rows too, so it
-    is an upper bound on the companies.
+@dataclass(frozen=True)
+class SegmentScope:
+    """The companies of the segment, and whether they are few enough to broadcast."""
+
+    members: DataFrame
+    small: bool
+
+    def summarise(self, payments: DataFrame, summary: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``summary`` of the payments of the segment's companies.
+
+        ``summary`` has to group within ``company_id``, so the lookup can be
+        applied on either side of it. A small segment is broadcast and drops
+        foreign payments before any shuffle. A larger one is joined to the
+        summary: payments are never shuffled by company alone, where one company
+        could hold a third of them.
+        """
+        if self.small:
+            return summary(payments.join(F.broadcast(self.members), "company_id", "left_semi"))
+        return summary(payments).join(self.members, "company_id", "left_semi")
+
+
+def segment_scope(segments: DataFrame | SegmentScope, cfg: SegmentConfig) -> SegmentScope:
+    """Count the segment once; queries with several parts hand the scope on.
+
+    The count takes repeated lookup rows too, so it is an upper bound on the
+    companies that would be broadcast.
     """
-    members = segment_members(segments, cfg)
-    if in_segment(segments, cfg).count() <= cfg.broadcast_companies:
-        return summarise(payments.join(F.broadcast(members), "company_id", "left_semi"))
-    return summarise(payments).join(members, "company_id", "left_semi")
+    if isinstance(segments, SegmentScope):
+        return segments
+    listed = in_segment(segments, cfg).count()
+    return SegmentScope(segment_members(segments, cfg), listed <= cfg.broadcast_companies)

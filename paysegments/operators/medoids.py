@@ -16,17 +16,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paysegments.functions.lineage import materialise
 from paysegments.functions.numeric import distance
 from paysegments.operators import bounds
 from paysegments.operators.scoring import score
-from paysegments.operators.stats import moments, require_complete
+from paysegments.operators.stats import require_complete
 
 # Candidates scored per pass, and so the most rows the driver ever holds.
 BATCH = 8192
@@ -80,6 +80,18 @@ def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum("distance").alias("loss"))
 
 
+@dataclass(frozen=True)
+class Batch:
+    """Candidates on the driver: site ids, their points and their numbers of copies."""
+
+    ids: np.ndarray
+    points: np.ndarray
+    weights: np.ndarray
+
+    def point(self, id_: int) -> tuple[float, ...]:
+        return tuple(self.points[self.ids == id_][0].tolist())
+
+
 class PointSpace:
     """The points a fit works on, and the candidates it chooses from.
 
@@ -89,58 +101,100 @@ class PointSpace:
     """
 
     def __init__(
-        self, df: DataFrame, cols: Sequence[str], key: str = "company_id", batch: int = BATCH
+        self,
+        df: DataFrame,
+        cols: Sequence[str],
+        key: str = "company_id",
+        batch: int = BATCH,
+        centres: int = bounds.CENTRES,
     ):
-        known = moments(df, cols)
-        require_complete(known, cols)
-        self.rows, self.cols, self.key, self.batch = df, list(cols), key, batch
-        self.n = known["__rows"]["n"]
+        self.rows, self.cols, self.key = df, list(cols), key
+        self.batch, self.centres = batch, centres
         merged = df.groupBy(*cols).agg(
             F.min(key).alias("id"), F.count(F.lit(1)).cast("double").alias("weight")
         )
-        shares = df.sparkSession.sparkContext.defaultParallelism
-        self.sites = materialise(merged.repartition(shares, "id"))
-        first = self.sites.orderBy("id").limit(batch + 1).collect()
+        self.sites = materialise(merged.repartition(_shares(df), "id"))
+        found = self.sites.agg(
+            F.count("id").alias("sites"),
+            F.sum("weight").alias("rows"),
+            *[F.sum(F.when(F.col(c).isNull(), F.col("weight"))).alias(c) for c in cols],
+        ).first()
+        self.n = int(found["rows"] or 0)
+        require_complete(self.n, {c: int(found[c] or 0) for c in cols})
+        self.n_sites = found["sites"]
         # All candidates, if they fit in one batch.
-        self.few = first if len(first) <= batch else None
-        self._cell: Column | None = None
+        self.few = self._collected(self.sites.toArrow()) if self.n_sites <= batch else None
 
-    def point(self, row: Row) -> tuple[float, ...]:
-        return tuple(row[c] for c in self.cols)
+    def _collected(self, table) -> Batch:
+        points = np.column_stack([table[c].to_numpy() for c in self.cols])
+        return Batch(table["id"].to_numpy(), points, table["weight"].to_numpy())
 
-    def scored(self, fits: Sequence[np.ndarray], candidates: Sequence[Row], swap: bool):
-        points = np.array([self.point(r) for r in candidates], dtype=float)
-        totals = score(self.sites, self.cols, fits, [r["id"] for r in candidates], points, swap)
+    def scored(self, fits: Sequence[np.ndarray], candidates: Batch, swap: bool) -> DataFrame:
+        totals = score(self.sites, self.cols, fits, candidates.ids, candidates.points, swap)
         return totals.withColumn("total", F.round("total", 9))
 
-    def bounded(self, medoids: np.ndarray, swap: bool) -> DataFrame:
-        if self._cell is None:
-            self._cell = bounds.grid(self.sites, self.cols)
-        cells = bounds.summarise_cells(self.sites, self.cols, self._cell, medoids)
-        found = bounds.candidate_bounds(self.sites, self.cols, cells, medoids, swap)
-        return materialise(found)
+    def batches(
+        self, medoids: np.ndarray, swap: bool, still_open: Callable[[Column], Column]
+    ) -> Iterator[Batch]:
+        """Candidates, most promising first, until none is left that could win.
 
-    def in_order(
-        self, bounded: DataFrame, still_open: Callable[[Column], Column]
-    ) -> Iterator[list[Row]]:
-        """Batches by rising bound, until no candidate is left that could win.
-
-        ``still_open`` is asked anew for each batch, with a bound loosened by
-        more than the rounding of the sums it is compared with.
+        ``still_open`` tells which bounds leave a chance; it is asked anew after
+        each batch. While there are many open candidates, the best batch of them
+        is scored and the rest get new, closer bounds. Describing centres costs
+        a few times what scoring as many candidates does, so little is left
+        unscored only while it pays.
         """
-        loose = F.col("bound") - F.lit(1e-9) * (F.abs(F.col("bound")) + 1)
-        after: Row | None = None
+        if self.few is not None:
+            yield self.few
+            return
+        many = 4 * max(self.batch, self.centres)
+        left, n_left = self.sites, self.n_sites
+        while True:
+            if n_left > many:
+                bounded = materialise(
+                    bounds.candidate_bounds(
+                        left, self.sites, self.cols, medoids, swap, self.centres
+                    )
+                )
+            else:
+                nothing = {"slot": F.lit(0), "bound": F.lit(-np.inf), "turn": F.lit(np.inf)}
+                bounded = left.withColumns(nothing) if "bound" not in left.columns else left
+            for batch, after in self._in_turn(bounded, still_open):
+                yield batch
+                if n_left > many:
+                    rest = bounded.where(after & _loosely(still_open))
+                    n_rest, n_before = rest.count(), n_left
+                    left, n_left = rest, n_rest if n_rest < 0.9 * n_before else many
+                    break
+            else:
+                return
+
+    def _in_turn(
+        self, bounded: DataFrame, still_open: Callable[[Column], Column]
+    ) -> Iterator[tuple[Batch, Column]]:
+        """Batches with the condition for the candidates after them."""
+        after = F.lit(True)
         while True:
-            left = bounded.where(still_open(loose))
-            if after is not None:
-                bound, last = F.lit(after["bound"]), F.lit(after["id"])
-                same = (F.col("bound") == bound) & (F.col("id") > last)
-                left = left.where((F.col("bound") > bound) | same)
-            rows = left.orderBy("bound", "id").limit(self.batch).collect()
-            if not rows:
+            open_ = bounded.where(after & _loosely(still_open))
+            table = open_.orderBy("turn", "id").limit(self.batch).toArrow()
+            if not table.num_rows:
                 return
-            yield rows
-            after = rows[-1]
+            last = table.slice(table.num_rows - 1).to_pylist()[0]
+            turn, id_ = F.lit(last["turn"]), F.lit(last["id"])
+            after = (F.col("turn") > turn) | ((F.col("turn") == turn) & (F.col("id") > id_))
+            yield self._collected(table), after
+
+
+def _loosely(still_open: Callable[[Column], Column]) -> Column:
+    """Bounds lowered by more than the rounding of the sums they are compared with."""
+    return still_open(F.col("bound") - F.lit(1e-9) * (F.abs(F.col("bound")) + 1))
+
+
+def _shares(df: DataFrame) -> int:
+    """Tasks of a pass: all cores, or as many as shuffles are set to use if more."""
+    session = df.sparkSession
+    shuffle = int(session.conf.get("spark.sql.shuffle.partitions"))
+    return max(session.sparkContext.defaultParallelism, shuffle)
 
 
 def points_of(medoids: Medoids) -> np.ndarray:
@@ -153,16 +207,18 @@ def ranked_by_total(space: PointSpace, k: int) -> list[tuple[float, Medoid]]:
         raise ValueError(f"k = {k} medoids asked of {space.n} rows")
     # With any single medoid there is one cluster, so its sums are over all points.
     one = np.zeros((1, len(space.cols)))
-    best: list[tuple[float, int, tuple[float, ...]]] = []
+    best: list[tuple[float, int, tuple[float, ...], float]] = []
 
     def still_open(bound: Column) -> Column:
         return bound <= F.lit(best[-1][0]) if len(best) == k else F.lit(True)
 
-    batches = [space.few] if space.few else space.in_order(space.bounded(one, False), still_open)
-    for batch in batches:
-        at = {r["id"]: space.point(r) for r in batch}
+    for batch in space.batches(one, False, still_open):
         top = space.scored([one], batch, False).orderBy("total", "id").limit(k).collect()
-        best = sorted(best + [(r["total"], r["id"], at[r["id"]]) for r in top])[:k]
+        weight = dict(zip(batch.ids.tolist(), batch.weights.tolist()))
+        found = [(r["total"], r["id"], batch.point(r["id"]), weight[r["id"]]) for r in top]
+        best = sorted(best + found)[:k]
+    if all(weight == 1 for *_, weight in best):
+        return [(total, Medoid(id_, id_, point)) for total, id_, point, _ in best]
     return _with_copies(space, best, k)
 
 
@@ -170,9 +226,9 @@ def _with_copies(space: PointSpace, best: list, k: int) -> list[tuple[float, Med
     """Rows at the best points, each copy a row of its own."""
     total = F.lit(None).cast("double")
     site = F.lit(None).cast("bigint")
-    for value, id_, point in best:
+    for value, id_, point, _ in best:
         here = reduce(
-            lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(space.cols, point)]
+            and_, [F.col(c) == F.lit(v) for c, v in zip(space.cols, point)]
         )
         total, site = F.when(here, F.lit(value)).otherwise(total), F.when(here, id_).otherwise(site)
     rows = (
@@ -182,7 +238,7 @@ def _with_copies(space: PointSpace, best: list, k: int) -> list[tuple[float, Med
         .limit(k)
         .collect()
     )
-    at = {id_: point for _, id_, point in best}
+    at = {id_: point for _, id_, point, _ in best}
     return [(r["total"], Medoid(r["id"], r["site"], at[r["site"]])) for r in rows]
 
 
@@ -190,7 +246,7 @@ def _with_copies(space: PointSpace, best: list, k: int) -> list[tuple[float, Med
 
 
 def _best_within(
-    space: PointSpace, fits: Sequence[Medoids], candidates: Sequence[Row]
+    space: PointSpace, fits: Sequence[Medoids], candidates: Batch
 ) -> dict[tuple[int, int], tuple[float, bool, int]]:
     """Best candidate per fit and cluster: (sum, whether it is a new one, id)."""
     stays = reduce(
@@ -207,16 +263,17 @@ def _best_within(
 
 def _recentred(space: PointSpace, fits: Sequence[Medoids]) -> list[Medoids]:
     """Each cluster's medoid replaced where another member has a lesser sum."""
-    if space.few:
-        best = _best_within(space, fits, space.few)
-        at = {r["id"]: space.point(r) for r in space.few}
-        return [_moved(ms, f, best, at) for f, ms in enumerate(fits)]
-    return [_recentred_large(space, ms) for ms in fits]
+    if space.few is None:
+        return [_recentred_large(space, ms) for ms in fits]
+    best = _best_within(space, fits, space.few)
+    at = {id_: space.few.point(id_) for _, new, id_ in best.values() if new}
+    return [_moved(ms, f, best, at) for f, ms in enumerate(fits)]
 
 
 def _recentred_large(space: PointSpace, medoids: Medoids) -> Medoids:
-    current = [Row(id=m.site, **dict(zip(space.cols, m.point))) for m in medoids]
-    best = _best_within(space, [medoids], list({r["id"]: r for r in current}.values()))
+    current = {m.site: m.point for m in medoids}
+    present = Batch(np.array(list(current)), np.array(list(current.values())), np.ones(len(current)))
+    best = _best_within(space, [medoids], present)
     at: dict[int, tuple[float, ...]] = {}
 
     def still_open(bound: Column) -> Column:
@@ -224,11 +281,11 @@ def _recentred_large(space: PointSpace, medoids: Medoids) -> Medoids:
             or_, [(F.col("slot") == s) & (bound <= F.lit(b[0])) for (_, s), b in best.items()]
         )
 
-    for batch in space.in_order(space.bounded(points_of(medoids), False), still_open):
-        at |= {r["id"]: space.point(r) for r in batch}
+    for batch in space.batches(points_of(medoids), False, still_open):
         for slot, found in _best_within(space, [medoids], batch).items():
-            best[slot] = min(best[slot], found)
-        at = {b[2]: at[b[2]] for b in best.values() if b[2] in at}
+            if found < best[slot]:
+                best[slot] = found
+                at[found[2]] = batch.point(found[2])
     return _moved(medoids, 0, best, at)
 
 
@@ -269,13 +326,11 @@ def _best_swap(space: PointSpace, medoids: Medoids) -> tuple[float, int, tuple,
         return bound <= F.lit(best[0] if best else -TOLERANCE)
 
     points = points_of(medoids)
-    batches = [space.few] if space.few else space.in_order(space.bounded(points, True), still_open)
-    for batch in batches:
+    for batch in space.batches(points, True, still_open):
         least = F.min(F.struct("total", "id", "slot"))
-        found = tuple(space.scored([points], batch, True).agg(least).first()[0])
-        if found[0] < -TOLERANCE and (best is None or found < (best[0], best[1], best[3])):
-            at = {r["id"]: space.point(r) for r in batch}
-            best = (found[0], found[1], at[found[1]], found[2])
+        total, id_, slot = space.scored([points], batch, True).agg(least).first()[0]
+        if total < -TOLERANCE and (best is None or (total, id_, slot) < (best[0], best[1], best[3])):
+            best = (total, id_, batch.point(id_), slot)
     return best
 
 
@@ -297,35 +352,37 @@ def pam(space: PointSpace, start: Medoids) -> Medoids:
 # --- entry points ----------------------------------------------------------------
 
 
-def init_medoids(df: DataFrame, cols: Sequence[str], k: int, batch: int = BATCH) -> Medoids:
+def init_medoids(df: DataFrame, cols: Sequence[str], k: int, **sizes: int) -> Medoids:
     """The starting medoids: the k rows with the least distance sum to all rows."""
-    return tuple(m for _, m in ranked_by_total(PointSpace(df, cols, batch=batch), k))
+    return tuple(m for _, m in ranked_by_total(PointSpace(df, cols, **sizes), k))
 
 
 def kmedoids(
-    df: DataFrame, cols: Sequence[str], k: int, method: str = "alternate", batch: int = BATCH
+    df: DataFrame, cols: Sequence[str], k: int, method: str = "alternate", **sizes: int
 ) -> Medoids:
-    """Fit k medoids; ``assign`` gives the labels and ``inertia`` the loss."""
-    space = PointSpace(df, cols, batch=batch)
+    """Fit k medoids; ``assign`` gives the labels and ``inertia`` the loss.
+
+    ``sizes`` are ``batch`` and ``centres`` of ``PointSpace``; they do not
+    change the result.
+    """
+    if method not in ("alternate", "pam"):
+        raise ValueError(f"no such method: {method}")
+    space = PointSpace(df, cols, **sizes)
     start = tuple(m for _, m in ranked_by_total(space, k))
-    if method == "alternate":
-        return alternate(space, {k: start})[k]
-    if method == "pam":
-        return pam(space, start)
-    raise ValueError(f"no such method: {method}")
+    return pam(space, start) if method == "pam" else alternate(space, {k: start})[k]
 
 
-def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int], batch: int = BATCH) -> DataFrame:
+def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int], **sizes: int) -> DataFrame:
     """Loss of the alternating method by number of clusters, one row per k."""
-    space = PointSpace(df, cols, batch=batch)
+    space = PointSpace(df, cols, **sizes)
     order = tuple(m for _, m in ranked_by_total(space, max(ks)))
     fits = alternate(space, {k: order[:k] for k in ks})
+
+    def loss(medoids: Medoids) -> Column:
+        nearest = F.array_min(F.array(*[distance(cols, m.point) for m in medoids]))
+        return F.sum(F.col("weight") * nearest)
+
     losses = [
-        F.struct(
-            F.lit(k).cast("bigint").alias("k"),
-            F.sum(F.col("weight") * F.array_min(F.array(*[distance(cols, m.point) for m in fits[k]])))
-            .alias("loss"),
-        )
-        for k in ks
+        F.struct(F.lit(k).cast("bigint").alias("k"), loss(fits[k]).alias("loss")) for k in ks
     ]
     return space.sites.agg(F.array(*losses).alias("fits")).select(F.inline("fits"))

@@ -13,8 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paysegments.functions.shipping import ship_by_value
+
+ship_by_value(__name__)
+
 # Point-candidate distances held at a time inside a task.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -67,7 +71,7 @@ def score(
     sites: DataFrame,
     cols: Sequence[str],
     fits: Sequence[np.ndarray],
-    ids: Sequence[int],
+    ids: np.ndarray,
     candidates: np.ndarray,
     swap: bool,
 ) -> DataFrame:
@@ -77,7 +81,6 @@ def score(
     gave way to the candidate. Else it is the distance sum over the candidate's
     own cluster, and ``slot`` is that cluster. Fits share the distances.
     """
-    ids = np.asarray(ids, dtype=np.int64)
     own = [nearest(distances(candidates, m))[0] for m in fits]
     task = _fold(list(cols), list(fits), ids, candidates, own, swap)
     read = sites.select("weight", *cols)

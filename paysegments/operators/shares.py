@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from paysegments.config import SegmentConfig, slug
 from paysegments.functions.numeric import ratio
-from paysegments.operators.filters import eligible, per_company_in_segment
+from paysegments.operators.filters import SegmentScope, eligible, segment_scope
 
 # Types marked per bit column; a bigint has 63 usable bits and one is kept back.
 _BITS = 62
@@ -53,12 +53,12 @@ def distinct_counts(rows: DataFrame, type_col: str, ids: Mapping[str, str]) -> D
     )
 
 
-def schedule_distincts(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig) -> DataFrame:
+def schedule_distincts(
+    payments: DataFrame, segments: DataFrame | SegmentScope, cfg: SegmentConfig
+) -> DataFrame:
     """Distinct schedules and payments by company and schedule type, over all dates."""
-    return per_company_in_segment(
+    return segment_scope(segments, cfg).summarise(
         eligible(payments, cfg),
-        segments,
-        cfg,
         lambda rows: distinct_counts(rows, "schedule_type", SCHEDULE_IDS),
     )
 
@@ -71,12 +71,12 @@ def schedule_shares(distincts: DataFrame) -> DataFrame:
     return distincts
 
 
-def type_shares(segments: DataFrame, payments: DataFrame, cfg: SegmentConfig) -> DataFrame:
+def type_shares(
+    segments: DataFrame | SegmentScope, payments: DataFrame, cfg: SegmentConfig
+) -> DataFrame:
     """Share of the company's payments under each payment type, over all dates."""
-    counts = per_company_in_segment(
+    counts = segment_scope(segments, cfg).summarise(
         eligible(payments, cfg),
-        segments,
-        cfg,
         lambda rows: distinct_counts(rows, "payment_type", {"payment": "payment_id"}),
     )
     return counts.select(
@@ -137,7 +137,7 @@ def typed_counts(
 
 def schedule_pivot(
     payments: DataFrame,
-    segments: DataFrame,
+    segments: DataFrame | SegmentScope,
     cfg: SegmentConfig,
     ids: Mapping[str, str] = SCHEDULE_IDS,
 ) -> DataFrame:
@@ -148,10 +148,8 @@ def schedule_pivot(
     types of "share if the type matches, else 0" would be.
     """
     types = [cfg.one_off, cfg.recurring]
-    counts = per_company_in_segment(
+    counts = segment_scope(segments, cfg).summarise(
         eligible(payments, cfg),
-        segments,
-        cfg,
         lambda rows: typed_counts(rows, "schedule_type", types, ids),
     )
     columns = []
@@ -166,15 +164,15 @@ def schedule_pivot(
     return counts.select("company_id", *columns)
 
 
-def type_share_pivot(segments: DataFrame, payments: DataFrame, cfg: SegmentConfig) -> DataFrame:
+def type_share_pivot(
+    segments: DataFrame | SegmentScope, payments: DataFrame, cfg: SegmentConfig
+) -> DataFrame:
     """One share column per listed payment type, NULL where absent.
 
     A company with off-list types only stays, as a row of NULLs.
     """
-    counts = per_company_in_segment(
+    counts = segment_scope(segments, cfg).summarise(
         eligible(payments, cfg),
-        segments,
-        cfg,
         lambda rows: typed_counts(rows, "payment_type", cfg.payment_types, {"payment": "payment_id"}),
     )
     return counts.select(

@@ -216,9 +216,8 @@ def transform(df: DataFrame, cfg: SegmentConfig, log_first: bool = True) -> Data
     return df.withColumns({"days_since_first_tx": first.cast("double"), **logs})
 
 
-def require_complete(known: Mapping[str, Row], cols: Sequence[str]) -> None:
-    n = known["__rows"]["n"]
-    gaps = [f"{c} is missing in {n - known[c]['count']} rows" for c in cols if known[c]["count"] < n]
+def require_complete(n: int, missing: Mapping[str, int]) -> None:
+    gaps = [f"{c} is missing in {m}" for c, m in missing.items() if m]
     if gaps:
         raise ValueError(f"of {n} rows, " + ", ".join(gaps))
 
@@ -226,7 +225,8 @@ def require_complete(known: Mapping[str, Row], cols: Sequence[str]) -> None:
 def robust_fit(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Median and interquartile range per column; a range of 0 counts as 1."""
     known = moments(df, cols)
-    require_complete(known, cols)
+    n = known["__rows"]["n"]
+    require_complete(n, {c: n - known[c]["count"] for c in cols})
     quarters = quantiles(df, cols, QUARTILES, known)
     return {c: (q[1], (q[2] - q[0]) or 1.0) for c, q in quarters.items() if q[1] is not None}
 

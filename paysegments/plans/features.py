@@ -13,13 +13,14 @@ from paysegments.config import SegmentConfig
 from paysegments.functions.dates import month_start, paid_date
 from paysegments.operators.activity import frequency, type_amount_pivot, with_days_since
 from paysegments.operators.filters import (
+    SegmentScope,
     eligible,
     in_window,
     is_eligible,
     is_in_window,
     is_recent,
     keep_recent,
-    per_company_in_segment,
+    segment_scope,
 )
 from paysegments.operators.shares import schedule_pivot, type_share_pivot
 
@@ -34,7 +35,10 @@ TOTALS = ["first_active_month", "last_active_month", "total_payments", "total_pa
 
 
 def company_activity(
-    payments: DataFrame, segments: DataFrame, cfg: SegmentConfig, recent_only: bool
+    payments: DataFrame,
+    segments: DataFrame | SegmentScope,
+    cfg: SegmentConfig,
+    recent_only: bool,
 ) -> DataFrame:
     """Recency and frequency from one read of the window.
 
@@ -70,7 +74,7 @@ def company_activity(
             F.max("recent").alias("recent"),
         )
 
-    found = per_company_in_segment(rows, segments, cfg, summarise)
+    found = segment_scope(segments, cfg).summarise(rows, summarise)
     found = found.where(F.col("first_date").isNotNull())
     if recent_only:
         found = found.where("recent")
@@ -93,14 +97,15 @@ def payer_features(
 
     Recency and frequency follow the window; the shares take all dates.
     """
-    active = company_activity(payments, segments, cfg, recent_only)
-    recurring = schedule_pivot(payments, segments, cfg, {"schedule": "schedule_id"})
+    scope = segment_scope(segments, cfg)
+    active = company_activity(payments, scope, cfg, recent_only)
+    recurring = schedule_pivot(payments, scope, cfg, {"schedule": "schedule_id"})
     table = active.join(recurring, "company_id")
     columns = ["company_id", *FEATURES]
     if include_totals:
         columns += TOTALS
     if include_type_shares:
-        mix = type_share_pivot(segments, payments, cfg)
+        mix = type_share_pivot(scope, payments, cfg)
         table = table.join(mix, "company_id")
         columns += mix.columns[1:]
     return table.select(*columns)
@@ -131,5 +136,5 @@ def amount_mix(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig) ->
         )
 
     rows = in_window(eligible(payments, cfg), cfg)
-    mix = type_amount_pivot(per_company_in_segment(rows, segments, cfg, totals), cfg)
+    mix = type_amount_pivot(segment_scope(segments, cfg).summarise(rows, totals), cfg)
     return keep_recent(mix, payments, cfg)
