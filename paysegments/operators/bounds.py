@@ -71,7 +71,7 @@ def choose_centres(candidates: DataFrame, cols: Sequence[str], n: int, swap: boo
         np.partition(distances(points[at : at + 16], points), 1, axis=1)[:, 1]
         for at in range(0, len(points), 16)
     ]
-    return Centres(points, float(np.quantile(np.concatenate(gaps), 0.7)) + 1e-12)
+    return Centres(points, float(np.quantile(np.concatenate(gaps), 0.9)) + 1e-12)
 
 
 def _at_centres(
