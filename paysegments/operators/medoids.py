@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from paysegments.functions.lineage import materialise
 from paysegments.functions.numeric import distance
 from paysegments.operators import bounds
-from paysegments.operators.scoring import score
+from paysegments.operators.scoring import losses, score
 from paysegments.operators.stats import require_complete
 
 # Candidates scored per pass, and so the most rows the driver ever holds.
@@ -378,11 +378,6 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int], **sizes: int) -
     order = tuple(m for _, m in ranked_by_total(space, max(ks)))
     fits = alternate(space, {k: order[:k] for k in ks})
 
-    def loss(medoids: Medoids) -> Column:
-        nearest = F.array_min(F.array(*[distance(cols, m.point) for m in medoids]))
-        return F.sum(F.col("weight") * nearest)
-
-    losses = [
-        F.struct(F.lit(k).cast("bigint").alias("k"), loss(fits[k]).alias("loss")) for k in ks
-    ]
-    return space.sites.agg(F.array(*losses).alias("fits")).select(F.inline("fits"))
+    found = losses(space.sites, cols, [points_of(fits[k]) for k in ks])
+    sizes_in_order = F.array(*[F.lit(k).cast("bigint") for k in ks])
+    return found.select(F.get(sizes_in_order, F.col("fit")).alias("k"), "loss")

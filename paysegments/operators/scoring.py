@@ -125,3 +125,21 @@ def _fold(
             )
 
     return task
+
+
+def losses(sites: DataFrame, cols: Sequence[str], fits: Sequence[np.ndarray]) -> DataFrame:
+    """Sum of distances to the nearest medoid, by fit."""
+    names = list(cols)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(fits))
+        for part, x in blocks(batches, names, max(len(m) for m in fits)):
+            weight = part.column("weight").to_numpy(zero_copy_only=False)
+            total += [weight @ distances(x, m).min(axis=1) for m in fits]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(fits)), pa.int32()), pa.array(total, pa.float64())],
+            ["fit", "loss"],
+        )
+
+    read = sites.select("weight", *cols)
+    return read.mapInArrow(task, "fit int, loss double").groupBy("fit").agg(F.sum("loss").alias("loss"))
