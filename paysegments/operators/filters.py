@@ -80,7 +80,10 @@ def segment_payments(segments: DataFrame, payments: DataFrame, cfg: SegmentConfi
 
 @dataclass(frozen=True)
 class SegmentScope:
-    """The companies of the segment, and whether they are few enough to broadcast."""
+    """The companies of the segment, and whether they are few enough to broadcast.
+
+    Only semi joins use ``members``, so repeated rows in it do no harm.
+    """
 
     members: DataFrame
     small: bool
@@ -102,10 +105,12 @@ class SegmentScope:
 def segment_scope(segments: DataFrame | SegmentScope, cfg: SegmentConfig) -> SegmentScope:
     """Count the segment once; queries with several parts hand the scope on.
 
-    The count takes repeated lookup rows too, so it is an upper bound on the
-    companies that would be broadcast.
+    A small lookup is broadcast row by row as counted. A large one loses its
+    repeated rows before the shuffle.
     """
     if isinstance(segments, SegmentScope):
         return segments
-    listed = in_segment(segments, cfg).count()
-    return SegmentScope(segment_members(segments, cfg), listed <= cfg.broadcast_companies)
+    listed = in_segment(segments, cfg).select("company_id")
+    if listed.count() <= cfg.broadcast_companies:
+        return SegmentScope(listed, True)
+    return SegmentScope(segment_members(segments, cfg), False)

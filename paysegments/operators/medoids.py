@@ -30,6 +30,8 @@ from paysegments.operators.stats import require_complete
 
 # Candidates scored per pass, and so the most rows the driver ever holds.
 BATCH = 8192
+# Points that make a task of their own worthwhile.
+TASK_POINTS = 500
 # A swap has to lower the loss by more than this.
 TOLERANCE = 1e-9
 # Rounds after which a fit stops even if it still moves.
@@ -190,6 +192,22 @@ def _loosely(still_open: Callable[[Column], Column]) -> Column:
     return still_open(F.col("bound") - F.lit(1e-9) * (F.abs(F.col("bound")) + 1))
 
 
+def _shares(df: DataFrame) -> int:
+    """Tasks of a pass: all cores, or as many as shuffles are set to use if more.
+
+    A task should have a few hundred points at least.
+    """
+    session = df.sparkSession
+    shuffle = int(session.conf.get("spark.sql.shuffle.partitions"))
+    most = max(session.sparkContext.defaultParallelism, shuffle)
+    return max(1, min(most, df.count() // TASK_POINTS))
+
+
+def _loosely(still_open: Callable[[Column], Column]) -> Column:
+    """Bounds lowered by more than the rounding of the sums they are compared with."""
+    return still_open(F.col("bound") - F.lit(1e-9) * (F.abs(F.col("bound")) + 1))
+
+
 def _shares(df: DataFrame) -> int:
     """Tasks of a pass: all cores, or as many as shuffles are set to use if more."""
     session = df.sparkSession
