@@ -31,7 +31,7 @@ from paysegments.operators.stats import require_complete
 # Candidates scored per pass, and so the most rows the driver ever holds.
 BATCH = 8192
 # Points that make a task of their own worthwhile.
-TASK_POINTS = 500
+TASK_POINTS = 250
 # A swap has to lower the loss by more than this.
 TOLERANCE = 1e-9
 # Rounds after which a fit stops even if it still moves.
@@ -193,14 +193,15 @@ def _loosely(still_open: Callable[[Column], Column]) -> Column:
 
 
 def _shares(df: DataFrame) -> int:
-    """Tasks of a pass: all cores, or as many as shuffles are set to use if more.
+    """Tasks of a pass: the cores, or as many as shuffles are set to use if more.
 
-    A task should have a few hundred points at least.
+    A task should have ``TASK_POINTS``, and ten times as many before there are
+    more tasks than cores.
     """
-    session = df.sparkSession
+    session, n = df.sparkSession, df.count()
     shuffle = int(session.conf.get("spark.sql.shuffle.partitions"))
-    most = max(session.sparkContext.defaultParallelism, shuffle)
-    return max(1, min(most, df.count() // TASK_POINTS))
+    most = max(session.sparkContext.defaultParallelism, min(shuffle, n // (10 * TASK_POINTS)))
+    return max(1, min(most, n // TASK_POINTS))
 
 
 def _loosely(still_open: Callable[[Column], Column]) -> Column:
@@ -208,13 +209,6 @@ def _loosely(still_open: Callable[[Column], Column]) -> Column:
     return still_open(F.col("bound") - F.lit(1e-9) * (F.abs(F.col("bound")) + 1))
 
 
-def _shares(df: DataFrame) -> int:
-    """Tasks of a pass: all cores, or as many as shuffles are set to use if more."""
-    session = df.sparkSession
-    shuffle = int(session.conf.get("spark.sql.shuffle.partitions"))
-    return max(session.sparkContext.defaultParallelism, shuffle)
-
-
 def points_of(medoids: Medoids) -> np.ndarray:
     return np.array([m.point for m in medoids], dtype=float)
 

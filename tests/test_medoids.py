@@ -200,3 +200,9 @@ def test_bounds_are_never_above_the_score(spark, seed, swap):
         least[r["id"]] = r["bound"]
     assert (least <= exact + 1e-9).all()
     assert np.isfinite(least).mean() > 0.3
+
+
+@pytest.mark.parametrize("n, tasks", [(3, 1), (600, 2), (4000, 8), (100_000, 40)])
+def test_tasks_follow_the_points(spark, conf, n, tasks):
+    conf(spark__sql__shuffle__partitions="200")
+    assert medoids._shares(spark.range(n)) == tasks
