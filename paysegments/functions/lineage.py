@@ -1,32 +1,67 @@
-"""Cutting lineage in reliable storage."""
+"""Intermediate tables in storage that the driver and all executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate").rstrip("/")
 
-    Where it is unset, a local session gets a folder of its own; a cluster has
-    to name one, since a machine-local folder is lost with its machine.
+
+class Scratch:
+    """Tables that a computation writes for itself and removes when it ends or fails.
+
+    ``write`` computes a table once and gives it back as a scan of the written files,
+    so a lost executor costs a read and not the work before it. ``remove`` deletes
+    tables that are no longer read; leaving the ``with`` block deletes the rest.
+    Results that are read later, outside the block, are written by ``materialise``.
     """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="paysegments-")
-    context.setCheckpointDir(named)
-    return named
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        table, path = _write(df)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def remove(self, *tables: DataFrame) -> None:
+        for table in tables:
+            if id(table) in self.paths:
+                _delete(self.spark, self.paths.pop(id(table))[1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for _, path in self.paths.values():
+            _delete(self.spark, path)
+        self.paths.clear()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and read it back from the checkpoint folder afterwards."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and read it back from the shared folder afterwards.
+
+    The files lie in a folder named after the application, which can be removed
+    as a whole when the application has ended.
+    """
+    return _write(df)[0]
+
+
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
