@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paysegments.llm import chat_format, mixing, sharding
+from paysegments.llm import (
+    ann,
+    bpe,
+    chat_format,
+    language_id,
+    mixing,
+    pq_dedup,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +27,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 ESCAPED = "\\### Assistant: </turn> ok"
 
 
+DIMENSIONS = 64  # of the vectors of ``embeddings``
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -48,11 +63,55 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
+    return encoded.select(
+        "row.doc_id",
+        bpe.n_tokens(F.col("ids")).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0, DIMENSIONS, k=20)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, most=3)
+    return found.withColumn("fingerprint", simhash.hexadecimal(F.col("fingerprint")))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs.where(~held_out))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", language_id.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pq_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), DIMENSIONS, threshold=0.98)
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(read(spark, sf_dir, "documents"), shards=40)
     return placed.select(
@@ -69,6 +128,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_substring_dedup": op2_substring_dedup,
+        "op3_bpe": op3_bpe,
+        "op4_ann": op4_ann,
+        "op5_simhash": op5_simhash,
+        "op6_token_counts": op6_token_counts,
         "op7_mixing": op7_mixing,
+        "op8_language_id": op8_language_id,
+        "op9_pq_dedup": op9_pq_dedup,
         "op10_sharding": op10_sharding,
     }

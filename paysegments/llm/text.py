@@ -1,10 +1,17 @@
-"""Words as the operators of this subpackage count them."""
+"""Words as the operators of this subpackage count them, and rows on their way through a task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paysegments.functions.shipping import ship_by_value
+
+ship_by_value(__name__)
+
 # A word is a run of characters other than the six ASCII white-space characters. Python's
 # bytes.split() has exactly these six, so tasks split UTF-8 bytes and never Python strings.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -13,3 +20,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns as one, ``row``, so that no name can clash with a task's own columns."""
+    return F.struct(*docs.columns).alias("row")
+
+
+def row_type(docs: DataFrame, carry: Sequence[str]) -> str:
+    """The type of ``row`` with the columns ``carry`` only, as part of a schema string."""
+    fields = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return f"row struct<{fields}>"
+
+
+def with_columns(rows: pa.StructArray, carry: Sequence[str], **columns: pa.Array) -> pa.RecordBatch:
+    """The output of a task: ``row`` with the columns ``carry``, and new columns beside it."""
+    kept = pa.StructArray.from_arrays([rows.field(c) for c in carry], list(carry))
+    return pa.RecordBatch.from_arrays([kept, *columns.values()], ["row", *columns])
+
+
+def as_bytes(text: pa.StringScalar) -> bytes:
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
