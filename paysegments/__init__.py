@@ -1,5 +1,5 @@
-"""Payer segmentation on Spark: features, profile, scaling and k-medoids."""
+"""Features and segments of paying companies, on Spark."""
 
-from paysegments.config import DEFAULT, SegmentConfig
+from paysegments.config import SegmentConfig, analysis
 
-__all__ = ["DEFAULT", "SegmentConfig"]
+__all__ = ["SegmentConfig", "analysis"]

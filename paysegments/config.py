@@ -27,9 +27,6 @@ class SegmentConfig:
     recurring: str = "recurring"
     # Days since the first payment are read as "390 minus the days" before the log.
     recency_ceiling: int = 390
-    # A segment of at most this many companies (8-byte ids) is broadcast as a
-    # filter; a larger one is joined after the payments have been aggregated.
-    broadcast_companies: int = 1_000_000
 
     def all_history(self) -> SegmentConfig:
         return replace(self, window_start=None)
@@ -40,9 +37,14 @@ def slug(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
 
 
+def analysis(segment: str) -> SegmentConfig:
+    """The categories and dates of the original analysis, for a segment of the caller's."""
+    return replace(_FIXED, segment=segment)
+
+
 # The categories and dates the original analysis was run with.
-DEFAULT = SegmentConfig(
-    segment="Unmanaged",
+_FIXED = SegmentConfig(
+    segment="",
     excluded_statuses=("Payment Failed", "Cancelled", "Refunded", "Refunding"),
     user_types=("business", "guest"),
     locale=1,

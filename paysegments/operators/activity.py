@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paysegments.config import SegmentConfig, slug
 from paysegments.functions.dates import days_until, month_start, months_between_starts, paid_date
 from paysegments.functions.numeric import ratio
-from paysegments.operators.filters import SegmentScope, eligible, in_window, segment_scope
+from paysegments.operators.filters import eligible, in_window, of_segment
 
 
 def recency(
-    payments: DataFrame, segments: DataFrame | SegmentScope, cfg: SegmentConfig
+    payments: DataFrame, segments: DataFrame, cfg: SegmentConfig
 ) -> DataFrame:
     """Days from the first and last payment in the window to the anchor date."""
-
-    def first_and_last(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("company_id").agg(
-            F.min(paid_date()).alias("first_date"), F.max(paid_date()).alias("last_date")
-        )
-
-    rows = in_window(eligible(payments, cfg), cfg)
-    dates = segment_scope(segments, cfg).summarise(rows, first_and_last)
+    rows = of_segment(in_window(eligible(payments, cfg), cfg), segments, cfg)
+    dates = rows.groupBy("company_id").agg(
+        F.min(paid_date()).alias("first_date"), F.max(paid_date()).alias("last_date")
+    )
     return with_days_since(dates, cfg).drop("first_date", "last_date")
 
 
@@ -38,25 +34,22 @@ def with_days_since(dates: DataFrame, cfg: SegmentConfig) -> DataFrame:
 
 def monthly_activity(
     payments: DataFrame,
-    segments: DataFrame | SegmentScope,
+    segments: DataFrame,
     cfg: SegmentConfig,
     by_type: bool = False,
 ) -> DataFrame:
     """Amount and distinct payments per company and month (and payment type)."""
     keys = ["company_id", "month"] + (["payment_type"] if by_type else [])
-
-    def monthly(rows: DataFrame) -> DataFrame:
-        return (
-            rows.withColumn("month", month_start(paid_date()))
-            .groupBy(*keys)
-            .agg(
-                F.sum("amount").alias("sum_monthly_payments"),
-                F.count_distinct("payment_id").alias("count_monthly_payments"),
-            )
+    rows = of_segment(in_window(eligible(payments, cfg), cfg), segments, cfg)
+    monthly = (
+        rows.withColumn("month", month_start(paid_date()))
+        .groupBy(*keys)
+        .agg(
+            F.sum("amount").alias("sum_monthly_payments"),
+            F.count_distinct("payment_id").alias("count_monthly_payments"),
         )
-
-    rows = in_window(eligible(payments, cfg), cfg)
-    return segment_scope(segments, cfg).summarise(rows, monthly).select(
+    )
+    return monthly.select(
         *keys,
         F.lit(cfg.segment).alias("segment"),
         "sum_monthly_payments",
@@ -96,21 +89,23 @@ def type_totals(monthly_by_type: DataFrame) -> DataFrame:
     )
 
 
-def type_amount_pivot(totals: DataFrame, cfg: SegmentConfig) -> DataFrame:
+def type_amount_pivot(totals: DataFrame, cfg: SegmentConfig, counted: Column | None = None, *more: Column) -> DataFrame:
     """One amount column per listed type, 0 where absent; totals cover all types.
 
     The cell is a maximum, not a sum: a negative amount shows as 0 beside any
-    other type of the company and as itself where it is the only row.
+    other type of the company and as itself where it is the only row. Rows that are not
+    ``counted`` take no part, except in ``more``, further aggregates by company.
     """
+    counted = F.lit(True) if counted is None else counted
     zero = F.lit(0).cast(totals.schema["total_payments"].dataType)
-    cells = [
-        F.max(F.when(F.col("payment_type") == t, F.col("total_payments")).otherwise(zero)).alias(
-            f"amount_{slug(t)}"
-        )
-        for t in cfg.payment_types
-    ]
+
+    def cell(name: str) -> Column:
+        listed = F.when(F.col("payment_type") == name, F.col("total_payments")).otherwise(zero)
+        return F.max(F.when(counted, listed)).alias(f"amount_{slug(name)}")
+
     return totals.groupBy("company_id").agg(
-        *cells,
-        F.sum("total_payments").alias("sum_total_payments"),
-        F.sum("total_payment_count").alias("sum_total_payment_count"),
+        *[cell(t) for t in cfg.payment_types],
+        F.sum(F.when(counted, F.col("total_payments"))).alias("sum_total_payments"),
+        F.sum(F.when(counted, F.col("total_payment_count"))).alias("sum_total_payment_count"),
+        *more,
     )

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,39 +75,11 @@ def segment_payments(segments: DataFrame, payments: DataFrame, cfg: SegmentConfi
     return in_segment(segments, cfg).join(payments, "company_id")
 
 
-@dataclass(frozen=True)
-class SegmentScope:
-    """The companies of the segment, and whether they are few enough to broadcast.
-
-    Only semi joins use ``members``, so repeated rows in it do no harm.
-    """
-
-    members: DataFrame
-    small: bool
-
-    def summarise(self, payments: DataFrame, summary: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """``summary`` of the payments of the segment's companies.
-
-        ``summary`` has to group within ``company_id``, so the lookup can be
-        applied on either side of it. A small segment is broadcast and drops
-        foreign payments before any shuffle. A larger one is joined to the
-        summary: payments are never shuffled by company alone, where one company
-        could hold a third of them.
-        """
-        if self.small:
-            return summary(payments.join(F.broadcast(self.members), "company_id", "left_semi"))
-        return summary(payments).join(self.members, "company_id", "left_semi")
-
-
-def segment_scope(segments: DataFrame | SegmentScope, cfg: SegmentConfig) -> SegmentScope:
-    """Count the segment once; queries with several parts hand the scope on.
+def of_segment(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig) -> DataFrame:
+    """Payments of the segment's companies, each once.
 
-    A small lookup is broadcast row by row as counted. A large one loses its
-    repeated rows before the shuffle.
+    One semi join at any size, before everything that shuffles payments. Spark broadcasts
+    the companies where their size allows. Beyond that it can filter payments with a
+    Bloom filter of the companies before the shuffle, and AQE splits a hot company.
     """
-    if isinstance(segments, SegmentScope):
-        return segments
-    listed = in_segment(segments, cfg).select("company_id")
-    if listed.count() <= cfg.broadcast_companies:
-        return SegmentScope(listed, True)
-    return SegmentScope(segment_members(segments, cfg), False)
+    return payments.join(segment_members(segments, cfg), "company_id", "left_semi")

@@ -1,41 +1,35 @@
 """k-medoids over a table of points, by alternation or by PAM swaps.
 
-The data stays in Spark: the driver holds the current medoids and at most one
-batch of candidates. A pass over the points scores a whole batch and returns one
-number per candidate and medoid; pairs are never written out, joined or
-shuffled. Both methods are exact at any size. A small table is scored as one
-batch. In a larger one, bounds put the candidates in order and rule out those
-that cannot win, so scoring stops early without leaving a winner out.
-
-Distances are Euclidean. Sums are compared after rounding to 9 places and ties
-go to the lower company id, so the order in which tasks finish does not matter.
+The data stays in Spark; the driver holds the current medoids. One job per round scores
+every point as a candidate against all points, for all fits that still move, and only
+sums are shuffled. Both methods are exact, and the work of a round is candidates times
+points, spread over pairs of blocks; the number of jobs does not depend on the size.
+
+Distances are Euclidean, counted in steps of 1e-9. Their sums are exact integers, so
+they do not depend on the order of tasks, and ties go to the lower company id. Every
+round but the last lowers an integer loss, so a fit ends by itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paysegments.functions.lineage import materialise
 from paysegments.functions.numeric import distance
-from paysegments.operators import bounds
-from paysegments.operators.scoring import losses, score
-from paysegments.operators.stats import require_complete
+from paysegments.operators.scoring import STEPS, losses, pairs_of_blocks, score
+from paysegments.operators.stats import is_finite, require_complete
 
-# Candidates scored per pass, and so the most rows the driver ever holds.
-BATCH = 8192
-# Points that make a task of their own worthwhile.
-TASK_POINTS = 250
-# A swap has to lower the loss by more than this.
-TOLERANCE = 1e-9
-# Rounds after which a fit stops even if it still moves.
-MAX_ROUNDS = 300
+# Candidates that a task holds at a time.
+CANDIDATES = 8192
+# Points of a block: at most, and at least where there are cores for more blocks.
+MOST_POINTS, LEAST_POINTS = 8192, 512
 
 
 @dataclass(frozen=True)
@@ -70,8 +64,8 @@ def assign(df: DataFrame, cols: Sequence[str], medoids: Medoids) -> DataFrame:
     The medoids are constants of the projection: no join and no shuffle.
     """
     found = [distance(cols, m.point) for m in medoids]
-    rounded = F.array(*[F.round(d, 9) for d in found])
-    nearest = F.array_position(rounded, F.array_min(rounded)).cast("int") - 1
+    steps = F.array(*[F.rint(d * STEPS) for d in found])
+    nearest = F.array_position(steps, F.array_min(steps)).cast("int") - 1
     return df.withColumn("cluster", nearest).withColumn(
         "distance", F.get(F.array(*found), F.col("cluster"))
     )
@@ -82,131 +76,55 @@ def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum("distance").alias("loss"))
 
 
-@dataclass(frozen=True)
-class Batch:
-    """Candidates on the driver: site ids, their points and their numbers of copies."""
-
-    ids: np.ndarray
-    points: np.ndarray
-    weights: np.ndarray
-
-    def point(self, id_: int) -> tuple[float, ...]:
-        return tuple(self.points[self.ids == id_][0].tolist())
-
-
 class PointSpace:
-    """The points a fit works on, and the candidates it chooses from.
+    """The points a fit works on, all of them candidates too.
 
-    Copies of a point merge into one weighted site before the shuffle, so a
-    point shared by many rows is one row from then on. The sites are spread
-    evenly by id and written to the checkpoint folder, where every pass starts.
+    Copies of a point merge into one weighted site before the shuffle, so a point
+    shared by many rows is one row from then on. The sites are kept by the executors
+    for the fit, once as they are and once by pairs of blocks; what a lost executor
+    held is computed again. ``close`` gives the room back.
     """
 
-    def __init__(
-        self,
-        df: DataFrame,
-        cols: Sequence[str],
-        key: str = "company_id",
-        batch: int = BATCH,
-        centres: int = bounds.CENTRES,
-    ):
+    def __init__(self, df: DataFrame, cols: Sequence[str], key: str = "company_id", candidates: int = CANDIDATES):
         self.rows, self.cols, self.key = df, list(cols), key
-        self.batch, self.centres = batch, centres
-        merged = df.groupBy(*cols).agg(
-            F.min(key).alias("id"), F.count(F.lit(1)).cast("double").alias("weight")
-        )
-        self.sites = materialise(merged.repartition(_shares(df), "id"))
+        merged = df.groupBy(*cols).agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("weight"))
+        self.sites = merged.persist(StorageLevel.MEMORY_AND_DISK)
         found = self.sites.agg(
             F.count("id").alias("sites"),
             F.sum("weight").alias("rows"),
-            *[F.sum(F.when(F.col(c).isNull(), F.col("weight"))).alias(c) for c in cols],
+            *[F.sum(F.when(~is_finite(F.col(c)), F.col("weight"))).alias(c) for c in cols],
         ).first()
-        self.n = int(found["rows"] or 0)
-        require_complete(self.n, {c: int(found[c] or 0) for c in cols})
-        self.n_sites = found["sites"]
-        # All candidates, if they fit in one batch.
-        self.few = self._collected(self.sites.toArrow()) if self.n_sites <= batch else None
-
-    def _collected(self, table) -> Batch:
-        points = np.column_stack([table[c].to_numpy() for c in self.cols])
-        return Batch(table["id"].to_numpy(), points, table["weight"].to_numpy())
-
-    def scored(self, fits: Sequence[np.ndarray], candidates: Batch, swap: bool) -> DataFrame:
-        totals = score(self.sites, self.cols, fits, candidates.ids, candidates.points, swap)
-        return totals.withColumn("total", F.round("total", 9))
-
-    def batches(
-        self, medoids: np.ndarray, swap: bool, still_open: Callable[[Column], Column]
-    ) -> Iterator[Batch]:
-        """Candidates, most promising first, until none is left that could win.
-
-        ``still_open`` tells which bounds leave a chance; it is asked anew after
-        each batch. While there are many open candidates, the best batch of them
-        is scored and the rest get new, closer bounds. Describing centres costs
-        a few times what scoring as many candidates does, so little is left
-        unscored only while it pays.
-        """
-        if self.few is not None:
-            yield self.few
-            return
-        many = 4 * max(self.batch, self.centres)
-        left, n_left = self.sites, self.n_sites
-        while True:
-            if n_left > many:
-                bounded = materialise(
-                    bounds.candidate_bounds(
-                        left, self.sites, self.cols, medoids, swap, self.centres
-                    )
-                )
-            else:
-                nothing = {"slot": F.lit(0), "bound": F.lit(-np.inf), "turn": F.lit(np.inf)}
-                bounded = left.withColumns(nothing) if "bound" not in left.columns else left
-            for batch, after in self._in_turn(bounded, still_open):
-                yield batch
-                if n_left > many:
-                    rest = bounded.where(after & _loosely(still_open))
-                    n_rest, n_before = rest.count(), n_left
-                    left, n_left = rest, n_rest if n_rest < 0.9 * n_before else many
-                    break
-            else:
-                return
-
-    def _in_turn(
-        self, bounded: DataFrame, still_open: Callable[[Column], Column]
-    ) -> Iterator[tuple[Batch, Column]]:
-        """Batches with the condition for the candidates after them."""
-        after = F.lit(True)
-        while True:
-            open_ = bounded.where(after & _loosely(still_open))
-            table = open_.orderBy("turn", "id").limit(self.batch).toArrow()
-            if not table.num_rows:
-                return
-            last = table.slice(table.num_rows - 1).to_pylist()[0]
-            turn, id_ = F.lit(last["turn"]), F.lit(last["id"])
-            after = (F.col("turn") > turn) | ((F.col("turn") == turn) & (F.col("id") > id_))
-            yield self._collected(table), after
-
-
-def _loosely(still_open: Callable[[Column], Column]) -> Column:
-    """Bounds lowered by more than the rounding of the sums they are compared with."""
-    return still_open(F.col("bound") - F.lit(1e-9) * (F.abs(F.col("bound")) + 1))
-
-
-def _shares(df: DataFrame) -> int:
-    """Tasks of a pass: the cores, or as many as shuffles are set to use if more.
-
-    A task should have ``TASK_POINTS``, and ten times as many before there are
-    more tasks than cores.
-    """
-    session, n = df.sparkSession, df.count()
-    shuffle = int(session.conf.get("spark.sql.shuffle.partitions"))
-    most = max(session.sparkContext.defaultParallelism, min(shuffle, n // (10 * TASK_POINTS)))
-    return max(1, min(most, n // TASK_POINTS))
-
-
-def _loosely(still_open: Callable[[Column], Column]) -> Column:
-    """Bounds lowered by more than the rounding of the sums they are compared with."""
-    return still_open(F.col("bound") - F.lit(1e-9) * (F.abs(F.col("bound")) + 1))
+        self.n, self.n_sites = int(found["rows"] or 0), found["sites"]
+        try:
+            require_complete(self.n, {c: int(found[c] or 0) for c in cols})
+        except ValueError:
+            self.close()
+            raise
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        blocks = -(-self.n_sites // candidates) or 1
+        shares = max(-(-self.n_sites // MOST_POINTS), min(-(-cores // blocks), -(-self.n_sites // LEAST_POINTS)), 1)
+        self.pairs = pairs_of_blocks(self.sites, self.cols, blocks, shares).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def __enter__(self) -> PointSpace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.sites.unpersist()
+        if hasattr(self, "pairs"):
+            self.pairs.unpersist()
+
+    def scored(self, fits: Sequence[np.ndarray], swap: bool) -> DataFrame:
+        return score(self.pairs, self.cols, fits, swap)
+
+    def points(self, ids: Sequence[int]) -> dict[int, tuple[float, ...]]:
+        """The points of a few sites."""
+        if not ids:
+            return {}
+        rows = self.sites.where(F.col("id").isin(list(ids))).select("id", *self.cols).collect()
+        return {r["id"]: tuple(r[1:]) for r in rows}
 
 
 def points_of(medoids: Medoids) -> np.ndarray:
@@ -219,30 +137,19 @@ def ranked_by_total(space: PointSpace, k: int) -> list[tuple[float, Medoid]]:
         raise ValueError(f"k = {k} medoids asked of {space.n} rows")
     # With any single medoid there is one cluster, so its sums are over all points.
     one = np.zeros((1, len(space.cols)))
-    best: list[tuple[float, int, tuple[float, ...], float]] = []
-
-    def still_open(bound: Column) -> Column:
-        return bound <= F.lit(best[-1][0]) if len(best) == k else F.lit(True)
-
-    for batch in space.batches(one, False, still_open):
-        top = space.scored([one], batch, False).orderBy("total", "id").limit(k).collect()
-        weight = dict(zip(batch.ids.tolist(), batch.weights.tolist()))
-        found = [(r["total"], r["id"], batch.point(r["id"]), weight[r["id"]]) for r in top]
-        best = sorted(best + found)[:k]
-    if all(weight == 1 for *_, weight in best):
-        return [(total, Medoid(id_, id_, point)) for total, id_, point, _ in best]
-    return _with_copies(space, best, k)
+    top = space.scored([one], False).orderBy("total", "id").limit(k).collect()
+    at = space.points([r["id"] for r in top])
+    return _with_copies(space, [(r["total"], r["id"], at[r["id"]]) for r in top], k)
 
 
 def _with_copies(space: PointSpace, best: list, k: int) -> list[tuple[float, Medoid]]:
     """Rows at the best points, each copy a row of its own."""
-    total = F.lit(None).cast("double")
+    total = F.lit(None).cast("decimal(38,0)")
     site = F.lit(None).cast("bigint")
-    for value, id_, point, _ in best:
-        here = reduce(
-            and_, [F.col(c) == F.lit(v) for c, v in zip(space.cols, point)]
-        )
-        total, site = F.when(here, F.lit(value)).otherwise(total), F.when(here, id_).otherwise(site)
+    for value, id_, point in best:
+        here = reduce(and_, [F.col(c) == F.lit(v) for c, v in zip(space.cols, point)])
+        total = F.when(here, F.lit(value).cast("decimal(38,0)")).otherwise(total)
+        site = F.when(here, id_).otherwise(site)
     rows = (
         space.rows.select(F.col(space.key).alias("id"), total.alias("total"), site.alias("site"))
         .where("total IS NOT NULL")
@@ -250,77 +157,45 @@ def _with_copies(space: PointSpace, best: list, k: int) -> list[tuple[float, Med
         .limit(k)
         .collect()
     )
-    at = {id_: point for _, id_, point, _ in best}
-    return [(r["total"], Medoid(r["id"], r["site"], at[r["site"]])) for r in rows]
+    at = {id_: point for _, id_, point in best}
+    return [(int(r["total"]) / STEPS, Medoid(r["id"], r["site"], at[r["site"]])) for r in rows]
 
 
 # --- alternation -------------------------------------------------------------
 
 
-def _best_within(
-    space: PointSpace, fits: Sequence[Medoids], candidates: Batch
-) -> dict[tuple[int, int], tuple[float, bool, int]]:
-    """Best candidate per fit and cluster: (sum, whether it is a new one, id)."""
+def _recentred(space: PointSpace, fits: Sequence[Medoids]) -> list[Medoids]:
+    """Each cluster's medoid replaced where another member has a lesser sum.
+
+    A cluster without members keeps its medoid.
+    """
     stays = reduce(
         or_, [(F.col("fit") == f) & F.col("id").isin([m.site for m in ms]) for f, ms in enumerate(fits)]
     )
     rows = (
-        space.scored([points_of(ms) for ms in fits], candidates, False)
+        space.scored([points_of(ms) for ms in fits], False)
         .groupBy("fit", "slot")
         .agg(F.min(F.struct("total", (~stays).alias("new"), "id")).alias("best"))
+        .where("best.new")
         .collect()
     )
-    return {(r["fit"], r["slot"]): tuple(r["best"]) for r in rows}
-
-
-def _recentred(space: PointSpace, fits: Sequence[Medoids]) -> list[Medoids]:
-    """Each cluster's medoid replaced where another member has a lesser sum."""
-    if space.few is None:
-        return [_recentred_large(space, ms) for ms in fits]
-    best = _best_within(space, fits, space.few)
-    at = {id_: space.few.point(id_) for _, new, id_ in best.values() if new}
-    return [_moved(ms, f, best, at) for f, ms in enumerate(fits)]
-
-
-def _recentred_large(space: PointSpace, medoids: Medoids) -> Medoids:
-    current = {m.site: m.point for m in medoids}
-    present = Batch(np.array(list(current)), np.array(list(current.values())), np.ones(len(current)))
-    best = _best_within(space, [medoids], present)
-    at: dict[int, tuple[float, ...]] = {}
-
-    def still_open(bound: Column) -> Column:
-        return reduce(
-            or_, [(F.col("slot") == s) & (bound <= F.lit(b[0])) for (_, s), b in best.items()]
-        )
-
-    for batch in space.batches(points_of(medoids), False, still_open):
-        for slot, found in _best_within(space, [medoids], batch).items():
-            if found < best[slot]:
-                best[slot] = found
-                at[found[2]] = batch.point(found[2])
-    return _moved(medoids, 0, best, at)
-
-
-def _moved(medoids: Medoids, fit: int, best: Mapping, at: Mapping[int, tuple]) -> Medoids:
-    """Medoids after one round; one whose cluster is empty stays."""
-    result = []
-    for slot, medoid in enumerate(medoids):
-        _, new, id_ = best.get((fit, slot), (0.0, False, medoid.site))
-        result.append(Medoid(id_, id_, at[id_]) if new else medoid)
-    return tuple(result)
+    at = space.points([r["best"]["id"] for r in rows])
+    after = [list(ms) for ms in fits]
+    for r in rows:
+        id_ = r["best"]["id"]
+        after[r["fit"]][r["slot"]] = Medoid(id_, id_, at[id_])
+    return [tuple(ms) for ms in after]
 
 
 def alternate(space: PointSpace, starts: Mapping[int, Medoids]) -> dict[int, Medoids]:
     """Alternate between labels and medoids until no medoid moves.
 
-    Fits of several sizes move in step, so on a small table they share the
-    distances of one pass per round.
+    A medoid only moves to a lesser sum, so the loss falls strictly until the end. Fits
+    of several sizes move in step and share the distances of one job per round.
     """
     done = dict(starts)
     moving = list(starts)
-    for _ in range(MAX_ROUNDS):
-        if not moving:
-            break
+    while moving:
         after = dict(zip(moving, _recentred(space, [done[k] for k in moving])))
         moving = [k for k in moving if after[k] != done[k]]
         done |= after
@@ -330,35 +205,19 @@ def alternate(space: PointSpace, starts: Mapping[int, Medoids]) -> dict[int, Med
 # --- PAM -----------------------------------------------------------------------
 
 
-def _best_swap(space: PointSpace, medoids: Medoids) -> tuple[float, int, tuple, int] | None:
-    """The swap that lowers the loss most: (change, id, point, slot)."""
-    best: tuple | None = None
-
-    def still_open(bound: Column) -> Column:
-        return bound <= F.lit(best[0] if best else -TOLERANCE)
-
-    points = points_of(medoids)
-    for batch in space.batches(points, True, still_open):
-        least = F.min(F.struct("total", "id", "slot"))
-        total, id_, slot = space.scored([points], batch, True).agg(least).first()[0]
-        if total < -TOLERANCE and (best is None or (total, id_, slot) < (best[0], best[1], best[3])):
-            best = (total, id_, batch.point(id_), slot)
-    return best
-
-
 def pam(space: PointSpace, start: Medoids) -> Medoids:
     """Make the best swap of a medoid and another point until none lowers the loss."""
     if len(start) == 1:
         # One medoid's best swap is the least distance sum of all.
         return alternate(space, {1: start})[1]
     medoids = start
-    for _ in range(MAX_ROUNDS):
-        swap = _best_swap(space, medoids)
-        if swap is None:
-            break
-        _, id_, point, slot = swap
+    while True:
+        least = F.min(F.struct("total", "id", "slot")).alias("best")
+        change, id_, slot = space.scored([points_of(medoids)], True).agg(least).first()["best"]
+        if change >= 0:
+            return medoids
+        point = space.points([id_])[id_]
         medoids = (*medoids[:slot], Medoid(id_, id_, point), *medoids[slot + 1 :])
-    return medoids
 
 
 # --- entry points ----------------------------------------------------------------
@@ -366,7 +225,8 @@ def pam(space: PointSpace, start: Medoids) -> Medoids:
 
 def init_medoids(df: DataFrame, cols: Sequence[str], k: int, **sizes: int) -> Medoids:
     """The starting medoids: the k rows with the least distance sum to all rows."""
-    return tuple(m for _, m in ranked_by_total(PointSpace(df, cols, **sizes), k))
+    with PointSpace(df, cols, **sizes) as space:
+        return tuple(m for _, m in ranked_by_total(space, k))
 
 
 def kmedoids(
@@ -374,22 +234,20 @@ def kmedoids(
 ) -> Medoids:
     """Fit k medoids; ``assign`` gives the labels and ``inertia`` the loss.
 
-    ``sizes`` are ``batch`` and ``centres`` of ``PointSpace``; they do not
-    change the result.
+    ``sizes`` is ``candidates`` of ``PointSpace``; it does not change the result.
     """
     if method not in ("alternate", "pam"):
         raise ValueError(f"no such method: {method}")
-    space = PointSpace(df, cols, **sizes)
-    start = tuple(m for _, m in ranked_by_total(space, k))
-    return pam(space, start) if method == "pam" else alternate(space, {k: start})[k]
+    with PointSpace(df, cols, **sizes) as space:
+        start = tuple(m for _, m in ranked_by_total(space, k))
+        return pam(space, start) if method == "pam" else alternate(space, {k: start})[k]
 
 
 def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int], **sizes: int) -> DataFrame:
     """Loss of the alternating method by number of clusters, one row per k."""
-    space = PointSpace(df, cols, **sizes)
-    order = tuple(m for _, m in ranked_by_total(space, max(ks)))
-    fits = alternate(space, {k: order[:k] for k in ks})
-
-    found = losses(space.sites, cols, [points_of(fits[k]) for k in ks])
-    sizes_in_order = F.array(*[F.lit(k).cast("bigint") for k in ks])
-    return found.select(F.get(sizes_in_order, F.col("fit")).alias("k"), "loss")
+    with PointSpace(df, cols, **sizes) as space:
+        order = tuple(m for _, m in ranked_by_total(space, max(ks)))
+        fits = alternate(space, {k: order[:k] for k in ks})
+        found = losses(space.sites, cols, [points_of(fits[k]) for k in ks]).collect()
+    rows = [(int(ks[r["fit"]]), r["loss"]) for r in found]
+    return df.sparkSession.createDataFrame(rows, "k bigint, loss double")

@@ -1,145 +1,203 @@
-"""Scoring a batch of medoid candidates against all points in one pass.
+"""Scoring medoid candidates against all points in one job.
 
-Each task folds its points into one number per candidate and medoid. Only those
-sums are shuffled.
+Candidates and points are dealt to blocks, and a task takes one block of each at a
+time: it holds the candidates, folds the points that stream past into one number per
+candidate and medoid, and gives back only those sums.
+
+Distances are counted in steps of 1e-9, as integers, and so are all sums of them. Sums
+leave a task as two words, so none overflows, and adding them up in any order and over
+any partitioning gives the same total.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paysegments.functions.shipping import ship_by_value
 
 ship_by_value(__name__)
 
+# Steps of a distance to one.
+STEPS = 1_000_000_000
 # Point-candidate distances held at a time inside a task.
 BLOCK = 1 << 16
+# Bits of the low word of a sum.
+LOW = 20
+CANDIDATE, POINT = 0, 1
+NEVER = np.iinfo(np.int64).max
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distance from each row of ``x`` to each row of ``y``."""
+    """Euclidean distance in steps from each row of ``x`` to each row of ``y``."""
     total = np.zeros((len(x), len(y)))
     for j in range(x.shape[1]):
         step = x[:, j, None] - y[None, :, j]
         step *= step
         total += step
-    return np.sqrt(total, out=total)
+    np.sqrt(total, out=total)
+    total *= STEPS
+    return np.rint(total, out=total).astype(np.int64)
 
 
 def nearest(to_medoids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Label, distance to that medoid and to the second nearest (inf for one medoid)."""
+    """Label, distance to that medoid and to the second nearest (NEVER for one medoid)."""
     rows = np.arange(len(to_medoids))
-    label = np.round(to_medoids, 9).argmin(axis=1)
+    label = to_medoids.argmin(axis=1)
     near = to_medoids[rows, label]
     others = to_medoids.copy()
-    others[rows, label] = np.inf
+    others[rows, label] = NEVER
     return label, near, others.min(axis=1)
 
 
-def within_sums(d: np.ndarray, weight: np.ndarray, to_medoids: np.ndarray, own: np.ndarray):
-    """Distance sums from each candidate to the points of its own cluster."""
-    label, _, _ = nearest(to_medoids)
-    member = (label == np.arange(to_medoids.shape[1])[:, None]) * weight
-    return (member @ d)[own, np.arange(len(own))]
+def weighted(weight: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Weighted sums of the columns of ``values`` as (high, low) words."""
+    return np.stack([weight @ (values >> LOW), weight @ (values & ((1 << LOW) - 1))])
+
 
+def within_sums(d: np.ndarray, weight: np.ndarray, to_medoids: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Distance sums (words) from each candidate to the points of its own cluster."""
+    label = nearest(to_medoids)[0]
+    sums = np.zeros((2, len(own)), np.int64)
+    for slot in np.unique(own):
+        mine, members = own == slot, label == slot
+        sums[:, mine] = weighted(weight[members], d[np.ix_(members, mine)])
+    return sums
 
-def swap_changes(d: np.ndarray, weight: np.ndarray, to_medoids: np.ndarray):
-    """Change of the loss for each medoid (rows) giving way to each candidate."""
+
+def swap_changes(d: np.ndarray, weight: np.ndarray, to_medoids: np.ndarray) -> np.ndarray:
+    """Change of the loss (words by medoid and candidate) if the candidate replaced the medoid."""
     label, near, second = nearest(to_medoids)
-    member = (label == np.arange(to_medoids.shape[1])[:, None]) * weight
     kept = np.minimum(d, near[:, None])
-    freed = np.minimum(d, second[:, None]) - kept
-    return weight @ (kept - near[:, None]) + member @ freed
-
-
-def blocks(batches: Iterator[pa.RecordBatch], cols: Sequence[str], width: int):
-    """Batches cut so that a block times ``width`` candidates stays in cache."""
-    rows = max(1, BLOCK // max(width, 1))
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            x = np.column_stack([part.column(c).to_numpy(zero_copy_only=False) for c in cols])
-            yield part, x
-
-
-def score(
-    sites: DataFrame,
-    cols: Sequence[str],
-    fits: Sequence[np.ndarray],
-    ids: np.ndarray,
-    candidates: np.ndarray,
-    swap: bool,
-) -> DataFrame:
-    """Totals by (fit, slot, candidate id), for several sets of medoids at once.
-
-    With ``swap`` the total is the change of the loss if the medoid in ``slot``
-    gave way to the candidate. Else it is the distance sum over the candidate's
-    own cluster, and ``slot`` is that cluster. Fits share the distances.
+    sums = np.repeat(weighted(weight, kept - near[:, None])[:, None], to_medoids.shape[1], axis=1)
+    for slot in range(to_medoids.shape[1]):
+        members = label == slot
+        freed = np.minimum(d[members], second[members, None]) - kept[members]
+        sums[:, slot] += weighted(weight[members], freed)
+    return sums
+
+
+def total(high: str = "high", low: str = "low") -> Column:
+    """The sum over tasks of a number in two words, in steps."""
+    word = F.lit(1 << LOW).cast("decimal(7,0)")
+    return F.sum(high).cast("decimal(25,0)") * word + F.sum(low).cast("decimal(25,0)")
+
+
+def pairs_of_blocks(sites: DataFrame, cols: Sequence[str], candidate_blocks: int, point_blocks: int) -> DataFrame:
+    """The sites as candidates and as points, by pair of blocks, candidates first.
+
+    Every candidate meets every point in exactly one pair. A site is sent once for each
+    block of the other kind, so the rows sent are sites times blocks, not pairs of sites.
     """
-    own = [nearest(distances(candidates, m))[0] for m in fits]
-    task = _fold(list(cols), list(fits), ids, candidates, own, swap)
-    read = sites.select("weight", *cols)
-    return (
-        read.mapInArrow(task, "fit int, slot int, id long, total double")
-        .groupBy("fit", "slot", "id")
-        .agg(F.sum("total").alias("total"))
+    spread = F.xxhash64("id")
+    own = {CANDIDATE: F.pmod(spread, F.lit(candidate_blocks)), POINT: F.pmod(spread, F.lit(point_blocks))}
+    every = {CANDIDATE: F.sequence(F.lit(0), F.lit(point_blocks - 1)), POINT: F.sequence(F.lit(0), F.lit(candidate_blocks - 1))}
+    as_candidates = sites.select(
+        own[CANDIDATE].cast("int").alias("c"), F.explode(every[CANDIDATE]).alias("p"), F.lit(CANDIDATE).alias("kind"), "id", "weight", *cols
     )
+    as_points = sites.select(
+        F.explode(every[POINT]).alias("c"), own[POINT].cast("int").alias("p"), F.lit(POINT).alias("kind"), "id", "weight", *cols
+    )
+    dealt = as_candidates.unionByName(as_points).repartition(candidate_blocks * point_blocks, "c", "p")
+    return dealt.sortWithinPartitions("c", "p", "kind")
+
 
+def score(pairs: DataFrame, cols: Sequence[str], fits: Sequence[np.ndarray], swap: bool) -> DataFrame:
+    """``total`` by (fit, slot, candidate id), for several sets of medoids at once.
+
+    With ``swap`` the total is the change of the loss if the medoid in ``slot`` gave way
+    to the candidate. Else it is the distance sum over the candidate's own cluster, and
+    ``slot`` is that cluster. Fits share the distances.
+    """
+    names, medoids = list(cols), list(fits)
 
-def _fold(
-    cols: list[str],
-    fits: list[np.ndarray],
-    ids: np.ndarray,
-    candidates: np.ndarray,
-    own: list[np.ndarray],
-    swap: bool,
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: list = [0.0] * len(fits)
-        seen = False
-        for part, x in blocks(batches, cols, len(ids)):
-            seen = True
-            weight = part.column("weight").to_numpy(zero_copy_only=False)
-            d = distances(x, candidates)
-            for f, medoids in enumerate(fits):
-                to_medoids = distances(x, medoids)
-                if swap:
-                    totals[f] = totals[f] + swap_changes(d, weight, to_medoids)
-                else:
-                    totals[f] = totals[f] + within_sums(d, weight, to_medoids, own[f])
-        for f in range(len(fits)) if seen else ():
-            slots = np.arange(len(fits[f])).repeat(len(ids)) if swap else own[f]
+        now, held, fold = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in ("c", "p", "kind")], axis=1)
+            ids, weight = batch.column("id").to_numpy(), batch.column("weight").to_numpy()
+            x = np.column_stack([batch.column(c).to_numpy() for c in names])
+            ends = np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys))
+            start = 0
+            for end in ends[ends > 0]:
+                pair, kind = tuple(keys[start, :2]), keys[start, 2]
+                if pair != now:
+                    if fold:
+                        yield from fold.sums()
+                    now, held, fold = pair, [], None
+                if kind == CANDIDATE:
+                    held.append((ids[start:end], x[start:end]))
+                elif held:
+                    fold = fold or _Fold(held, medoids, swap)
+                    fold.add(x[start:end], weight[start:end])
+                start = end
+        if fold:
+            yield from fold.sums()
+
+    sums = pairs.mapInArrow(task, "fit int, slot int, id long, high long, low long")
+    return sums.groupBy("fit", "slot", "id").agg(total().alias("total"))
+
+
+class _Fold:
+    """One block of candidates and the sums over the points seen so far."""
+
+    def __init__(self, held: list[tuple], fits: list[np.ndarray], swap: bool):
+        self.ids, self.candidates = (np.concatenate(part) for part in zip(*held))
+        self.fits, self.swap = fits, swap
+        self.own = [self._own(m) for m in fits]
+        self.totals: list = [0] * len(fits)
+
+    def _own(self, medoids: np.ndarray) -> np.ndarray:
+        """Clusters of the candidates; a medoid is in its own, however near another one is."""
+        own = nearest(distances(self.candidates, medoids))[0]
+        for slot in reversed(range(len(medoids))):
+            own[(self.candidates == medoids[slot]).all(axis=1)] = slot
+        return own
+
+    def add(self, x: np.ndarray, weight: np.ndarray) -> None:
+        rows = max(1, BLOCK // len(self.ids))
+        for at in range(0, len(x), rows):
+            points, w = x[at : at + rows], weight[at : at + rows]
+            d = distances(points, self.candidates)
+            for f, medoids in enumerate(self.fits):
+                to_medoids = distances(points, medoids)
+                part = swap_changes(d, w, to_medoids) if self.swap else within_sums(d, w, to_medoids, self.own[f])
+                self.totals[f] = self.totals[f] + part
+
+    def sums(self) -> Iterator[pa.RecordBatch]:
+        for f, (high, low) in enumerate(self.totals):
+            slots = np.arange(len(self.fits[f])).repeat(len(self.ids)) if self.swap else self.own[f]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(slots), f), pa.int32()),
                     pa.array(slots, pa.int32()),
-                    pa.array(np.resize(ids, len(slots)), pa.int64()),
-                    pa.array(totals[f].ravel(), pa.float64()),
+                    pa.array(np.resize(self.ids, len(slots)), pa.int64()),
+                    pa.array(high.ravel()),
+                    pa.array(low.ravel()),
                 ],
-                ["fit", "slot", "id", "total"],
+                ["fit", "slot", "id", "high", "low"],
             )
 
-    return task
-
 
 def losses(sites: DataFrame, cols: Sequence[str], fits: Sequence[np.ndarray]) -> DataFrame:
     """Sum of distances to the nearest medoid, by fit."""
-    names = list(cols)
+    names, medoids = list(cols), list(fits)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(fits))
-        for part, x in blocks(batches, names, max(len(m) for m in fits)):
-            weight = part.column("weight").to_numpy(zero_copy_only=False)
-            total += [weight @ distances(x, m).min(axis=1) for m in fits]
+        sums = np.zeros((len(medoids), 2), np.int64)
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy() for c in names])
+            weight = batch.column("weight").to_numpy()
+            sums += [weighted(weight, distances(x, m).min(axis=1)) for m in medoids]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(fits)), pa.int32()), pa.array(total, pa.float64())],
-            ["fit", "loss"],
+            [pa.array(np.arange(len(medoids)), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])],
+            ["fit", "high", "low"],
         )
 
     read = sites.select("weight", *cols)
-    return read.mapInArrow(task, "fit int, loss double").groupBy("fit").agg(F.sum("loss").alias("loss"))
+    found = read.mapInArrow(task, "fit int, high long, low long").groupBy("fit").agg(total().alias("loss"))
+    return found.select("fit", (F.col("loss").cast("double") / STEPS).alias("loss"))

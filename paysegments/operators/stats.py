@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 from paysegments.config import SegmentConfig
 from paysegments.functions.numeric import log_positive
 
-# Up to this many values of a column are left to the built-in exact percentile,
-# which gathers a column's distinct values in one task.
-PERCENTILE_ROWS = 200_000
-# Histogram buckets per bracket and pass when a column is longer than that.
+# Histogram buckets per bracket and pass.
 BUCKETS = 1024
+# A bucket with at most so many rows is sorted instead of divided again.
+SORT_ROWS = 4096
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -38,6 +37,12 @@ def shape(df: DataFrame) -> DataFrame:
     )
 
 
+def is_finite(value: Column) -> Column:
+    """False for NULL, NaN and the infinities."""
+    number = value.cast("double")
+    return F.coalesce(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), F.lit(False))
+
+
 def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, Row]:
     """Count, mean, sample deviation, minimum and maximum per column, in one pass."""
     found = df.agg(
@@ -49,6 +54,7 @@ def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, Row]:
                 F.stddev_samp(c).alias("std"),
                 F.min(c).cast("double").alias("min"),
                 F.max(c).cast("double").alias("max"),
+                F.count_if(F.col(c).isNotNull() & ~is_finite(F.col(c))).alias("odd"),
             ).alias(c)
             for c in cols
         ],
@@ -134,9 +140,9 @@ def order_statistics(
     df: DataFrame,
     ranks: Mapping[str, set[int]],
     known: Mapping[str, Row],
-    sort_rows: int = PERCENTILE_ROWS,
+    sort_rows: int = SORT_ROWS,
 ) -> dict[tuple[str, int], float]:
-    """Exact values at 0-based ranks, for columns too long to sort in one task.
+    """Exact values at 0-based ranks.
 
     Each pass histograms the value range still in question and keeps the one
     bucket that holds the rank, until the bucket is one value or short enough to
@@ -148,15 +154,14 @@ def order_statistics(
         for c, wanted in ranks.items()
         for r in wanted
     }
-    while True:
-        wide = [k for k, b in searched.items() if b.lo < b.hi and b.inside > sort_rows]
-        if not wide:
-            break
+    wide = [k for k, b in searched.items() if b.lo < b.hi]
+    while wide:
         distinct: dict[tuple, _Bracket] = {(b.col, b.lo): b for b in (searched[k] for k in wide)}
         parts = dict(zip(distinct, _narrow(df, list(distinct.values()))))
         for c, r in wide:
             b = searched[c, r]
             searched[c, r] = next(p for p in parts[b.col, b.lo] if r < p.below + p.inside)
+        wide = [k for k in wide if searched[k].lo < searched[k].hi and searched[k].inside > sort_rows]
     values = {k: b.lo for k, b in searched.items() if b.lo == b.hi}
     left = [(b, r) for (_, r), b in searched.items() if b.lo < b.hi]
     return values | (_ranked(df, left) if left else {})
@@ -167,13 +172,14 @@ def quantiles(
     cols: Sequence[str],
     probs: Sequence[float] = QUARTILES,
     known: Mapping[str, Row] | None = None,
-    sort_rows: int = PERCENTILE_ROWS,
+    sort_rows: int = SORT_ROWS,
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles with linear interpolation; ``df`` is read more than once."""
+    """Exact quantiles with linear interpolation, of the values that are not NULL.
+
+    ``df`` is read more than once. NaN and infinite values are refused.
+    """
     known = known or moments(df, cols)
-    if max(known[c]["count"] for c in cols) <= sort_rows:
-        found = df.agg(*[F.percentile(c, list(probs)).alias(c) for c in cols]).first()
-        return {c: list(found[c]) if found[c] is not None else [None] * len(probs) for c in cols}
+    require_finite({c: known[c]["odd"] for c in cols})
     filled = [c for c in cols if known[c]["count"]]
     places = {c: [(known[c]["count"] - 1) * p for p in probs] for c in filled}
     ranks = {c: {r for x in places[c] for r in (floor(x), ceil(x))} for c in filled}
@@ -217,16 +223,23 @@ def transform(df: DataFrame, cfg: SegmentConfig, log_first: bool = True) -> Data
 
 
 def require_complete(n: int, missing: Mapping[str, int]) -> None:
-    gaps = [f"{c} is missing in {m}" for c, m in missing.items() if m]
+    """Refuse columns that lack a finite value in some rows."""
+    gaps = [f"{c} is missing or not finite in {m}" for c, m in missing.items() if m]
     if gaps:
         raise ValueError(f"of {n} rows, " + ", ".join(gaps))
 
 
+def require_finite(odd: Mapping[str, int]) -> None:
+    found = [f"{c} has {n} values that are NaN or infinite" for c, n in odd.items() if n]
+    if found:
+        raise ValueError(", ".join(found))
+
+
 def robust_fit(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Median and interquartile range per column; a range of 0 counts as 1."""
     known = moments(df, cols)
     n = known["__rows"]["n"]
-    require_complete(n, {c: n - known[c]["count"] for c in cols})
+    require_complete(n, {c: n - known[c]["count"] + known[c]["odd"] for c in cols})
     quarters = quantiles(df, cols, QUARTILES, known)
     return {c: (q[1], (q[2] - q[0]) or 1.0) for c, q in quarters.items() if q[1] is not None}
 

@@ -16,7 +16,6 @@ _TYPES = [(t, t.lower()) for t in STAR.payment_types]
 _USERS = ", ".join(f"'{u}'" for u in STAR.user_types)
 _PAYMENT = """company_id, payment_id, schedule_id, schedule_type, payment_type, status, user_type,
   locale_id, strftime(paid_at, '%Y-%m-%d %H:%M:%S') AS paid_at, CAST(amount AS DOUBLE) AS amount"""
-_PAYMENT_NO_TYPE = _PAYMENT.replace("payment_type, ", "")
 
 
 def _each(template: str, names=FEATURES, sep: str = ", ") -> str:
@@ -54,7 +53,7 @@ SELECT o_custkey AS company_id, l_orderkey * 10 + l_linenumber AS payment_id, l_
   p_type AS payment_type, l_returnflag AS status, c_mktsegment AS user_type, l_linestatus AS locale_id,
   l_shipdate AS paid_at, CAST(l_extendedprice AS DECIMAL(18, 2)) AS amount
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-JOIN part ON l_partkey = p_partkey""",
+LEFT JOIN part ON l_partkey = p_partkey""",
     "segments": """
 SELECT c_custkey AS company_id, CASE WHEN c_acctbal < 5000 THEN 'target' ELSE 'other' END AS segment
 FROM customer""",
@@ -137,39 +136,40 @@ FROM features""",
     "points": "SELECT company_id, "
     + _each("({c} - mid_{c}) / CASE WHEN iqr_{c} = 0 THEN 1 ELSE iqr_{c} END AS {c}")
     + " FROM logged, fitted",
-    "dist": "SELECT a.company_id AS o, b.company_id AS h, sqrt("
+    # Distances, and the same in steps of 1e-9, which are what is added up and compared.
+    "dist": "SELECT *, CAST(round_even(d * 1000000000, 0) AS BIGINT) AS q FROM (SELECT a.company_id AS o, "
+    "b.company_id AS h, sqrt("
     + _each("(a.{c} - b.{c}) * (a.{c} - b.{c})", sep=" + ")
-    + ") AS d FROM points a, points b",
+    + ") AS d FROM points a, points b)",
     "starts": """
-SELECT h AS medoid, round(sum(d), 9) AS total,
-  row_number() OVER (ORDER BY round(sum(d), 9), h) AS position
+SELECT h AS medoid, sum(q) / 1e9 AS total, row_number() OVER (ORDER BY sum(q), h) AS position
 FROM dist GROUP BY h""",
     "start_pairs": """
-SELECT o AS company_id, medoid, position - 1 AS cluster, d FROM dist JOIN starts ON h = medoid
+SELECT o AS company_id, medoid, position - 1 AS cluster, d, q FROM dist JOIN starts ON h = medoid
 WHERE position <= 4""",
     "start_labels": """
-SELECT company_id, min((round(d, 9), cluster, d)) AS best FROM start_pairs GROUP BY company_id""",
+SELECT company_id, min((q, cluster, d)) AS best FROM start_pairs GROUP BY company_id""",
     # State of PAM: one row per slot. A step replaces the medoid of the best swap.
     "pam": """
 SELECT CAST(0 AS BIGINT) AS step, position - 1 AS slot, medoid FROM starts WHERE position <= 4
 UNION ALL
 (WITH ranked AS (
-   SELECT o, list_sort(list((round(d, 9), slot, d))) AS near
+   SELECT o, list_sort(list((q, slot))) AS near
    FROM dist JOIN pam ON h = medoid GROUP BY o),
- own AS (SELECT o, near[1][2] AS label, near[1][3] AS dn, near[2][3] AS ds FROM ranked),
+ own AS (SELECT o, near[1][2] AS label, near[1][1] AS dn, near[2][1] AS ds FROM ranked),
  by_label AS (
-   SELECT h, label, sum(least(d - dn, 0)) AS kept,
-     sum(least(d, ds) - dn - least(d - dn, 0)) AS freed
+   SELECT h, label, sum(least(q - dn, 0)) AS kept,
+     sum(least(q, ds) - dn - least(q - dn, 0)) AS freed
    FROM dist JOIN own USING (o) GROUP BY h, label),
  shared AS (SELECT h, sum(kept) AS kept FROM by_label GROUP BY h),
  best AS (
-   SELECT round(s.kept + coalesce(b.freed, 0), 9) AS change, s.h AS newcomer, p.slot AS out_slot
+   SELECT s.kept + coalesce(b.freed, 0) AS change, s.h AS newcomer, p.slot AS out_slot
    FROM shared s CROSS JOIN pam p LEFT JOIN by_label b ON b.h = s.h AND b.label = p.slot
    ORDER BY change, newcomer, out_slot LIMIT 1)
  SELECT step + 1, slot, CASE WHEN slot = out_slot THEN newcomer ELSE medoid END
- FROM pam, best WHERE change < -1e-9)""",
+ FROM pam, best WHERE change < 0)""",
     "pam_labels": """
-SELECT o AS company_id, min((round(d, 9), slot, d)) AS best
+SELECT o AS company_id, min((q, slot, d)) AS best
 FROM dist JOIN pam ON h = medoid WHERE step = (SELECT max(step) FROM pam) GROUP BY o""",
     # State of the alternating fits: one row per k and slot, until no medoid moves.
     "alt": """
@@ -177,9 +177,9 @@ SELECT CAST(0 AS BIGINT) AS step, k, position - 1 AS slot, medoid
 FROM starts JOIN (SELECT unnest(range(1, 11)) AS k) ON position <= k
 UNION ALL
 (WITH own AS (
-   SELECT k, o, min((round(d, 9), slot))[2] AS label FROM dist JOIN alt ON h = medoid GROUP BY k, o),
+   SELECT k, o, min((q, slot))[2] AS label FROM dist JOIN alt ON h = medoid GROUP BY k, o),
  sums AS (
-   SELECT a.k, a.label, h, round(sum(d), 9) AS total
+   SELECT a.k, a.label, h, sum(q) AS total
    FROM dist JOIN own a ON a.o = dist.o JOIN own b ON b.o = dist.h AND b.k = a.k AND b.label = a.label
    GROUP BY a.k, a.label, h),
  best AS (
@@ -265,8 +265,8 @@ WHERE CAST(paid_at AS DATE) <= DATE '{STAR.window_end}'""",
   datediff('month', CAST(paid_at AS DATE), DATE '{STAR.anchor}') AS months_to_anchor
 FROM payments""",
         "segment_distinct": "SELECT DISTINCT company_id, segment FROM segments",
-        "join_raw_segment": f"SELECT {_PAYMENT_NO_TYPE} FROM windowed",
-        "join_segment": f"""SELECT {_PAYMENT_NO_TYPE}, segment
+        "join_raw_segment": f"SELECT {_PAYMENT} FROM windowed",
+        "join_segment": f"""SELECT {_PAYMENT}, segment
 FROM eligible JOIN (SELECT DISTINCT * FROM segments) USING (company_id)""",
         "join_segment_driven": f"""SELECT {_PAYMENT}, segment
 FROM segments JOIN eligible USING (company_id) WHERE segment = 'target'""",
@@ -337,8 +337,8 @@ FROM start_pairs""",
         "medoid_assign": """SELECT company_id, best[2] AS cluster, round(best[3], 6) AS distance
 FROM start_labels""",
         "medoid_inertia": "SELECT round(sum(best[3]), 6) AS loss FROM start_labels",
-        "elbow": """SELECT k, round(sum(nearest), 6) AS loss FROM (
-  SELECT k, o, min(d) AS nearest FROM dist JOIN alt ON h = medoid
+        "elbow": """SELECT k, round(sum(nearest) / 1e9, 6) AS loss FROM (
+  SELECT k, o, min(q) AS nearest FROM dist JOIN alt ON h = medoid
   WHERE step = (SELECT max(step) FROM alt) GROUP BY k, o) GROUP BY k""",
         "pam4": """SELECT best[2] AS cluster, count(*) AS n_companies, round(sum(best[3]), 6) AS loss,
   any_value(medoid) AS medoid_id

@@ -12,17 +12,8 @@ from pyspark.sql import functions as F
 from paysegments.config import SegmentConfig
 from paysegments.functions.dates import month_start, paid_date
 from paysegments.operators.activity import frequency, type_amount_pivot, with_days_since
-from paysegments.operators.filters import (
-    SegmentScope,
-    eligible,
-    in_window,
-    is_eligible,
-    is_in_window,
-    is_recent,
-    keep_recent,
-    segment_scope,
-)
-from paysegments.operators.shares import schedule_pivot, type_share_pivot
+from paysegments.operators.filters import is_eligible, is_in_window, is_recent, of_segment
+from paysegments.operators.shares import schedule_and_type_shares, schedule_pivot
 
 FEATURES = [
     "days_since_first_tx",
@@ -34,9 +25,18 @@ FEATURES = [
 TOTALS = ["first_active_month", "last_active_month", "total_payments", "total_payment_count"]
 
 
+def _counted_or_recent(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig) -> DataFrame:
+    """Payments of the segment that count, or that show recent activity."""
+    rows = payments.where((is_eligible(cfg) & is_in_window(cfg)) | is_recent(cfg))
+    if cfg.window_start is not None:
+        # Implied by the line above; a plain range is what prunes the files.
+        rows = rows.where(paid_date() >= F.lit(min(cfg.window_start, cfg.recent_since)))
+    return of_segment(rows, segments, cfg)
+
+
 def company_activity(
     payments: DataFrame,
-    segments: DataFrame | SegmentScope,
+    segments: DataFrame,
     cfg: SegmentConfig,
     recent_only: bool,
 ) -> DataFrame:
@@ -48,23 +48,17 @@ def company_activity(
     payment) pairs.
     """
     counted = is_eligible(cfg) & is_in_window(cfg)
-    if recent_only:
-        rows = payments.where(counted | is_recent(cfg))
-        if cfg.window_start is not None:
-            # Implied by the line above; a plain range is what prunes the files.
-            rows = rows.where(paid_date() >= F.lit(min(cfg.window_start, cfg.recent_since)))
-    else:
-        rows = payments.where(counted)
-
-    def summarise(part: DataFrame) -> DataFrame:
-        own = part.select(
+    rows = _counted_or_recent(payments, segments, cfg) if recent_only else of_segment(payments.where(counted), segments, cfg)
+    found = (
+        rows.select(
             "company_id",
             F.when(counted, paid_date()).alias("paid_date"),
             F.when(counted, F.col("amount")).alias("amount"),
             F.when(counted, F.col("payment_id")).alias("payment_id"),
             is_recent(cfg).alias("recent"),
         )
-        return own.groupBy("company_id").agg(
+        .groupBy("company_id")
+        .agg(
             F.min("paid_date").alias("first_date"),
             F.max("paid_date").alias("last_date"),
             F.sum("amount").alias("total_payments"),
@@ -73,8 +67,7 @@ def company_activity(
             ),
             F.max("recent").alias("recent"),
         )
-
-    found = segment_scope(segments, cfg).summarise(rows, summarise)
+    )
     found = found.where(F.col("first_date").isNotNull())
     if recent_only:
         found = found.where("recent")
@@ -97,18 +90,16 @@ def payer_features(
 
     Recency and frequency follow the window; the shares take all dates.
     """
-    scope = segment_scope(segments, cfg)
-    active = company_activity(payments, scope, cfg, recent_only)
-    recurring = schedule_pivot(payments, scope, cfg, {"schedule": "schedule_id"})
-    table = active.join(recurring, "company_id")
+    active = company_activity(payments, segments, cfg, recent_only)
     columns = ["company_id", *FEATURES]
     if include_totals:
         columns += TOTALS
     if include_type_shares:
-        mix = type_share_pivot(scope, payments, cfg)
-        table = table.join(mix, "company_id")
-        columns += mix.columns[1:]
-    return table.select(*columns)
+        shares = schedule_and_type_shares(payments, segments, cfg)
+        columns += [c for c in shares.columns if c.startswith("share_")]
+    else:
+        shares = schedule_pivot(payments, segments, cfg, {"schedule": "schedule_id"})
+    return active.join(shares, "company_id").select(*columns)
 
 
 def payer_features_all(
@@ -125,16 +116,23 @@ def payer_features_all(
 
 
 def amount_mix(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig) -> DataFrame:
-    """Amount per payment type of the recently active companies, in the window."""
+    """Amount per payment type of the recently active companies, in the window.
 
-    def totals(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("company_id", "payment_type").agg(
-            F.sum("amount").alias("total_payments"),
-            F.count_distinct(month_start(paid_date()), F.col("payment_id")).alias(
-                "total_payment_count"
-            ),
+    One read: payments that only show recent activity come along without amount or id.
+    """
+    counted = is_eligible(cfg) & is_in_window(cfg)
+    totals = (
+        _counted_or_recent(payments, segments, cfg)
+        .groupBy("company_id", "payment_type")
+        .agg(
+            F.sum(F.when(counted, F.col("amount"))).alias("total_payments"),
+            F.count_distinct(
+                F.when(counted, month_start(paid_date())), F.when(counted, F.col("payment_id"))
+            ).alias("total_payment_count"),
+            F.max(counted).alias("counted"),
+            F.max(is_recent(cfg)).alias("recent"),
         )
-
-    rows = in_window(eligible(payments, cfg), cfg)
-    mix = type_amount_pivot(segment_scope(segments, cfg).summarise(rows, totals), cfg)
-    return keep_recent(mix, payments, cfg)
+    )
+    known = F.coalesce(F.col("counted"), F.lit(False))
+    mix = type_amount_pivot(totals, cfg, known, F.max(known).alias("known"), F.max("recent").alias("recent"))
+    return mix.where("known AND recent").drop("known", "recent")

@@ -40,11 +40,11 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _on_inputs(build: Callable[[DataFrame, DataFrame], DataFrame], types: bool = False) -> Query:
-    """A query of (payments, segments); ``types`` if it needs the payment type."""
+def _on_inputs(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """A query of (payments, segments)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return comparable(build(payments(spark, sf_dir, types), segments(spark, sf_dir)))
+        return comparable(build(payments(spark, sf_dir), segments(spark, sf_dir)))
 
     return run
 
@@ -79,10 +79,9 @@ def _scaled(p: DataFrame, s: DataFrame) -> DataFrame:
 
 
 def _medoid_init(p: DataFrame, s: DataFrame) -> DataFrame:
-    space = medoids.PointSpace(_scaled(p, s), FEATURES)
-    rows = [
-        (i, m.id, total) for i, (total, m) in enumerate(medoids.ranked_by_total(space, K), 1)
-    ]
+    with medoids.PointSpace(_scaled(p, s), FEATURES) as space:
+        ranked = medoids.ranked_by_total(space, K)
+    rows = [(i, m.id, total) for i, (total, m) in enumerate(ranked, 1)]
     return p.sparkSession.createDataFrame(
         rows, "position bigint, company_id bigint, total_distance double"
     )
@@ -118,12 +117,12 @@ def _pam_summary(p: DataFrame, s: DataFrame) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         # sources and row filters
-        "payments_scan": _on_inputs(lambda p, s: p, types=True),
+        "payments_scan": _on_inputs(lambda p, s: p),
         "segments_scan": _on_inputs(lambda p, s: s),
-        "eligible_payments": _on_inputs(lambda p, s: filters.eligible(p, STAR), types=True),
+        "eligible_payments": _on_inputs(lambda p, s: filters.eligible(p, STAR)),
         "segment_members": _on_inputs(lambda p, s: filters.segment_members(s, STAR)),
-        "window_payments": _on_inputs(lambda p, s: filters.in_window(p, STAR), types=True),
-        "history_payments": _on_inputs(lambda p, s: filters.in_window(p, ALL), types=True),
+        "window_payments": _on_inputs(lambda p, s: filters.in_window(p, STAR)),
+        "history_payments": _on_inputs(lambda p, s: filters.in_window(p, ALL)),
         "recent_companies": _on_inputs(lambda p, s: filters.recent_companies(p, STAR)),
         "scalar_dates": _on_inputs(lambda p, s: scalar_dates(p)),
         "segment_distinct": _on_inputs(lambda p, s: s.distinct()),
@@ -135,7 +134,7 @@ def queries() -> dict[str, Query]:
         ),
         "join_segment": _on_inputs(lambda p, s: filters.with_segment(filters.eligible(p, STAR), s)),
         "join_segment_driven": _on_inputs(
-            lambda p, s: filters.segment_payments(s, filters.eligible(p, STAR), STAR), types=True
+            lambda p, s: filters.segment_payments(s, filters.eligible(p, STAR), STAR)
         ),
         "join_recent_semi": _on_inputs(lambda p, s: filters.keep_recent(_rollup(p, s), p, STAR)),
         # activity
@@ -144,14 +143,14 @@ def queries() -> dict[str, Query]:
         "monthly_activity": _on_inputs(_monthly),
         "monthly_activity_all": _on_inputs(lambda p, s: _monthly(p, s, ALL)),
         "monthly_activity_by_type": _on_inputs(
-            lambda p, s: _monthly(p, s, by_type=True), types=True
+            lambda p, s: _monthly(p, s, by_type=True)
         ),
         "activity_rollup": _on_inputs(_rollup),
         "activity_rollup_all": _on_inputs(lambda p, s: _rollup(p, s, ALL)),
         "frequency": _on_inputs(lambda p, s: activity.frequency(_rollup(p, s))),
         "frequency_all": _on_inputs(lambda p, s: activity.frequency(_rollup(p, s, ALL))),
         "type_totals": _on_inputs(
-            lambda p, s: activity.type_totals(_monthly(p, s, by_type=True)), types=True
+            lambda p, s: activity.type_totals(_monthly(p, s, by_type=True))
         ),
         # distinct counts, shares and pivots
         "schedule_distincts": _on_inputs(lambda p, s: shares.schedule_distincts(p, s, STAR)),
@@ -159,9 +158,9 @@ def queries() -> dict[str, Query]:
             lambda p, s: shares.schedule_shares(shares.schedule_distincts(p, s, STAR))
         ),
         "schedule_pivot": _on_inputs(lambda p, s: shares.schedule_pivot(p, s, STAR)),
-        "type_shares": _on_inputs(lambda p, s: shares.type_shares(s, p, STAR), types=True),
-        "type_share_pivot": _on_inputs(lambda p, s: shares.type_share_pivot(s, p, STAR), types=True),
-        "type_amount_pivot": _on_inputs(lambda p, s: features.amount_mix(p, s, STAR), types=True),
+        "type_shares": _on_inputs(lambda p, s: shares.type_shares(s, p, STAR)),
+        "type_share_pivot": _on_inputs(lambda p, s: shares.type_share_pivot(s, p, STAR)),
+        "type_amount_pivot": _on_inputs(lambda p, s: features.amount_mix(p, s, STAR)),
         # feature tables
         "rfm_features_12m": _on_inputs(lambda p, s: features.payer_features(p, s, STAR)),
         "rfm_features_all": _on_inputs(lambda p, s: features.payer_features_all(p, s, STAR)),
@@ -169,7 +168,7 @@ def queries() -> dict[str, Query]:
             lambda p, s: features.payer_features_all(p, s, STAR, include_totals=True)
         ),
         "rfm_with_type_shares": _on_inputs(
-            lambda p, s: features.payer_features_all(p, s, STAR, include_type_shares=True), types=True
+            lambda p, s: features.payer_features_all(p, s, STAR, include_type_shares=True)
         ),
         # table statistics
         "feature_head": _on_inputs(lambda p, s: stats.head(features.payer_features(p, s, STAR))),

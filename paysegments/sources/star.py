@@ -10,8 +10,10 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paysegments.config import SegmentConfig
+from paysegments.sources.tables import conform
 
 STAR = SegmentConfig(
     segment="target",
@@ -26,7 +28,7 @@ STAR = SegmentConfig(
 )
 
 
-# The columns in use, stated so that no file is opened to find them out.
+# The columns in use.
 SCHEMAS = {
     "customer": "c_custkey bigint, c_acctbal double, c_mktsegment string",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderpriority string",
@@ -37,22 +39,21 @@ SCHEMAS = {
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    """A table whose own schema has the columns stated, read with these only."""
+    return conform(spark.read.parquet(f"{sf_dir}/{name}.parquet"), T.StructType.fromDDL(SCHEMAS[name]))
 
 
-def payments(spark: SparkSession, sf_dir: str, payment_type: bool = True) -> DataFrame:
+def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments in the shape of ``tables.PAYMENTS`` (``locale_id`` is a string here).
 
     Orders meet their customer first and the line items last, on the order key:
     a customer with very many orders never becomes one task's share of line
-    items. ``payment_type=False`` leaves the part table unread.
+    items. An item of an unknown part is a payment without a type.
     """
     orders = _table(spark, sf_dir, "orders")
     customer = _table(spark, sf_dir, "customer")
-    items = _table(spark, sf_dir, "lineitem")
-    if payment_type:
-        part = _table(spark, sf_dir, "part")
-        items = items.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    part = _table(spark, sf_dir, "part")
+    items = _table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     schedules = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM")
     return items.join(schedules, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -60,7 +61,7 @@ def payments(spark: SparkSession, sf_dir: str, payment_type: bool = True) -> Dat
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("payment_id"),
         F.col("l_orderkey").alias("schedule_id"),
         F.when(urgent, STAR.recurring).otherwise(STAR.one_off).alias("schedule_type"),
-        *([F.col("p_type").alias("payment_type")] if payment_type else []),
+        F.col("p_type").alias("payment_type"),
         F.col("l_returnflag").alias("status"),
         F.col("c_mktsegment").alias("user_type"),
         F.col("l_linestatus").alias("locale_id"),

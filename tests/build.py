@@ -6,9 +6,11 @@ from datetime import datetime
 from decimal import Decimal
 from itertools import count
 
+from paysegments import analysis
 from paysegments.sources import tables
 
-OWN = "Unmanaged"
+OWN = "own"
+CFG = analysis(OWN)
 _ids = count(1)
 
 

@@ -7,17 +7,16 @@ from datetime import date
 
 import pytest
 
-from build import OWN, by_company, pay, payments, segments
-from paysegments import DEFAULT
+from build import CFG, OWN, by_company, pay, payments, segments
 from paysegments.functions.dates import month_start, months_between_starts
 from paysegments.operators import activity, filters, shares
 from paysegments.plans import features
 from pyspark.sql import functions as F
 
-ALL = DEFAULT.all_history()
+ALL = CFG.all_history()
 
 
-def rollup(p, s, cfg=DEFAULT):
+def rollup(p, s, cfg=CFG):
     return activity.activity_rollup(activity.monthly_activity(p, s, cfg))
 
 
@@ -34,7 +33,7 @@ def test_eligibility_drops_null_and_excluded(spark):
         pay(8, "2024-05-01", locale_id=None),
         *[pay(9, "2024-05-01", status=st) for st in ("Payment Failed", "Cancelled", "Refunding")],
     )
-    assert set(by_company(filters.eligible(p, DEFAULT), "payment_id")) == {1, 4}
+    assert set(by_company(filters.eligible(p, CFG), "payment_id")) == {1, 4}
 
 
 def test_window_ends_are_inclusive(spark):
@@ -46,7 +45,7 @@ def test_window_ends_are_inclusive(spark):
         pay(4, "2024-09-01T00:00:00"),
         pay(5, None),
     )
-    assert set(by_company(filters.in_window(p, DEFAULT), "payment_id")) == {1, 3}
+    assert set(by_company(filters.in_window(p, CFG), "payment_id")) == {1, 3}
     assert set(by_company(filters.in_window(p, ALL), "payment_id")) == {1, 2, 3}
 
 
@@ -55,7 +54,7 @@ def test_recency_days(spark):
     s = segments(spark, 1, 2)
     days = ("days_since_first_tx", "days_since_last_tx")
     # the window spans 29 February 2024
-    assert by_company(activity.recency(p, s, DEFAULT), *days) == {1: (366, 1)}
+    assert by_company(activity.recency(p, s, CFG), *days) == {1: (366, 1)}
     assert by_company(activity.recency(p, s, ALL), *days) == {1: (366, 1), 2: (1705, 1705)}
 
 
@@ -91,7 +90,7 @@ def test_a_payment_seen_in_two_months_counts_twice(spark):
     )
     s = segments(spark, 1)
     assert by_company(rollup(p, s), "total_payment_count", "total_payments") == {1: (2, 40)}
-    table = features.payer_features(p, s, replace(DEFAULT, recent_since=date(2024, 1, 1)), True, True)
+    table = features.payer_features(p, s, replace(CFG, recent_since=date(2024, 1, 1)), True, True)
     assert by_company(table, "total_payment_count", "total_payments") == {1: (2, 40)}
 
 
@@ -99,12 +98,12 @@ def test_lookup_rows_may_repeat(spark):
     p = payments(spark, pay(1, "2024-07-01"), pay(2, "2024-07-01"), pay(3, "2024-07-01"))
     s = segments(spark, 1, 1, (2, "Managed"), 2, (3, "Managed"), (4, None))
     assert by_company(rollup(p, s), "total_payments") == {1: 10, 2: 10}
-    assert set(by_company(features.payer_features(p, s, DEFAULT), "days_since_last_tx")) == {1, 2}
-    assert filters.with_raw_segment(p, s, DEFAULT).groupBy("company_id").count().orderBy(
+    assert set(by_company(features.payer_features(p, s, CFG), "days_since_last_tx")) == {1, 2}
+    assert filters.with_raw_segment(p, s, CFG).groupBy("company_id").count().orderBy(
         "company_id"
     ).collect() == [(1, 2), (2, 1)]
     assert filters.with_segment(p, s).count() == 4
-    assert filters.segment_payments(s, p, DEFAULT).count() == 3
+    assert filters.segment_payments(s, p, CFG).count() == 3
 
 
 def test_shares_take_all_dates(spark):
@@ -117,9 +116,9 @@ def test_shares_take_all_dates(spark):
         pay(1, "2024-07-01", schedule_type="recurring", status="Cancelled"),
     )
     s = segments(spark, 1)
-    table = features.payer_features(p, s, DEFAULT)
+    table = features.payer_features(p, s, CFG)
     assert by_company(table, "schedule_share_recurring", "days_since_first_tx") == {1: (0.75, 62)}
-    mix = shares.type_shares(s, p, DEFAULT)
+    mix = shares.type_shares(s, p, CFG)
     assert by_company(mix, "payment_type_share") == {1: 1.0}
 
 
@@ -135,12 +134,12 @@ def test_recent_takes_any_payment(spark):
         pay(4, "2024-07-01", status="Cancelled"),
     )
     s = segments(spark, 1, 2, 3, 4)
-    assert set(by_company(filters.recent_companies(p, DEFAULT))) == {1, 2, 4}
+    assert set(by_company(filters.recent_companies(p, CFG))) == {1, 2, 4}
     days = ("days_since_first_tx", "days_since_last_tx", "avg_monthly_payments")
-    table = features.payer_features(p, s, DEFAULT)
+    table = features.payer_features(p, s, CFG)
     assert by_company(table, *days) == {1: (244, 244, 10.0), 2: (244, 244, 10.0)}
-    assert set(by_company(features.payer_features_all(p, s, DEFAULT), *days)) == {1, 2, 3}
-    assert set(by_company(features.amount_mix(p, s, DEFAULT), "amount_rent")) == {1, 2}
+    assert set(by_company(features.payer_features_all(p, s, CFG), *days)) == {1, 2, 3}
+    assert set(by_company(features.amount_mix(p, s, CFG), "amount_rent")) == {1, 2}
 
 
 def test_schedule_under_two_types_and_a_third_type(spark):
@@ -152,12 +151,12 @@ def test_schedule_under_two_types_and_a_third_type(spark):
         pay(1, "2024-01-01", schedule_id=7, schedule_type=None),
     )
     s = segments(spark, 1)
-    counts = shares.schedule_distincts(p, s, DEFAULT)
+    counts = shares.schedule_distincts(p, s, CFG)
     assert {
         r["schedule_type"]: (r["count_schedule_by_type"], r["count_schedule_all"], r["count_payment_all"])
         for r in counts.collect()
     } == {"one off": (1, 3, 4), "recurring": (1, 3, 4), "on demand": (1, 3, 4), None: (1, 3, 4)}
-    pivot = shares.schedule_pivot(p, s, DEFAULT)
+    pivot = shares.schedule_pivot(p, s, CFG)
     found = by_company(pivot, "schedule_share_oneoff", "schedule_share_recurring")
     assert found == {1: (1 / 3, 1 / 3)}
 
@@ -172,7 +171,7 @@ def test_null_ids_are_not_counted(spark):
         pay(3, "2024-01-01", schedule_id=None, schedule_type="recurring"),
         pay(3, "2024-01-01", schedule_id=9),
     )
-    pivot = shares.schedule_pivot(p, segments(spark, 1, 2, 3), DEFAULT)
+    pivot = shares.schedule_pivot(p, segments(spark, 1, 2, 3), CFG)
     assert by_company(pivot, "schedule_share_recurring", "count_schedule_recurring") == {
         1: (None, 0),
         2: (0.0, 0),
@@ -214,8 +213,8 @@ def test_pivot_equals_conditional_maxima(spark, seed):
         for _ in range(60)
     ]
     p, s = payments(spark, *rows), segments(spark, *range(12))
-    plain = pivot_from_shares(shares.schedule_shares(shares.schedule_distincts(p, s, DEFAULT)))
-    pivot = shares.schedule_pivot(p, s, DEFAULT)
+    plain = pivot_from_shares(shares.schedule_shares(shares.schedule_distincts(p, s, CFG)))
+    pivot = shares.schedule_pivot(p, s, CFG)
     assert by_company(pivot, *plain.columns[1:]) == by_company(plain, *plain.columns[1:])
 
 
@@ -229,7 +228,7 @@ def test_amount_pivot_cells(spark):
         pay(3, "2024-07-01", amount=4, payment_type=None),
         pay(3, "2024-07-02", amount=4, payment_type="Condo & MCST fees"),
     )
-    mix = features.amount_mix(p, segments(spark, 1, 2, 3), DEFAULT)
+    mix = features.amount_mix(p, segments(spark, 1, 2, 3), CFG)
     assert len(mix.columns) == 1 + 18 + 2
     found = by_company(
         mix, "amount_rent", "amount_payroll", "amount_condo_mcst_fees", "sum_total_payments"
@@ -251,7 +250,7 @@ def test_share_pivot_keeps_absent_types_null(spark):
         pay(3, "2024-07-01", payment_id=77),
         pay(3, "2024-07-01", payment_id=77, payment_type="Parking"),
     )
-    pivot = shares.type_share_pivot(segments(spark, 1, 2, 3), p, DEFAULT)
+    pivot = shares.type_share_pivot(segments(spark, 1, 2, 3), p, CFG)
     found = by_company(pivot, "share_rent", "share_payroll", "share_gst", "share_parking")
     third = 1 / 3
     assert found == {
@@ -263,7 +262,7 @@ def test_share_pivot_keeps_absent_types_null(spark):
 
 def test_more_types_than_one_bit_column_holds(spark):
     types = tuple(f"T{i:03d}" for i in range(130))
-    cfg = replace(DEFAULT, payment_types=types)
+    cfg = replace(CFG, payment_types=types)
     p = payments(
         spark,
         *[pay(1, "2024-07-01", payment_type=t) for t in ("T000", "T061", "T062", "T124", "T129")],
@@ -279,7 +278,7 @@ def test_more_types_than_one_bit_column_holds(spark):
 
 def test_company_without_a_feature_is_left_out(spark):
     p = payments(spark, pay(1, "2024-07-01"), pay(2, "2024-07-01", status="Cancelled"))
-    assert set(by_company(features.payer_features(p, segments(spark, 1, 2, 5), DEFAULT))) == {1}
+    assert set(by_company(features.payer_features(p, segments(spark, 1, 2, 5), CFG))) == {1}
 
 
 def test_fused_table_equals_operators(spark):
@@ -300,23 +299,27 @@ def test_fused_table_equals_operators(spark):
         for _ in range(150)
     ]
     p, s = payments(spark, *rows), segments(spark, *range(7), (7, "Managed"))
-    parts = activity.recency(p, s, DEFAULT).join(
+    parts = activity.recency(p, s, CFG).join(
         activity.frequency(rollup(p, s)), "company_id"
     )
-    parts = parts.join(shares.schedule_pivot(p, s, DEFAULT), "company_id")
-    parts = filters.keep_recent(parts, p, DEFAULT)
+    parts = parts.join(shares.schedule_pivot(p, s, CFG), "company_id")
+    parts = filters.keep_recent(parts, p, CFG)
     cols = [*features.FEATURES, *features.TOTALS]
-    table = features.payer_features(p, s, DEFAULT, include_totals=True)
+    table = features.payer_features(p, s, CFG, include_totals=True)
     assert by_company(table, *cols) == by_company(parts, *cols)
-    monthly = activity.monthly_activity(p, s, DEFAULT, by_type=True)
-    mix = activity.type_amount_pivot(activity.type_totals(monthly), DEFAULT)
-    mix = filters.keep_recent(mix, p, DEFAULT)
-    fused = features.amount_mix(p, s, DEFAULT)
+    monthly = activity.monthly_activity(p, s, CFG, by_type=True)
+    mix = activity.type_amount_pivot(activity.type_totals(monthly), CFG)
+    mix = filters.keep_recent(mix, p, CFG)
+    fused = features.amount_mix(p, s, CFG)
     assert by_company(fused, *mix.columns[1:]) == by_company(mix, *mix.columns[1:])
 
 
-@pytest.mark.parametrize("broadcast_companies", [0, 1_000_000])
-def test_small_and_large_segments_agree(spark, broadcast_companies):
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_small_and_large_segments_agree(spark, conf, threshold):
+    conf(
+        spark__sql__autoBroadcastJoinThreshold=threshold,
+        spark__sql__adaptive__autoBroadcastJoinThreshold=threshold,
+    )
     p = payments(
         spark,
         pay(1, "2024-07-01", amount=3),
@@ -324,9 +327,7 @@ def test_small_and_large_segments_agree(spark, broadcast_companies):
         pay(2, "2024-07-01"),
     )
     s = segments(spark, 1, 1, (2, "Managed"))
-    cfg = replace(DEFAULT, broadcast_companies=broadcast_companies)
-    assert filters.segment_scope(s, cfg).small is (broadcast_companies > 0)
-    table = features.payer_features(p, s, cfg, include_type_shares=True)
+    table = features.payer_features(p, s, CFG, include_type_shares=True)
     assert by_company(table, "avg_monthly_payments", "schedule_share_recurring", "share_rent") == {
         1: (13.0, 0.5, 1.0)
     }

@@ -23,7 +23,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(queries()) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(queries()))
@@ -46,11 +46,11 @@ ELBOW = [853.6, 715.0, 669.6, 637.7, 602.3, 592.6, 565.9, 548.8, 539.7, 523.3]
 @pytest.fixture(scope="module")
 def scaled(spark):
     return segmentation.scaled_features(
-        payments(spark, MIDDLE, False), segments(spark, MIDDLE), STAR
+        payments(spark, MIDDLE), segments(spark, MIDDLE), STAR
     )
 
 
-@pytest.mark.parametrize("sizes", [{}, {"batch": 60, "centres": 30}])
+@pytest.mark.parametrize("sizes", [{}, {"candidates": 60}])
 def test_known_fit(scaled, sizes):
     chosen = medoids.kmedoids(scaled, FEATURES, 4, "pam", **sizes)
     labelled = medoids.assign(scaled, FEATURES, chosen)

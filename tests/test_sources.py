@@ -1,12 +1,19 @@
 from __future__ import annotations
 
+import os
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from build import pay, payments, segments
+from build import CFG, pay, payments, segments
 from paysegments.config import slug
-from paysegments.functions.lineage import ensure_checkpoint_dir
-from paysegments.sources import tables
+from paysegments.functions import lineage
+from paysegments.plans import features
+from paysegments.sources import star, tables
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_round_trip(spark, tmp_path):
@@ -35,7 +42,87 @@ def test_slug():
     assert slug("Condo & MCST fees") == "condo_mcst_fees"
 
 
-def test_checkpoints_go_where_the_session_says(spark):
-    assert ensure_checkpoint_dir(spark).startswith(
-        "file:" + spark.conf.get("spark.checkpoint.dir")
-    ) or ensure_checkpoint_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+def test_intermediate_tables_go_where_the_session_says(spark):
+    assert lineage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    with lineage.Scratch(spark) as scratch:
+        table = scratch.write(spark.range(3))
+        [path] = [p for _, p in scratch.paths.values()]
+        assert path.startswith(lineage.shared_folder(spark)) and os.path.isdir(path)
+        assert table.count() == 3
+    assert not os.path.exists(path)
+
+
+def test_without_a_checkpoint_folder_they_go_to_the_warehouse(spark, conf):
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        unset = spark.conf.get("spark.checkpoint.dir", None)
+        if unset is None:
+            assert lineage.shared_folder(spark).startswith(spark.conf.get("spark.sql.warehouse.dir"))
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+
+
+@pytest.fixture
+def star_files(spark, tmp_path):
+    """The star tables of the smallest size, with one part missing."""
+    for name in star.SCHEMAS:
+        spark.read.parquet(f"{SMALL}/{name}.parquet").where("true" if name != "part" else "p_partkey <> 7").write.parquet(
+            str(tmp_path / f"{name}.parquet")
+        )
+    return tmp_path
+
+
+def test_an_item_of_an_unknown_part_is_a_payment_without_type(spark, star_files):
+    whole = star.payments(spark, SMALL)
+    found = star.payments(spark, str(star_files))
+    assert found.count() == whole.count()
+    lost = whole.join(spark.read.parquet(f"{SMALL}/lineitem.parquet").where("l_partkey = 7").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS payment_id").distinct(), "payment_id", "left_semi").count()
+    assert found.where("payment_type IS NULL").count() == lost > 0
+
+
+def test_a_missing_column_is_named(spark, star_files):
+    path = str(star_files / "customer.parquet")
+    spark.read.parquet(f"{SMALL}/customer.parquet").drop("c_acctbal").write.mode("overwrite").parquet(path)
+    with pytest.raises(ValueError, match="c_acctbal: expected double, found nothing"):
+        star.segments(spark, str(star_files))
+
+
+def test_the_readers_with_all_payment_types(spark, tmp_path):
+    """Written files, the full list of types and the numeric locale, against the same rules in SQL."""
+    draw = random.Random(3)
+    types = [*CFG.payment_types, "Gold", None]
+    rows = [
+        pay(
+            draw.randrange(30),
+            f"20{draw.randrange(22, 25)}-{draw.randrange(1, 13):02d}-{draw.randrange(1, 28):02d}",
+            payment_id=draw.randrange(400),
+            payment_type=draw.choice(types),
+            status=draw.choice(["Success", "Success", "Refunded", None]),
+            user_type=draw.choice(["business", "guest", "staff"]),
+            locale_id=draw.choice([1, 1, 2]),
+            amount=draw.randrange(-5, 500),
+        )
+        for _ in range(3000)
+    ]
+    payments(spark, *rows).write.parquet(str(tmp_path / "payments"))
+    segments(spark, *range(25), (3, "other"), *[(c, "other") for c in range(25, 30)]).write.parquet(str(tmp_path / "segments"))
+    p, s = tables.read_payments(spark, str(tmp_path / "payments")), tables.read_segments(spark, str(tmp_path / "segments"))
+    found = sorted(tuple(r) for r in features.amount_mix(p, s, CFG).collect())
+    listed = ", ".join(f"'{t}'" for t in CFG.excluded_statuses)
+    cells = ", ".join(f"max(CASE WHEN payment_type = '{t}' THEN amount ELSE 0 END)" for t in CFG.payment_types)
+    con = duckdb.connect()
+    expected = con.execute(f"""
+        WITH p AS (SELECT * FROM '{tmp_path}/payments/*.parquet'),
+        m AS (SELECT company_id, payment_type, date_trunc('month', paid_at) AS month, sum(amount) AS amount,
+                count(DISTINCT payment_id) AS n FROM p
+              WHERE status NOT IN ({listed}) AND user_type IN ('business', 'guest') AND locale_id = 1
+                AND CAST(paid_at AS DATE) BETWEEN DATE '2023-09-01' AND DATE '2024-08-31'
+                AND company_id IN (SELECT company_id FROM '{tmp_path}/segments/*.parquet' WHERE segment = 'own')
+              GROUP BY ALL),
+        t AS (SELECT company_id, payment_type, sum(amount) AS amount, sum(n) AS n FROM m GROUP BY ALL)
+        SELECT company_id, {cells}, sum(amount), CAST(sum(n) AS BIGINT) FROM t
+        WHERE company_id IN (SELECT company_id FROM p WHERE CAST(paid_at AS DATE) >= DATE '2024-06-01')
+        GROUP BY company_id ORDER BY company_id""").fetchall()
+    assert len(found) > 20 and found == expected

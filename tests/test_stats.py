@@ -6,8 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from build import by_company
-from paysegments import DEFAULT
+from build import CFG, by_company
 from paysegments.operators import stats
 from paysegments.plans.features import FEATURES
 
@@ -82,16 +81,25 @@ def test_no_spread_only_centres(spark):
 
 def test_transform(spark):
     df = frame(spark, **dict(zip(FEATURES, ([1, 390, 400], [0, 1, 2], [0, 1, 2], [9, 0, 0], [0.5, 0, 1]))))
-    found = by_company(stats.transform(df, DEFAULT), *FEATURES)
+    found = by_company(stats.transform(df, CFG), *FEATURES)
     assert found[0] == pytest.approx((math.log(389), 0, 0, math.log(10), 0.5))
     assert found[1][0] is None and found[2][0] is None
-    linear = by_company(stats.transform(df, DEFAULT, log_first=False), FEATURES[0])
+    linear = by_company(stats.transform(df, CFG, log_first=False), FEATURES[0])
     assert linear == {0: 389, 1: 0, 2: -10}
-    with pytest.raises(ValueError, match="of 3 rows, days_since_first_tx is missing in 2"):
-        stats.robust_scale(stats.transform(df, DEFAULT), FEATURES)
+    with pytest.raises(ValueError, match="of 3 rows, days_since_first_tx is missing or not finite in 2"):
+        stats.robust_scale(stats.transform(df, CFG), FEATURES)
 
 
 def test_head_and_shape(spark):
     df = frame(spark, a=range(9)).orderBy("company_id", ascending=False)
     assert [r["company_id"] for r in stats.head(df).collect()] == [0, 1, 2, 3, 4]
     assert stats.shape(df).collect() == [(9, 2)]
+
+
+@pytest.mark.parametrize("odd", [math.nan, math.inf, -math.inf])
+def test_odd_values_are_refused(spark, odd):
+    df = frame(spark, a=[1, 2, odd], b=[1, 2, 3])
+    with pytest.raises(ValueError, match="a has 1 values"):
+        stats.profile(df, ["a", "b"])
+    with pytest.raises(ValueError, match="of 3 rows, a is missing or not finite in 1"):
+        stats.robust_scale(df, ["a", "b"])
