@@ -74,20 +74,25 @@ class Letters:
     def ngrams(self, text: str) -> np.ndarray | None:
         """Counts of the n-grams by bucket; None without letters."""
         counts, found = np.zeros(FEATURES, np.int64), False
+        before, in_word = np.array([32], np.uint32), False  # what n-grams of the next block may begin with
         for start in range(0, len(text), BLOCK):
-            piece = text[max(start - LONGEST + 1, 0) : start + BLOCK].lower()
+            piece = text[start : start + BLOCK].lower()
             points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
             letter = self.known[points]
             found = found or bool(letter.any())
-            plain = np.where(letter, points, 32).astype(np.uint32)
-            keep = letter.copy()
-            keep[1:] |= letter[:-1]  # one blank after each word
-            plain = np.concatenate([[32], plain[keep], [32]]).astype(np.uint32)
-            mixed = np.zeros(len(plain), np.uint32)
-            for n in range(min(LONGEST, len(plain))):
-                mixed = (mixed[: len(plain) - n] ^ plain[n:]) * _FACTORS[n]
+            keep = letter | np.concatenate([[in_word], letter[:-1]])  # one blank after each word
+            in_word = bool(letter[-1:].any())
+            plain = np.where(letter, points, 32)[keep]
+            if start + BLOCK >= len(text):
+                plain = np.append(plain, 32)
+            line = np.concatenate([before, plain]).astype(np.uint32)
+            mixed = np.zeros(len(line), np.uint32)
+            for n in range(min(LONGEST, len(line))):  # n-grams of n + 1 characters that end in this block
+                mixed = (mixed[: len(line) - n] ^ line[n:]) * _FACTORS[n]
                 mixed ^= mixed >> np.uint32(15)
-                counts += np.bincount((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS), minlength=FEATURES)
+                new = mixed[max(len(before) - n, 0) :] * np.uint32(0x27D4EB2F)
+                counts += np.bincount(new >> np.uint32(32 - BITS), minlength=FEATURES)
+            before = line[-(LONGEST - 1) :]
         return counts if found else None
 
 
