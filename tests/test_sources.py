@@ -52,15 +52,15 @@ def test_intermediate_tables_go_where_the_session_says(spark):
     assert not os.path.exists(path)
 
 
-def test_without_a_checkpoint_folder_they_go_to_the_warehouse(spark, conf):
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.unset("spark.checkpoint.dir")
-    try:
-        unset = spark.conf.get("spark.checkpoint.dir", None)
-        if unset is None:
-            assert lineage.shared_folder(spark).startswith(spark.conf.get("spark.sql.warehouse.dir"))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_without_a_checkpoint_folder_they_go_to_the_warehouse():
+    class Session:
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda key, *default: "/w" if key == "spark.sql.warehouse.dir" else default[0])
+
+    assert lineage.shared_folder(Session) == "/w/intermediate"
 
 
 @pytest.fixture
@@ -77,8 +77,7 @@ def test_an_item_of_an_unknown_part_is_a_payment_without_type(spark, star_files)
     whole = star.payments(spark, SMALL)
     found = star.payments(spark, str(star_files))
     assert found.count() == whole.count()
-    lost = whole.join(spark.read.parquet(f"{SMALL}/lineitem.parquet").where("l_partkey = 7").selectExpr(
-        "l_orderkey * 10 + l_linenumber AS payment_id").distinct(), "payment_id", "left_semi").count()
+    lost = spark.read.parquet(f"{SMALL}/lineitem.parquet").where("l_partkey = 7").count()
     assert found.where("payment_type IS NULL").count() == lost > 0
 
 
