@@ -6,11 +6,12 @@ windows (anchors) are hashed only at positions of a difference cover modulo PERI
 any two positions there is an offset below PERIOD at which both are in the cover. So two
 equal windows contain equal anchors at the same offset. The steps:
 
-1. Anchors go to one shuffle by hash; an anchor found at two places is a candidate.
-   Equal anchors of a slice of documents are settled before the shuffle, and only one of
-   them represents the slice, so frequent passages do not pile up under one key.
-2. Candidates return to their text. Each is extended to the full windows that contain it,
-   and only those are hashed, with 128 bits. Windows found at two places are repeats.
+1. Anchors go to one shuffle by hash; an anchor found in two texts, or twice in one, is a
+   candidate. Equal anchors of a slice of documents are settled before the shuffle, and
+   only one of them represents the slice, so frequent passages do not pile up under one
+   key. A slice sends one row for each bucket of hashes, with all its anchors there.
+2. Candidates return to their text by their hash. Each is extended to the full windows that contain it,
+   and only those are hashed, with 95 bits. Windows found at two places are repeats.
    Again a slice settles its own first.
 3. The starts of repeated windows return to their text, whose other words are kept.
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysegments.functions.shipping import ship_by_value
-from paysegments.llm.text import as_bytes, as_row, row_type, with_columns
+from paysegments.llm.text import as_bytes, as_row, row_type, small_batches, with_columns
 
 ship_by_value(__name__)
 
@@ -45,7 +46,9 @@ PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 # Bytes of text whose anchors and windows are settled together.
 SLICE = 1 << 22
 # Words whose hashes a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+# Buckets of anchors for each partition of a shuffle.
+BUCKETS = 8
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
 COPIED = -1  # in place of a start: the text has copies
@@ -91,6 +94,7 @@ def _settle(keys: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarra
 
     Of rows with equal keys and equal places one is left. Of rows with equal keys at
     different places all are known to repeat; one keeps its key to tell other slices.
+    Rows stay in the order of their texts, in which they take the least room.
     """
     order = np.lexsort([*reversed(places), *reversed(keys)])
     new_key = np.zeros(len(order), bool)
@@ -102,34 +106,49 @@ def _settle(keys: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarra
         new[1:] |= place[order][1:] != place[order][:-1]
     order, new_key = order[new], new_key[new]
     alone = new_key & np.append(new_key[1:], True)
-    return order, new_key, ~alone
+    back = np.argsort(order)
+    return order[back], new_key[back], ~alone[back]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, k1, position, known: hashes at cover positions."""
-    words, length = _Words(), WINDOW - PERIOD + 1
-    cover = np.isin(np.arange(PERIOD), COVER)
+def _hashed(text: bytes, words: _Words) -> np.ndarray:
+    split = text.split()
+    return np.fromiter(map(words.__getitem__, split), np.uint64, len(split))
+
+
+def _cover_anchors(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the cover in a text, and the anchors there."""
+    found = window_hashes(hashed, WINDOW - PERIOD + 1, _FACTORS[0])
+    at = np.flatnonzero(np.resize(np.isin(np.arange(PERIOD), COVER), len(found)))
+    return at, found[at]
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """bucket, known, anchors, texts: the anchors of a slice by bucket, with the texts they are in."""
+    words = _Words()
 
     def send(parts: list[tuple]) -> pa.RecordBatch:
-        anchor, text, position = map(np.concatenate, zip(*parts))
-        rows, own, known = _settle([anchor], [text, position])
-        anchor, text, position = anchor[rows], text[rows], position[rows]
-        spread = _mixed(text.view(np.uint64) ^ _mixed(position.astype(np.uint64)))
-        key = np.where(own, anchor, spread).view(np.int64)
+        anchor, text, inner = map(np.concatenate, zip(*parts))
+        rows, own, known = _settle([anchor], [text])
+        anchor, text, known = anchor[rows], text[rows], known | inner[rows]
+        # what is settled goes by its text
+        bucket = np.where(own, anchor, _mixed(text.view(np.uint64))) % np.uint64(buckets)
+        order = np.lexsort([known, bucket])
+        anchor, text, known, bucket = anchor[order], text[order], known[order], bucket[order].astype(np.int32)
+        first = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (known[1:] != known[:-1])))
+        offsets = pa.array(np.append(first, len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (anchor.view(np.int64), text)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(text), pa.array(position), pa.array(known)], ["anchor", "k1", "position", "known"]
+            [pa.array(bucket[first]), pa.array(known[first]), *lists], ["bucket", "known", "anchors", "texts"]
         )
 
     parts, size = [], 0
     for batch in batches:
         for k1, text in zip(batch.column("k1").to_pylist(), batch.column("text")):
             data = as_bytes(text)
-            split = data.split()
-            if len(split) >= WINDOW:
-                hashed = np.fromiter(map(words.__getitem__, split), np.uint64, len(split))
-                found = window_hashes(hashed, length, _FACTORS[0])
-                at = np.flatnonzero(np.resize(cover, len(found)))
-                parts.append((found[at], np.full(len(at), k1, np.int64), at.astype(np.int32)))
+            hashed = _hashed(data, words)
+            if len(hashed) >= WINDOW:
+                found, times = np.unique(_cover_anchors(hashed)[1], return_counts=True)
+                parts.append((found, np.full(len(found), k1, np.int64), times > 1))
                 size += len(data)
             if size >= SLICE:
                 yield send(parts)
@@ -146,30 +165,32 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2, k1, k2, start = map(np.concatenate, zip(*parts))
         rows, own, known = _settle([h1, h2], [k1, k2, start])
         h1, h2, k1, k2, start = h1[rows], h2[rows], k1[rows], k2[rows], start[rows]
-        place = _mixed(k1.view(np.uint64) ^ _mixed(k2.view(np.uint64) ^ _mixed(start.astype(np.uint64))))
-        columns = [np.where(own, h1, place).view(np.int64), np.where(own, h2, ~place).view(np.int64), k1, k2, start, known]
-        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["h1", "h2", "k1", "k2", "start", "known"])
+        key = np.where(own, h1, _mixed(k1.view(np.uint64))).view(np.int64), np.where(own, h2, 0)
+        return pa.RecordBatch.from_arrays(
+            list(map(pa.array, (*key, k1, k2, start, known))), ["h1", "h2", "k1", "k2", "start", "known"]
+        )
 
     parts, size, seen = [], 0, set()
     for batch in batches:
         k1s, k2s = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
         texts = batch.column("row").field("text")
-        for k1, k2, text, at in zip(k1s, k2s, texts, batch.column("positions")):
+        for k1, k2, text, candidates in zip(k1s, k2s, texts, batch.column("anchors")):
             if (k1, k2) in seen:  # another copy
                 continue
             seen.add((k1, k2))
             data = as_bytes(text)
-            split = data.split()
-            hashed = np.fromiter(map(words.__getitem__, split), np.uint64, len(split))
-            n = len(split) - WINDOW + 1
+            hashed = _hashed(data, words)
+            n = len(hashed) - WINDOW + 1
             if n < 1:
                 continue
-            position = at.values.to_numpy().astype(np.int64)
+            at, anchors = _cover_anchors(hashed)
+            position = at[np.isin(anchors, candidates.values.to_numpy().view(np.uint64))]
             change = np.zeros(n + PERIOD + 1, np.int32)  # starts up to PERIOD - 1 before an anchor
             np.add.at(change, np.maximum(position - PERIOD + 1, 0), 1)
             np.add.at(change, np.minimum(position, n + PERIOD - 1) + 1, -1)
             start = np.flatnonzero(np.cumsum(change[:n]) > 0)
             one, two = (window_hashes(hashed, WINDOW, f)[start] for f in _FACTORS)
+            two = (two >> np.uint64(33)).astype(np.int32)
             parts.append((one, two, np.full(len(start), k1, np.int64), np.full(len(start), k2, np.int64), start.astype(np.int32)))
             size += len(data)
             if size >= SLICE:
@@ -200,7 +221,7 @@ def _repeats(found: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
     group = Window.partitionBy(*keys)
     at = F.xxhash64(*place)
     twice = F.max("known").over(group) | (F.min(at).over(group) != F.max(at).over(group))
-    return found.withColumn("twice", twice).where("twice").select(*place)
+    return found.withColumn("twice", twice).where("twice").drop("known", "twice")
 
 
 def remove_repeats(docs: DataFrame, carry: Sequence[str] = ("doc_id",), tidy: bool = True) -> DataFrame:
@@ -209,17 +230,23 @@ def remove_repeats(docs: DataFrame, carry: Sequence[str] = ("doc_id",), tidy: bo
     ``kept`` is the words with single blanks between them. Without ``tidy`` that holds
     only for texts that lose words; the others are kept as they are.
     """
+    small_batches(docs.sparkSession)
     text = F.col("text")
     k2 = F.shiftleft(F.crc32(text.cast("binary")), 31).bitwiseOR(F.length(text).cast("long"))
     keyed = docs.select(F.xxhash64(text).alias("k1"), F.coalesce(k2, F.lit(0)).alias("k2"), as_row(docs))
     texts = docs.select(F.xxhash64(text).alias("k1"), "text")
-    anchors = texts.mapInArrow(_anchors, "anchor long, k1 long, position int, known boolean")
-    candidates = _repeats(anchors, ["anchor"], ["k1", "position"])
-    positions = candidates.groupBy("k1").agg(F.collect_set("position").alias("positions"))
-    windows = keyed.join(positions, "k1").mapInArrow(
-        _windows, "h1 long, h2 long, k1 long, k2 long, start int, known boolean"
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = texts.mapInArrow(
+        lambda batches: _anchors(batches, buckets), "bucket int, known boolean, anchors array<long>, texts array<long>"
+    )
+    # rows of a bucket meet in one task, and with them all equal anchors
+    anchors = sent.repartition("bucket").select("bucket", "known", F.inline(F.arrays_zip("anchors", "texts")))
+    found = _repeats(anchors, ["bucket", "anchors"], ["texts"])
+    candidates = found.groupBy(F.col("texts").alias("k1")).agg(F.collect_set("anchors").alias("anchors"))
+    windows = keyed.join(candidates, "k1").mapInArrow(
+        _windows, "h1 long, h2 int, k1 long, k2 long, start int, known boolean"
     )
-    starts = _repeats(windows, ["h1", "h2"], ["k1", "k2", "start"])
+    starts = _repeats(windows, ["h1", "h2"], ["k1", "k2", "start"]).select("k1", "k2", "start")
     copied = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
     every = starts.unionByName(copied.select("k1", "k2", F.lit(COPIED).alias("start")))
     repeats = every.groupBy("k1").agg(F.collect_set(F.struct("k2", "start")).alias("repeats"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paysegments.functions.shipping import ship_by_value
@@ -41,3 +41,14 @@ def with_columns(rows: pa.StructArray, carry: Sequence[str], **columns: pa.Array
 
 def as_bytes(text: pa.StringScalar) -> bytes:
     return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
+# Rows of an Arrow batch. Texts can be long, and tasks and executors hold a batch or two.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Make the session send at most BATCH_ROWS rows to a task at a time."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
