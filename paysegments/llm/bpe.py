@@ -11,8 +11,8 @@ encodings of both sides agree with that of the whole text, and the repaired ids
 exactly those of the library.
 
 Inside a chunk the pieces between safe boundaries are looked up as well, so the library
-only sees pieces that are new to the task. Both caches hold a bounded number of entries
-and start anew when full; that changes the time, not the result. Reuse stays inside a
+only sees pieces that are new to the task, many of them as one text. The caches hold a
+bounded number of entries and start anew when full; that changes the time, not the result. Reuse stays inside a
 task on purpose: sharing chunks through a shuffle would move the texts and ids of the
 whole corpus, which is more than the encoding that it saves.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paysegments.functions.shipping import ship_by_value
-from paysegments.llm.text import as_bytes, as_row, row_type, with_columns
+from paysegments.llm.text import as_bytes, as_row, row_type, small_batches, with_columns
 
 ship_by_value(__name__)
 
@@ -41,12 +41,16 @@ CUT_BITS = 9
 # No chunk is shorter, whatever the hash says.
 SHORTEST = 64
 BLOCK = 1 << 20
-# Entries that the caches of a task may hold.
-PIECES, CHUNKS = 300_000, 30_000
+# Entries of a task's caches at which they start anew.
+PIECES, CHUNKS = 100_000, 10_000
+# Pieces that are encoded as one text.
+TOGETHER = 4096
 # Bytes of text that a task works on at a time.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
+# A piece with a safe boundary before it, and after it if another such piece follows.
+LINE = re.compile(r"[ \n]\S(?:.*\S)?", re.DOTALL)
 _FACTOR = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -89,24 +93,45 @@ class Encoder:
         self.library = Tokenizer.from_str(tokenizer)
         self.library.no_truncation()
         self.library.no_padding()
+        self.lengths = np.array([len(b) for b in token_bytes(tokenizer)])
+        # pieces in use, and those of the time before, of which the ones still in use move over
         self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         # a chunk: its text up to the first safe boundary, the ids of what lies between the
         # first and the last, and the rest; without a boundary the first is all of it
         self.chunks: dict[bytes, tuple[str, bytes | None, str]] = {}
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
-        if not new:
-            return
-        for piece, encoded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+    def _learn(self, lists: Iterable[list[str]]) -> None:
+        new = set().union(*lists) - self.pieces.keys()
+        again = new & self.before.keys()
+        self.pieces.update((p, self.before[p]) for p in again)
+        new -= again
+        lines = [p for p in new if LINE.fullmatch(p)]
+        for start in range(0, len(lines), TOGETHER):
+            new.difference_update(self._learn_lines(lines[start : start + TOGETHER]))
+        rest = list(new)
+        for piece, encoded in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
             self.pieces[piece] = np.array(encoded.ids, "<u4").tobytes()
 
+    def _learn_lines(self, lines: list[str]) -> list[str]:
+        """Encode pieces as one text, as long as its tokens end where the pieces do."""
+        ids = np.array(self.library.encode("".join(lines), add_special_tokens=False).ids, "<u4")
+        reached = np.cumsum(self.lengths[ids])
+        ends = np.cumsum([len(p.encode()) for p in lines])
+        at = np.searchsorted(reached, ends)
+        if at[-1] >= len(ids) or (reached[at] != ends).any():
+            return []
+        data = ids.tobytes()
+        last = (4 * (at + 1)).tolist()
+        self.pieces.update(zip(lines, [data[s:e] for s, e in zip([0, *last], last)]))
+        return lines
+
     def _ids(self, pieces: Iterable[str]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > PIECES:
-            self.pieces.clear()
+            self.pieces, self.before = {}, self.pieces
         if len(self.chunks) > CHUNKS:
             self.chunks.clear()
         cut = []
@@ -115,12 +140,12 @@ class Encoder:
             ends = cuts(data)
             cut.append([data[s:e] for s, e in zip([0, *ends], ends)])
         split = {c: SAFE.split(c.decode()) for chunks in cut for c in chunks if c not in self.chunks}
-        self._learn(p for pieces in split.values() for p in pieces[1:-1])
+        self._learn(pieces[1:-1] for pieces in split.values())
         for chunk, pieces in split.items():
             between = self._ids(pieces[1:-1]) if len(pieces) > 1 else None
             self.chunks[chunk] = (pieces[0], between, pieces[-1] if len(pieces) > 1 else "")
         walked = [self._walk(chunks) for chunks in cut]
-        self._learn(p for steps in walked for step in steps if isinstance(step, list) for p in step)
+        self._learn(step for steps in walked for step in steps if isinstance(step, list))
         return [b"".join(self._ids(s) if isinstance(s, list) else s for s in steps) for steps in walked]
 
     def _walk(self, chunks: list[bytes]) -> list[list[str] | bytes]:
@@ -176,6 +201,7 @@ def tokenizer_text(path: str) -> str:
 
 def encode(docs: DataFrame, path: str, carry: Sequence[str] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """``row`` (the columns ``carry`` of ``docs``), ``ids`` (binary) and on demand ``decoded`` from them."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_text(path))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +220,7 @@ def encode(docs: DataFrame, path: str, carry: Sequence[str] = ("doc_id",), decod
 
 def decode(encoded: DataFrame, path: str, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``row`` (the columns ``carry``) and ``decoded`` for a column ``ids`` (binary; null: empty)."""
+    small_batches(encoded.sparkSession)
     sent = encoded.sparkSession.sparkContext.broadcast(tokenizer_text(path))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
