@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysegments.functions.shipping import ship_by_value
-from paysegments.llm.text import as_row, row_type, with_columns
+from paysegments.llm.text import as_row, row_type, small_batches, with_columns
 
 ship_by_value(__name__)
 
@@ -176,10 +176,12 @@ def _sample(docs: DataFrame, per_language: int) -> DataFrame:
     """lang, order and text of at most ``per_language`` rows of each language."""
     order = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.col("text"))), 1, 15), 16, 10)
     ordered = docs.select("lang", order.cast("long").alias("order"), "text")
-    counts = docs.groupBy("lang").agg(F.count("text").alias("n"))
+    # one count per language, of which the model has a column of weights each
+    counts = docs.groupBy("lang").agg(F.count("text").alias("n")).collect()
     # by the hash alone, so that no language has to be sorted: a bit more than needed ...
-    share = F.least(F.lit(1.0), F.lit(1.5 * per_language + 50) / F.col("n"))
-    near = ordered.join(counts, "lang").where(F.col("order") < share * F.lit(float(1 << 60)))
+    highest = [min(1.0, (1.5 * per_language + 50) / r["n"]) * (1 << 60) for r in counts]
+    limit = F.create_map(*[F.lit(v) for r, h in zip(counts, highest) for v in (r["lang"], h)])
+    near = ordered.where(F.col("order") < F.element_at(limit, F.col("lang"))) if counts else ordered
     # ... of which the first are kept
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
     return near.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "order", "text")
@@ -187,6 +189,7 @@ def _sample(docs: DataFrame, per_language: int) -> DataFrame:
 
 def train(docs: DataFrame, fit: Fit = Fit()) -> Model:
     """A model from the columns doc_id, text and lang of the labelled rows in ``docs``."""
+    small_batches(docs.sparkSession)
     labelled = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     frequencies = _document_frequencies(labelled)
     idf = np.log((1 + frequencies[FEATURES]) / (1 + frequencies[:FEATURES])) + 1
@@ -234,6 +237,7 @@ def train(docs: DataFrame, fit: Fit = Fit()) -> Model:
 
 def predict(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``row`` (the columns ``carry`` of ``docs``), lang_pred and score (0 to 1)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from paysegments.functions.lineage import Scratch, materialise
 from paysegments.functions.shipping import ship_by_value
 from paysegments.llm.components import components
-from paysegments.llm.text import as_bytes
+from paysegments.llm.text import as_bytes, small_batches
 
 ship_by_value(__name__)
 
@@ -73,6 +73,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id and fingerprint (a signed long) of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from paysegments.functions.shipping import ship_by_value
-from paysegments.llm.text import as_bytes
+from paysegments.llm.text import as_bytes, small_batches
 
 ship_by_value(__name__)
 
 START, CONTINUATION = 0, 1
 # Words whose counts a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 UNKNOWN = 1 << 40  # added to the count of a word that cannot be split
 WORD_START = "▁"
 
@@ -126,6 +126,7 @@ def vocabulary(path: str) -> tuple[list[str], list[str]]:
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens and n_unknown of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(Automaton(*vocabulary(path)))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long"
 

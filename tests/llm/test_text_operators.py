@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 import brute
-import conftest
 from paysegments.functions.lineage import Scratch
 from paysegments.llm import bpe, components, queries, simhash, substring_dedup, token_counts
+from samples import passage
 
 SMALL = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,9 +64,9 @@ def test_repeats_at_all_offsets_and_with_small_slices(spark, monkeypatch, size):
     draw = np.random.default_rng(1)
     rows = []
     for i in range(60):
-        common = conftest.passage(i * 100, 34 + i % 3)
-        rows.append((2 * i, conftest.passage(10_000 + 100 * i, i) + " " + common))
-        rows.append((2 * i + 1, common + " " + conftest.passage(20_000 + 100 * i, 7)))
+        common = passage(i * 100, 34 + i % 3)
+        rows.append((2 * i, passage(10_000 + 100 * i, i) + " " + common))
+        rows.append((2 * i + 1, common + " " + passage(20_000 + 100 * i, 7)))
     rows += [(1000 + i, " ".join(draw.choice(["x", "y"], 80))) for i in range(20)]
     rows += [(2000, "x " * 500), (2001, "x " * 36), (2002, "x " * 35), (2003, "y " * 35)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -141,7 +141,7 @@ def test_any_cuts_give_the_ids_of_the_library(text, bits, shortest):
 
 
 def test_chunks_are_shared_wherever_a_passage_stands():
-    common = conftest.passage(0, 3000).encode()
+    common = passage(0, 3000).encode()
     chunks = []
     for before in (b"", b"something else first, "):
         data = before + common
@@ -151,7 +151,7 @@ def test_chunks_are_shared_wherever_a_passage_stands():
 
 
 def test_blocks_of_long_texts_are_cut_alike(monkeypatch):
-    data = conftest.passage(0, 20_000).encode()
+    data = passage(0, 20_000).encode()
     whole = bpe.cuts(data)
     monkeypatch.setattr(bpe, "BLOCK", 1000)
     assert bpe.cuts(data) == whole
