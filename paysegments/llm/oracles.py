@@ -71,5 +71,71 @@ LEFT JOIN thresholds t ON d.source IS NOT DISTINCT FROM t.source
 """
 
 
+
+
+def crc32(text: str) -> str:
+    """The checksum of an ASCII text, which DuckDB lacks: bit by bit."""
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce(range(8), lambda c, _: {bit}, xor(c, b))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda c, b: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ["doc_id", "source", "lang", n_chars, "text"]
+    texts = [f"CAST({f} AS VARCHAR)" for f in fields]
+    named = [f"coalesce(octet_length(encode({t})) || ':' || {t}, '-')" for t in texts]
+    return f"sha256({' || '.join(named)})"
+
+
+# Trees as levels of (tree, rank, digest, size); tree 0 is over the roots of the others.
+OP11 = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS found
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM docs
+), nodes AS (
+  SELECT 0 AS level, lang, i, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT level + 1, lang, i // 2, sha256(string_agg(digest, '' ORDER BY i)), (n + 1) // 2
+  FROM nodes WHERE n > 1 GROUP BY level, lang, i // 2, n
+), tops AS (
+  SELECT lang, digest, row_number() OVER (ORDER BY lang) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), above AS (
+  SELECT 0 AS level, i, digest, n FROM tops
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(digest, '' ORDER BY i)), (n + 1) // 2
+  FROM above WHERE n > 1 GROUP BY level, i // 2, n
+), walk AS (
+  SELECT row_number() OVER () AS row, l.doc_id, l.lang, l.leaf, l.i, 0 AS level, l.n, false AS over,
+    coalesce(l.found, l.leaf) AS folded, '' AS proof
+  FROM leaves l
+  UNION ALL
+  SELECT w.row, w.doc_id, w.lang, w.leaf,
+    CASE WHEN w.n > 1 THEN w.i // 2 ELSE t.i END,
+    CASE WHEN w.n > 1 THEN w.level + 1 ELSE 0 END,
+    CASE WHEN w.n > 1 THEN (w.n + 1) // 2 ELSE t.n END,
+    w.over OR w.n = 1,
+    CASE WHEN w.n = 1 THEN w.folded
+         WHEN w.i % 2 = 0 THEN sha256(w.folded || coalesce(s.digest, a.digest, ''))
+         ELSE sha256(coalesce(s.digest, a.digest) || w.folded) END,
+    w.proof || CASE WHEN w.n = 1 THEN '' ELSE coalesce(s.digest, a.digest, '') END
+  FROM walk w
+  LEFT JOIN nodes s ON NOT w.over AND w.n > 1 AND s.lang = w.lang AND s.level = w.level AND s.i = xor(w.i, 1)
+  LEFT JOIN above a ON w.over AND w.n > 1 AND a.level = w.level AND a.i = xor(w.i, 1)
+  LEFT JOIN tops t ON NOT w.over AND w.n = 1 AND t.lang = w.lang
+  WHERE NOT (w.over AND w.n = 1)
+)
+SELECT w.doc_id, w.leaf, t.digest AS subroot, r.digest AS root, sha256(w.proof) AS proof_sha256,
+  w.folded AS folded_root, w.folded = r.digest AS verified
+FROM walk w JOIN tops t ON t.lang = w.lang JOIN above r ON r.n = 1
+WHERE w.over AND w.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1, "op7_mixing": OP7}
+    return {"op1_chat_format": OP1, "op7_mixing": OP7, "op11_merkle_manifest": OP11}

@@ -13,6 +13,7 @@ from paysegments.llm import (
     bpe,
     chat_format,
     language_id,
+    merkle,
     mixing,
     pq_dedup,
     sharding,
@@ -125,6 +126,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    found = merkle.leaf([changed.get(f, F.col(f)) for f in fields])
+    built = merkle.manifest(read(spark, sf_dir, "documents"), "doc_id", "lang", fields, {"found": F.when(tampered, found)})
+    folded = merkle.fold(F.coalesce("found", "leaf"), F.col("proof"))
+    return built.leaves.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -137,4 +150,5 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_pq_dedup": op9_pq_dedup,
         "op10_sharding": op10_sharding,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
