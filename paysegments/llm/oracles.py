@@ -136,6 +136,79 @@ FROM walk w JOIN tops t ON t.lang = w.lang JOIN above r ON r.n = 1
 WHERE w.over AND w.n = 1
 """
 
+# Costs to the end by state (start, system, user, assistant), last turn to first, then the
+# ASCII-least tight edits, first to last. ``must`` and ``more`` are a turn's faults as costs.
+OP12 = f"""
+WITH RECURSIVE marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS fault
+  FROM conversations
+), damaged AS (
+  SELECT coalesce('=' || conv_id, '') AS c, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) FROM marked WHERE fault <> 0)
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, left(text, 32), sha256(text)) AS i,
+    count(*) OVER (PARTITION BY c) AS n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said
+  FROM damaged
+), judged AS (
+  SELECT *, left(role, 1) AS initial, said = '' AS blank,
+    said <> '' AND row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS duplicate
+  FROM ordered
+), rows AS (
+  SELECT *, NOT blank AND NOT duplicate AND right(said, 1) NOT IN ('.', '!', '?') AS truncated,
+    CASE WHEN blank OR duplicate THEN 1000000000 ELSE 0 END AS must,
+    CASE WHEN NOT blank AND NOT duplicate AND right(said, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS more,
+    lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair
+  FROM judged
+), back AS (
+  SELECT DISTINCT c, n AS i, [0, 10, 5, 0] AS v FROM rows
+  UNION ALL
+  SELECT c, i, [least(r[1], 5 + r[3], 10 + r[4]), least(r[2], 5 + r[3], 10 + r[4]), least(r[3], 5 + r[4]), least(r[4], 5 + r[3])]
+  FROM (
+    SELECT b.c, b.i - 1 AS i, [
+      least(2 + v[1], 1 + must + more + v[3], CASE initial WHEN 's' THEN must + more + v[2] WHEN 'u' THEN must + more + v[3] END),
+      least(2 + v[2], 1 + must + more + v[3], CASE initial WHEN 'u' THEN must + more + v[3] END),
+      least(2 + v[3], 1 + must + more + v[4], CASE initial WHEN 'a' THEN must + more + v[4] END),
+      least(2 + v[4], 1 + must + more + v[3], CASE initial WHEN 'u' THEN must + more + v[3] END)] AS r
+    FROM back b JOIN rows USING (c, i)
+  )
+), walk AS (
+  SELECT c, CAST(0 AS BIGINT) AS i, 1 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM rows WHERE i = 1
+  UNION ALL
+  SELECT c, CASE WHEN edit = 'I' THEN i ELSE i + 1 END,
+    CASE edit WHEN 'D' THEN q WHEN 'K' THEN kept ELSE forced END,
+    audit || edit,
+    CASE edit WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+      ELSE list_append(lines, CASE WHEN forced = 3 THEN 'user:' ELSE 'assistant:' END || CASE WHEN edit = 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT *, CASE WHEN role IS NULL THEN CASE WHEN q IN (2, 3) THEN 'I' END
+      WHEN here[q] = 2 + after[q] THEN 'D' WHEN here[q] = 5 + here[forced] THEN 'I'
+      WHEN kept IS NOT NULL AND here[q] = must + more + after[kept] THEN 'K' ELSE 'R' END AS edit
+    FROM (
+      SELECT w.*, r.role, r.text, r.must, r.more, h.v AS here, a.v AS after, [3, 3, 4, 3][q] AS forced,
+        CASE WHEN r.initial = 's' AND q = 1 THEN 2 WHEN r.initial = 'u' AND q <> 3 THEN 3 WHEN r.initial = 'a' AND q = 3 THEN 4 END AS kept
+      FROM walk w JOIN back h ON h.c = w.c AND h.i = w.i
+      LEFT JOIN rows r ON r.c = w.c AND r.i = w.i + 1
+      LEFT JOIN back a ON a.c = w.c AND a.i = w.i + 1
+    )
+  ) WHERE edit IS NOT NULL
+), last AS (
+  SELECT c, arg_max(audit, length(audit)) AS audit, arg_max(lines, length(audit)) AS lines FROM walk GROUP BY c
+), counts AS (
+  SELECT c, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count_if(blank) AS blank,
+    count_if(duplicate) AS duplicate, count_if(truncated) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY c
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.v[1], 0) AS BIGINT) AS cost,
+  coalesce(l.audit, '') AS audit, sha256(coalesce(array_to_string(l.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts k ON k.c = coalesce('=' || o.conv_id, '')
+LEFT JOIN last l ON l.c = k.c
+LEFT JOIN back b ON b.c = k.c AND b.i = 0
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1, "op7_mixing": OP7, "op11_merkle_manifest": OP11}
+    return {"op1_chat_format": OP1, "op7_mixing": OP7, "op11_merkle_manifest": OP11, "op12_conversation_repair": OP12}

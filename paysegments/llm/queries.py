@@ -16,11 +16,13 @@ from paysegments.llm import (
     merkle,
     mixing,
     pq_dedup,
+    repair,
     sharding,
     simhash,
     substring_dedup,
     token_counts,
 )
+from paysegments.llm.ranking import group_key
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,6 +140,38 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults, by a checksum of conversation and turn; a null is one space."""
+    space = F.lit(" ")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    text, role, fault = F.coalesce("text", space), F.coalesce("role", space), F.col("fault")
+    found = turns.withColumn("fault", F.crc32(name.cast("binary")) % 20).where("fault <> 0")
+    return found.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(fault == 3, 2).otherwise(1))).alias("_"),
+    ).drop("_")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conversations = turns.select("conv_id").distinct().withColumn("group", group_key(F.col("conv_id")))
+    broken = damaged(turns)
+    found = repair.repair(broken)
+    texts = repair.repaired_text(found, broken).select("group", "repaired_sha256")
+    per = conversations.join(repair.summary(found), "group", "left").join(texts, "group", "left")
+    zero, nothing = F.lit(0).cast("long"), F.lit("")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return per.select(
+        "conv_id",
+        *[F.coalesce(n, zero).alias(n) for n in numbers],
+        F.coalesce("audit", nothing).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(nothing, 256)).alias("repaired_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -151,4 +185,5 @@ def queries() -> dict[str, Query]:
         "op9_pq_dedup": op9_pq_dedup,
         "op10_sharding": op10_sharding,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_conversation_repair": op12_conversation_repair,
     }
