@@ -12,6 +12,7 @@ from paysegments.llm import (
     ann,
     bpe,
     chat_format,
+    fingerprints,
     language_id,
     merkle,
     mixing,
@@ -172,6 +173,20 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    own = F.col("fingerprint")
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprints.likeness(own, F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(own, F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -186,4 +201,5 @@ def queries() -> dict[str, Query]:
         "op10_sharding": op10_sharding,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_document_fingerprints": op13_document_fingerprints,
     }
