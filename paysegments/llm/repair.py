@@ -217,6 +217,11 @@ def _blocks(turns: DataFrame) -> DataFrame:
     )
 
 
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
 def _codes(batch: pa.RecordBatch) -> Iterator[bytes]:
     column = batch.column("codes")
     values = column.values.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
@@ -241,22 +246,15 @@ def _checkpoints(blocks: DataFrame, costs: Costs) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
                 ahead, found = at_end(costs), []
                 for block in reversed(row["blocks"]):
-                    found.append(ahead)
+                    found.append((row["group"], block["block"], ahead))
                     through = block["costs"]
                     ahead = [min(through[4 * q + e] + ahead[e] for e in STATES) for q in STATES]
-                listed = [b["block"] for b in reversed(row["blocks"])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["group"]] * len(found)),
-                        pa.array(listed, pa.int64()),
-                        pa.array(found, pa.list_(pa.int64())),
-                        pa.array([ahead[START]] * len(found), pa.int64()),
-                    ],
-                    ["group", "block", "ahead", "cost"],
-                )
+                out += [(*f, ahead[START]) for f in found]
+            yield _batch(out, ["group", "block", "ahead", "cost"], [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64()])
 
     listed = blocks.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("block", "costs"))).alias("blocks"))
     return listed.mapInArrow(task, "group string, block long, ahead array<long>, cost long")
@@ -289,22 +287,14 @@ def _entered(walked: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
-                state, states = START, []
+                state = START
                 for block in row["blocks"]:
-                    states.append(state)
-                    state = block["ends"][state]
-                closed = [""] * len(states)
-                closed[-1] = closing(state)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["group"]] * len(states)),
-                        pa.array([b["block"] for b in row["blocks"]], pa.int64()),
-                        pa.array(states, pa.int32()),
-                        pa.array(closed, pa.string()),
-                    ],
-                    ["group", "block", "entered", "closing"],
-                )
+                    entered, state = state, block["ends"][state]
+                    last = block is row["blocks"][-1]
+                    out.append((row["group"], block["block"], entered, closing(state) if last else ""))
+            yield _batch(out, ["group", "block", "entered", "closing"], [pa.string(), pa.int64(), pa.int32(), pa.string()])
 
     listed = walked.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("block", "ends"))).alias("blocks"))
     return listed.mapInArrow(task, "group string, block long, entered int, closing string")
@@ -373,19 +363,14 @@ def repaired_text(found: Repair, conversations: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, text, hashed, n = None, "", None, 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([group]), pa.array([hashed.hexdigest()]), pa.array([n], pa.int64())],
-                ["group", "repaired_sha256", "repaired_turns"],
-            )
-
+        names, types = ["group", "repaired_sha256", "repaired_turns"], [pa.string(), pa.string(), pa.int64()]
         for batch in batches:
+            done = []
             rows = zip(*[batch.column(c).to_pylist() for c in ("group", "kind", "role", "text", "step")])
             for own, kind, role, said, step in rows:
                 if own != group:
                     if hashed:
-                        yield out()
+                        done.append((group, hashed.hexdigest(), n))
                     group, hashed, n = own, hashlib.sha256(), 0
                 if kind == 0:
                     text = said
@@ -396,8 +381,9 @@ def repaired_text(found: Repair, conversations: DataFrame) -> DataFrame:
                     line = f"{role if edit == 'K' else ROLES[edit]}:{'' if edit in 'ua' else text}"
                     hashed.update((("\n" if n else "") + line).encode())
                     n += 1
+            yield _batch(done, names, types)
         if hashed:
-            yield out()
+            yield _batch([(group, hashed.hexdigest(), n)], names, types)
 
     order = [*KEY, "kind", "rank"]
     laid = both.repartition("group").sortWithinPartitions(*order)

@@ -1,0 +1,396 @@
+"""Merkle manifest, conversation repair and document fingerprints against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from paysegments.functions.lineage import Scratch
+from paysegments.llm import fingerprints, merkle, queries, repair
+from paysegments.llm.ranking import group_key, ranked
+
+SMALL = "/root/testdata/sf0.001"
+FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def sha(text: str | bytes) -> str:
+    return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+def first_null(value):
+    return (value is not None, value if value is not None else 0)
+
+
+# --- ranks ---------------------------------------------------------------------------
+
+
+def test_ranks_of_a_group_over_many_partitions(spark):
+    rows = [("a", i // 3) for i in range(500)] + [("b", None), ("b", 1), ("", 7)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v int").repartition(5)
+    with Scratch(spark) as scratch:
+        found = ranked(df, "g", [F.col("v")], scratch).collect()
+    by_group = {g: sorted((r["rank"], r["v"]) for r in found if r["g"] == g) for g in ("a", "b", "")}
+    assert [v for _, v in by_group["a"]] == [i // 3 for i in range(500)]
+    assert [r for r, _ in by_group["a"]] == list(range(500))
+    assert by_group["b"] == [(0, None), (1, 1)] and by_group[""] == [(0, 7)]
+    assert {r["n"] for r in found if r["g"] == "a"} == {500}
+
+
+# --- Merkle manifest -------------------------------------------------------------------
+
+
+def brute_leaf(row) -> str:
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def brute_tree(leaves: list[str], fanout: int) -> tuple[str, list[str], list[list]]:
+    """The root, the concatenated siblings of every leaf, and the levels."""
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([sha("".join(below[i : i + fanout])) for i in range(0, len(below), fanout)])
+    proofs = []
+    for i in range(len(leaves)):
+        steps = []
+        for level in levels[:-1]:
+            run = range(i // fanout * fanout, min(i // fanout * fanout + fanout, len(level)))
+            steps.append("".join(level[j] for j in run if j != i))
+            i //= fanout
+        proofs.append("".join(steps))
+    return levels[-1][0], proofs, levels
+
+
+def brute_manifest(rows: list[tuple], fanout: int) -> Counter:
+    """(doc_id, leaf, subroot, root, proof) of rows of FIELDS."""
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(r[2], []).append(r)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {}
+    for g in names:
+        ordered = sorted(((first_null(r[0]), brute_leaf(r), r[0]) for r in groups[g]))
+        trees[g] = (ordered, *brute_tree([leaf for _, leaf, _ in ordered], fanout))
+    root, above, _ = brute_tree([trees[g][1] for g in names], fanout)
+    out = Counter()
+    for g, more in zip(names, above):
+        ordered, subroot, proofs, _ = trees[g]
+        for (_, leaf, doc), proof in zip(ordered, proofs):
+            out[(doc, leaf, subroot, root, sha(proof + more))] += 1
+    return out
+
+
+def check_manifest(docs, fanout: int):
+    built = merkle.manifest(docs, "doc_id", "lang", FIELDS, fanout=fanout)
+    found = built.leaves.withColumn("folded", merkle.fold(F.col("leaf"), F.col("proof"))).withColumn(
+        "proof", merkle.proof_digest(F.col("proof"))
+    )
+    rows = found.collect()
+    expected = brute_manifest([tuple(r) for r in docs.select(FIELDS).collect()], fanout)
+    assert Counter((r["doc_id"], r["leaf"], r["subroot"], r["root"], r["proof"]) for r in rows) == expected
+    assert all(r["folded"] == r["root"] for r in rows)
+    return built
+
+
+@pytest.mark.parametrize("fanout", [2, 3, 100])
+def test_manifest_of_groups_of_many_sizes(spark, fanout):
+    sizes = {"a": 1, "b": 2, "c": 64, "d": 65, "é": 4097 if fanout == 2 else 300, None: 5}
+    rows = [(i, f"s{i}", g, i, "t" * (i % 5)) for g, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    built = check_manifest(docs.repartition(7), fanout)
+    nodes = [r for r in built.nodes.collect() if r["group"] == "=d"]
+    ordered = sorted((r["level"], r["lo"], r["hi"]) for r in nodes)
+    levels = brute_tree([""] * 65, fanout)[2]
+    assert ordered == [
+        (level, i * fanout**level, min((i + 1) * fanout**level, 65)) for level, row in enumerate(levels) for i in range(len(row))
+    ]
+
+
+def test_manifest_of_odd_rows(odd, empty):
+    check_manifest(odd, 2)
+    built = merkle.manifest(empty, "doc_id", "lang", FIELDS)
+    assert built.leaves.count() == 0 and built.nodes.count() == 0
+
+
+def test_manifest_tells_rows_apart(spark):
+    rows = [(1, "ab", "c"), (1, "a", "bc"), (1, None, "-"), (1, "-", None), (1, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert docs.select(merkle.leaf([F.col(c) for c in docs.columns])).distinct().count() == len(rows)
+
+
+def test_tampering_is_found(spark):
+    rows = queries.op11_merkle_manifest(spark, SMALL).collect()
+    chars = {r["doc_id"]: r["n_chars"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for r in rows:
+        tampered = zlib.crc32(str(r["doc_id"]).encode()) % 7 == 0 and chars[r["doc_id"]] is not None
+        assert r["verified"] == (not tampered) == (r["folded_root"] == r["root"])
+    assert 0 < sum(not r["verified"] for r in rows) < len(rows)
+
+
+# --- conversation repair -----------------------------------------------------------------
+
+COSTS = repair.Costs()
+WORDS = " \t\n\x0b\x0c\r"
+
+
+def brute_repair(rows: list[tuple[str, str]]) -> tuple:
+    """(blank, duplicate, truncated, illegal, cost, audit, digest) of ordered (role, text)."""
+    seen, kinds = set(), []
+    for role, text in rows:
+        last = text.rstrip(WORDS)[-1:]
+        kinds.append("blank" if not last else "duplicate" if (role, text) in seen else "truncated" if last not in ".!?" else "")
+        seen.add((role, text))
+    illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    after = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    asked = {"": "u", "s": "u", "u": "a", "a": "u"}
+    name = {"u": "user", "a": "assistant"}
+    # (cost, letters, lines) of the best way to the end by state, from the last row back
+    best: dict = {q: (0, "", ()) if q in ("", "a") else None for q in after}
+
+    def with_inserts(now: dict) -> dict:
+        for _ in range(4):
+            for q in now:
+                then = now[asked[q]]
+                if then:
+                    way = (then[0] + 5, "I" + then[1], (f"{name[asked[q]]}:", *then[2]))
+                    now[q] = min(w for w in (now[q], way) if w)
+        return now
+
+    best = with_inserts(best)
+    for (role, text), kind in reversed(list(zip(rows, kinds))):
+        now = {}
+        for q in after:
+            ways = [(best[q][0] + 2, "D" + best[q][1], best[q][2])]
+            if kind not in ("blank", "duplicate"):
+                more = 5 if kind == "truncated" else 0
+                then = best[asked[q]]
+                ways.append((then[0] + 1 + more, "R" + then[1], (f"{name[asked[q]]}:{text}", *then[2])))
+                if role[:1] in after[q] and role[:1]:
+                    then = best[after[q][role[:1]]]
+                    ways.append((then[0] + more, "K" + then[1], (f"{role}:{text}", *then[2])))
+            now[q] = min(ways)
+        best = with_inserts(now)
+    cost, audit, lines = best[""]
+    counts = [kinds.count(k) for k in ("blank", "duplicate", "truncated")]
+    return (*counts, illegal, cost, audit, sha("\n".join(lines)))
+
+
+def brute_conversations(rows: list[tuple]) -> dict:
+    """By conv_id: gaps and the rest, of (conv_id, turn, role, text)."""
+    found: dict = {}
+    for conv, turn, role, text in rows:
+        found.setdefault(conv, []).append((turn, " " if role is None else role, " " if text is None else text))
+    out = {}
+    for conv, turns in found.items():
+        turns.sort(key=lambda t: (first_null(t[0]), t[1].encode(), t[2][:32].encode(), hashlib.sha256(t[2].encode()).digest()))
+        known = [t for t, _, _ in turns if t is not None]
+        gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+        out[conv] = (gaps, *brute_repair([t[1:] for t in turns]))
+    return out
+
+
+def check_repair(df):
+    made = repair.repair(df)
+    texts = {r["group"]: r["repaired_sha256"] for r in repair.repaired_text(made, df).collect()}
+    rows = repair.summary(made).collect()
+    found = {
+        r["group"]: (r["gaps"], r["blank"], r["duplicate"], r["truncated"], r["illegal"], r["cost"], r["audit"], texts[r["group"]])
+        for r in rows
+    }
+    listed = [tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()]
+    expected = {"" if c is None else f"={c}": v for c, v in brute_conversations(listed).items()}
+    assert found == expected and len(rows) == len(expected)
+    turns: dict = {}
+    for r in repair.repaired_turns(made, df).collect():
+        turns.setdefault(r["group"], []).append((r["rank"], r["place"], f"{r['role']}:{r['text']}"))
+    for group, row in expected.items():
+        assert sha("\n".join(line for _, _, line in sorted(turns.get(group, [])))) == row[-1]
+
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def random_turns(seed: int, conversations: int, longest: int) -> list[tuple]:
+    rng = random.Random(seed)
+    roles = ["system", "user", "assistant", "user", "assistant", "tool", "u", "", None]
+    texts = ["Yes.", "No!", "cut", "Why? ", "x" * 40 + "a.", "x" * 40 + "b.", " \n", "", None, "　", "ok.\x0b"]
+    rows = []
+    for c in range(conversations):
+        for t in range(rng.randrange(1, longest)):
+            rows.append((c, rng.choice([t, t, t, None, t // 2]), rng.choice(roles), rng.choice(texts + [f"{t}."] * 8)))
+    return rows
+
+
+def test_repair_of_random_conversations(spark):
+    check_repair(spark.createDataFrame(random_turns(1, 150, 12), SCHEMA).repartition(3))
+
+
+def test_repair_of_long_and_odd_conversations(spark):
+    rows = random_turns(2, 3, 900) + [(None, i, "user", f"{i}.") for i in range(40)]
+    rows += [(77, 1, "user", "the same.")] * 200 + [(78, None, None, None), (79, 5, "assistant", "a " * 100_000 + ".")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", group string, rank int").repartition(4)
+    check_repair(df)
+
+
+def test_repair_of_nothing(spark):
+    made = repair.repair(spark.createDataFrame([], SCHEMA))
+    assert repair.summary(made).count() == 0 and made.blocks.count() == 0
+
+
+def test_blocks_agree_with_the_whole():
+    """The cost through blocks and checkpoints is that of one pass over all codes."""
+    rng = random.Random(3)
+    for _ in range(200):
+        codes = bytes(rng.choice([0, 1, 2, 3, 4, 5, 9, 10, 11]) for _ in range(rng.randrange(1, 30)))
+        whole = repair.at_end(COSTS)
+        for code in reversed(codes):
+            whole = repair.before_row(code, whole, COSTS)
+        ahead = repair.at_end(COSTS)
+        for start in reversed(range(0, len(codes), 4)):
+            through = repair.block_costs(codes[start : start + 4], COSTS)
+            ahead = [min(through[q][e] + ahead[e] for e in repair.STATES) for q in repair.STATES]
+        assert ahead == whole
+
+
+def test_registered_repair_lists_conversations_without_turns(spark, tmp_path):
+    lost = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    rows = [(lost, 0, "user", "Hi."), (None, None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r["conv_id"]: r for r in queries.op12_conversation_repair(spark, str(tmp_path)).collect()}
+    assert set(found) == {lost, None}
+    assert found[lost]["audit"] == "" and found[lost]["cost"] == 0 and found[lost]["repaired_sha256"] == sha("")
+    # the key of the other row is two spaces around a colon
+    fault = zlib.crc32(b" : ") % 20
+    assert (found[None]["audit"], found[None]["blank"]) == (("", 0) if fault == 0 else ("DD" if fault == 3 else "D", 2 if fault == 3 else 1))
+
+
+# --- fingerprints ----------------------------------------------------------------------
+
+
+def brute_fingerprint(data: bytes) -> str:
+    """Byte by byte."""
+    mask, factor = 0xFFFFFFFF, 0x9E3779B1
+    size = 1
+    while size * 64 < len(data):
+        size *= 2
+    powers = [pow(factor, 7 - i, 1 << 32) for i in range(8)]
+    padded = bytes(7) + data
+    strings = []
+    for s in (size, 2 * size):
+        ends, last = [], 0
+        for i in range(1, len(data) + 1):
+            value = sum((b + 1) * p for b, p in zip(padded[i - 1 : i + 7], powers)) & mask
+            value ^= value >> 15
+            value = (value * factor & mask) >> 8
+            cut = value % s == s - 1 and i - last >= max(s // 4, 1)
+            if cut or i - last == 4 * s or i == len(data):
+                ends.append(i)
+                last = i
+        chars = [zlib.crc32(data[a:b]) * factor % (1 << 32) >> 26 for a, b in zip([0, *ends], ends)]
+        strings.append("".join(fingerprints.ALPHABET[c] for c in chars))
+    return f"{size}:{strings[0]}:{strings[1]}"
+
+
+def brute_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def brute_likeness(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+    (m, *x), (n, *y) = (f.split(":") for f in (a, b))
+    m, n = int(m), int(n)
+    pairs = [(x[0], y[0]), (x[1], y[1])] if m == n else [(x[0], y[1])] if m == 2 * n else [(x[1], y[0])] if n == 2 * m else []
+    return max([1 - brute_distance(p, q) / max(len(p), len(q)) for p, q in pairs if p or q] or [0.0])
+
+
+def test_fingerprint_byte_by_byte(monkeypatch):
+    rng = random.Random(5)
+    texts = ["", "a", "abc", "na " * 900, "\0" * 300, "日本" * 99, "".join(rng.choices("abcdefgh \n", k=5000))]
+    texts += ["".join(rng.choices("abcdefgh \n", k=n)) for n in range(2, 200, 13)]
+    for text in texts:
+        assert fingerprints.fingerprint(text.encode()) == brute_fingerprint(text.encode())
+    monkeypatch.setattr(fingerprints, "BLOCK", 100)
+    for text in texts:
+        assert fingerprints.fingerprint(text.encode()) == brute_fingerprint(text.encode())
+
+
+def check_neighbours(spark, docs, out):
+    import xxhash
+
+    def tie(text: str) -> int:
+        value = xxhash.xxh64_intdigest(text.encode(), 42)
+        return value - (1 << 64) if value >> 63 else value
+
+    rows = sorted(((first_null(r[0]), tie(r[1] or ""), r[0], r[1] or "") for r in docs.select("doc_id", "text").collect()))
+    expected = Counter()
+    for i, (_, _, doc, text) in enumerate(rows):
+        following = rows[(i + 1) % len(rows)][3]
+        n = len(text) // 4
+        changed = text[: len(text) - n] + following[:n]
+        prints = [brute_fingerprint(t.encode()) for t in (text, changed, following)]
+        likes = [round(brute_likeness(prints[0], p), 9) for p in prints[1:]]
+        expected[(doc, len(text), sha(changed), prints[0], prints[1], *likes)] += 1
+    found = Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in map(tuple, out.collect()))
+    assert found == expected
+
+
+def registered(spark, docs, folder):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return queries.op13_document_fingerprints(spark, str(folder))
+
+
+def test_fingerprints_of_odd_rows(spark, odd, tmp_path):
+    short = odd.withColumn("text", F.left("text", F.lit(3000)))
+    check_neighbours(spark, short, registered(spark, short, tmp_path))
+
+
+def test_fingerprints_of_copies_over_many_partitions(spark, tmp_path):
+    rows = [(3, "the same text again and again. " * 3)] * 300 + [(i, f"other {i} " * i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    check_neighbours(spark, docs, registered(spark, docs, tmp_path))
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "alone")], [(None, None)]])
+def test_fingerprints_of_few(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_neighbours(spark, docs, registered(spark, docs, tmp_path))
+
+
+def test_registered_fingerprints(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    out = queries.op13_document_fingerprints(spark, SMALL)
+    assert out.count() == docs.count()
+    short = {r["doc_id"] for r in docs.where("length(text) < 1500").select("doc_id").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in out.collect():
+        assert r["near_edited"] > 0.1 and 0 <= r["near_next"] <= 1
+        if r["doc_id"] in short:
+            assert r["fingerprint"] == brute_fingerprint(texts[r["doc_id"]].encode())
+
+
+def test_very_long_text():
+    text = ("Lorem ipsum %d. " * 400_000) % tuple(range(400_000))
+    found = fingerprints.fingerprint(text.encode())
+    assert len(found) < 400
+
+
+def test_fingerprints_of_any_column(spark, odd, empty):
+    assert fingerprints.fingerprints(empty).count() == 0
+    found = fingerprints.fingerprints(odd).where("doc_id = 7 OR doc_id = 8").select("fingerprint").distinct()
+    assert found.count() == 1
+
+
+def test_group_key_keeps_null_apart(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("=",)], "v string").select(group_key(F.col("v")).alias("k")).collect()
+    assert [r["k"] for r in rows] == ["", "=", "=="]

@@ -29,7 +29,7 @@ def test_matches_sql(spark, con, name):
 
 def test_names():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
 
 
 # --- chat format ---------------------------------------------------------------------
