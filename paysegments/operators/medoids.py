@@ -1,9 +1,12 @@
 """k-medoids over a table of points, by alternation or by PAM swaps.
 
-The data stays in Spark; the driver holds the current medoids. One job per round scores
-every point as a candidate against all points, for all fits that still move, and only
-sums are shuffled. Both methods are exact, and the work of a round is candidates times
-points, spread over pairs of blocks; the number of jobs does not depend on the size.
+The data stays in Spark; the driver holds the current medoids, sums by cell and a bounded
+batch of candidates. Both methods are exact, but few candidates are ever scored: the
+points are divided into cells around pivots, the sums of a cell's points bound every
+candidate's total from below, and candidates are scored in the order of their bounds
+until none that is left can be better. A round is a few passes over the sites; with n
+sites its work is n times the cells (CELLS times the root of n, at most MOST_CELLS) and n times
+the candidates that the bounds leave.
 
 Distances are Euclidean, counted in steps of 1e-9. Their sums are exact integers, so
 they do not depend on the order of tasks, and ties go to the lower company id. Every
@@ -15,7 +18,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_, or_
+from math import ceil, inf
+from operator import and_
 
 import numpy as np
 from pyspark import StorageLevel
@@ -23,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paysegments.functions.numeric import distance
-from paysegments.operators.scoring import STEPS, losses, pairs_of_blocks, score
+from paysegments.operators import scoring
+from paysegments.operators.scoring import STEPS
 from paysegments.operators.stats import is_finite, require_complete
 
-# Candidates that a task holds at a time.
-CANDIDATES = 8192
-# Points of a block: at most, and at least where there are cores for more blocks.
-MOST_POINTS, LEAST_POINTS = 8192, 512
+# Cells for each root of the number of sites, and at most.
+CELLS, MOST_CELLS = 8, 4096
+# Candidates that the driver asks for and a task scores at a time, and those of the first time.
+BATCH, FIRST = 4096, 512
+# Sites of a partition: at most, and at least where there are cores for more partitions.
+MOST_SITES, LEAST_SITES = 65_536, 512
 
 
 @dataclass(frozen=True)
@@ -42,6 +49,9 @@ class Medoid:
 
 
 Medoids = tuple[Medoid, ...]
+Group = tuple[int, int]  # fit and cluster
+Offered = tuple[float, int, tuple[float, ...]]  # bound, id and point of a candidate
+Found = tuple[int, int, int, tuple[float, ...]]  # total, id, replaced medoid and point
 
 
 def distance_pairs(
@@ -81,15 +91,18 @@ class PointSpace:
 
     Copies of a point merge into one weighted site before the shuffle, so a point
     shared by many rows is one row from then on. The sites are kept by the executors
-    for the fit, once as they are and once by pairs of blocks; what a lost executor
-    held is computed again. ``close`` gives the room back.
+    for the fit, with the cell that they lie in; what a lost executor held is computed
+    again. ``close`` gives the room back. ``asked`` counts the candidates scored.
     """
 
-    def __init__(self, df: DataFrame, cols: Sequence[str], key: str = "company_id", candidates: int = CANDIDATES):
+    def __init__(
+        self, df: DataFrame, cols: Sequence[str], key: str = "company_id", cells: int = MOST_CELLS, batch: int = BATCH
+    ):
         self.rows, self.cols, self.key = df, list(cols), key
+        self.batch, self.asked = batch, 0
         merged = df.groupBy(*cols).agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("weight"))
-        self.sites = merged.persist(StorageLevel.MEMORY_AND_DISK)
-        found = self.sites.agg(
+        self.merged = merged.select(*[F.col(c).cast("double") for c in cols], "id", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+        found = self.merged.agg(
             F.count("id").alias("sites"),
             F.sum("weight").alias("rows"),
             *[F.sum(F.when(~is_finite(F.col(c)), F.col("weight"))).alias(c) for c in cols],
@@ -98,12 +111,15 @@ class PointSpace:
         try:
             require_complete(self.n, {c: int(found[c] or 0) for c in cols})
         except ValueError:
-            self.close()
+            self.merged.unpersist()
             raise
+        cells = max(1, min(cells, ceil(CELLS * self.n_sites**0.5)))
+        chosen = self.merged.orderBy(F.xxhash64("id"), "id").limit(cells).select(*cols).collect()
+        self.pivots = np.array([tuple(r) for r in chosen], float).reshape(len(chosen), len(self.cols))
         cores = df.sparkSession.sparkContext.defaultParallelism
-        blocks = -(-self.n_sites // candidates) or 1
-        shares = max(-(-self.n_sites // MOST_POINTS), min(-(-cores // blocks), -(-self.n_sites // LEAST_POINTS)), 1)
-        self.pairs = pairs_of_blocks(self.sites, self.cols, blocks, shares).persist(StorageLevel.MEMORY_AND_DISK)
+        parts = max(-(-self.n_sites // MOST_SITES), min(cores, -(-self.n_sites // LEAST_SITES)), 1)
+        dealt = self.merged.repartition(parts, "id")
+        self.sites = scoring.with_cells(dealt, self.cols, self.pivots).persist(StorageLevel.MEMORY_AND_DISK)
 
     def __enter__(self) -> PointSpace:
         return self
@@ -113,18 +129,57 @@ class PointSpace:
 
     def close(self) -> None:
         self.sites.unpersist()
-        if hasattr(self, "pairs"):
-            self.pairs.unpersist()
-
-    def scored(self, fits: Sequence[np.ndarray], swap: bool) -> DataFrame:
-        return score(self.pairs, self.cols, fits, swap)
-
-    def points(self, ids: Sequence[int]) -> dict[int, tuple[float, ...]]:
-        """The points of a few sites."""
-        if not ids:
-            return {}
-        rows = self.sites.where(F.col("id").isin(list(ids))).select("id", *self.cols).collect()
-        return {r["id"]: tuple(r[1:]) for r in rows}
+        self.merged.unpersist()
+
+    def summarised(self, fits: Sequence[np.ndarray], swap: bool) -> tuple[list[dict], list[list[int]]]:
+        """The cells of each fit's clusters, and each cluster's distance sum to its medoid."""
+        summaries, costs = scoring.summarise(self.sites, self.cols, self.pivots, fits, swap)
+        return [scoring.described(s, self.pivots, swap) for s in summaries], costs
+
+    def scored(self, fits: Sequence[np.ndarray], swap: bool, rows: Sequence[tuple[Group, Offered]]) -> list[list[int]]:
+        """The exact totals of candidates: one within its cluster, or one for each medoid replaced."""
+        self.asked += len(rows)
+        if swap:
+            return scoring.swap_totals(self.sites, self.cols, fits[0], [point for _, (_, _, point) in rows])
+        asked = [(fit, slot, point) for (fit, slot), (_, _, point) in rows]
+        return [[t] for t in scoring.within_totals(self.sites, self.cols, fits, asked)]
+
+    def search(
+        self, fits: Sequence[np.ndarray], cells: list[dict], swap: bool, want: int, below: Mapping[Group, float]
+    ) -> dict[Group, list[Found]]:
+        """The ``want`` best candidates with a total below a limit, by group and in order.
+
+        Candidates are asked for by their bounds. The first few are scored to learn how
+        good the best are, and then all whose bounds do not rule them out, ties included.
+        """
+        best: dict[Group, list[Found]] = {g: [] for g in below}
+
+        def limit(group: Group) -> float:
+            known = best[group]
+            return min(below[group], known[want - 1][0]) if len(known) >= want else below[group]
+
+        def learn(rows: list[tuple[Group, Offered]]) -> None:
+            for (group, (_, id_, point)), totals in zip(rows, self.scored(fits, swap, rows)):
+                best[group] += [(t, id_, slot, point) for slot, t in enumerate(totals) if t < below[group]]
+            for group in {g for g, _ in rows}:
+                best[group] = sorted(best[group])[:want]
+
+        ranges = {g: (-inf, 0, float(most)) for g, most in below.items()}
+        while ranges:
+            keep = max(want, 16, self.batch // len(ranges))
+            first = max(want, 16, FIRST // len(ranges))
+            offered = scoring.lowest(self.sites, self.cols, fits, cells, ranges, keep, swap)
+            waiting = [(g, row) for g, rows in offered.items() for row in rows[:first]]
+            later = [(g, row) for g, rows in offered.items() for row in rows[first:]]
+            while waiting:
+                for at in range(0, len(waiting), self.batch):
+                    learn(waiting[at : at + self.batch])
+                later = [(g, row) for g, row in later if row[0] <= limit(g)]
+                waiting, later = later[: self.batch], later[self.batch :]
+            ranges = {
+                g: (*rows[-1][:2], limit(g)) for g, rows in offered.items() if len(rows) == keep and rows[-1][0] <= limit(g)
+            }
+        return best
 
 
 def points_of(medoids: Medoids) -> np.ndarray:
@@ -136,10 +191,10 @@ def ranked_by_total(space: PointSpace, k: int) -> list[tuple[float, Medoid]]:
     if not 1 <= k <= space.n:
         raise ValueError(f"k = {k} medoids asked of {space.n} rows")
     # With any single medoid there is one cluster, so its sums are over all points.
-    one = np.zeros((1, len(space.cols)))
-    top = space.scored([one], False).orderBy("total", "id").limit(k).collect()
-    at = space.points([r["id"] for r in top])
-    return _with_copies(space, [(r["total"], r["id"], at[r["id"]]) for r in top], k)
+    one = [np.zeros((1, len(space.cols)))]
+    cells, _ = space.summarised(one, False)
+    best = space.search(one, cells, False, k, {(0, 0): inf})[0, 0]
+    return _with_copies(space, [(total, id_, point) for total, id_, _, point in best], k)
 
 
 def _with_copies(space: PointSpace, best: list, k: int) -> list[tuple[float, Medoid]]:
@@ -164,40 +219,33 @@ def _with_copies(space: PointSpace, best: list, k: int) -> list[tuple[float, Med
 # --- alternation -------------------------------------------------------------
 
 
-def _recentred(space: PointSpace, fits: Sequence[Medoids]) -> list[Medoids]:
-    """Each cluster's medoid replaced where another member has a lesser sum.
+def _recentred(space: PointSpace, fits: Sequence[Medoids]) -> list[tuple[Medoids, int]]:
+    """Each cluster's medoid replaced where another member has a lesser sum; and the loss before.
 
     A cluster without members keeps its medoid.
     """
-    stays = reduce(
-        or_, [(F.col("fit") == f) & F.col("id").isin([m.site for m in ms]) for f, ms in enumerate(fits)]
-    )
-    rows = (
-        space.scored([points_of(ms) for ms in fits], False)
-        .groupBy("fit", "slot")
-        .agg(F.min(F.struct("total", (~stays).alias("new"), "id")).alias("best"))
-        .where("best.new")
-        .collect()
-    )
-    at = space.points([r["best"]["id"] for r in rows])
+    points = [points_of(ms) for ms in fits]
+    cells, costs = space.summarised(points, False)
+    below = {(f, slot): cost for f, by_slot in enumerate(costs) for slot, cost in enumerate(by_slot) if cost}
+    better = space.search(points, cells, False, 1, below)
     after = [list(ms) for ms in fits]
-    for r in rows:
-        id_ = r["best"]["id"]
-        after[r["fit"]][r["slot"]] = Medoid(id_, id_, at[id_])
-    return [tuple(ms) for ms in after]
+    for (f, slot), best in better.items():
+        for _, id_, _, point in best:
+            after[f][slot] = Medoid(id_, id_, point)
+    return [(tuple(ms), sum(by_slot)) for ms, by_slot in zip(after, costs)]
 
 
-def alternate(space: PointSpace, starts: Mapping[int, Medoids]) -> dict[int, Medoids]:
-    """Alternate between labels and medoids until no medoid moves.
+def alternate(space: PointSpace, starts: Mapping[int, Medoids]) -> dict[int, tuple[Medoids, int]]:
+    """Alternate between labels and medoids until no medoid moves; medoids and their loss in steps.
 
     A medoid only moves to a lesser sum, so the loss falls strictly until the end. Fits
-    of several sizes move in step and share the distances of one job per round.
+    of several sizes move in step and share the passes of a round.
     """
-    done = dict(starts)
+    done: dict[int, tuple[Medoids, int]] = {k: (ms, 0) for k, ms in starts.items()}
     moving = list(starts)
     while moving:
-        after = dict(zip(moving, _recentred(space, [done[k] for k in moving])))
-        moving = [k for k in moving if after[k] != done[k]]
+        after = dict(zip(moving, _recentred(space, [done[k][0] for k in moving])))
+        moving = [k for k in moving if after[k][0] != done[k][0]]
         done |= after
     return done
 
@@ -205,19 +253,25 @@ def alternate(space: PointSpace, starts: Mapping[int, Medoids]) -> dict[int, Med
 # --- PAM -----------------------------------------------------------------------
 
 
+def swapped(space: PointSpace, medoids: Medoids) -> Medoids | None:
+    """The medoids after the best swap with another point; None if none lowers the loss."""
+    fit = [points_of(medoids)]
+    cells, _ = space.summarised(fit, True)
+    best = space.search(fit, cells, True, 1, {(0, 0): 0})[0, 0]
+    if not best:
+        return None
+    _, id_, slot, point = best[0]
+    return (*medoids[:slot], Medoid(id_, id_, point), *medoids[slot + 1 :])
+
+
 def pam(space: PointSpace, start: Medoids) -> Medoids:
     """Make the best swap of a medoid and another point until none lowers the loss."""
     if len(start) == 1:
         # One medoid's best swap is the least distance sum of all.
-        return alternate(space, {1: start})[1]
-    medoids = start
-    while True:
-        least = F.min(F.struct("total", "id", "slot")).alias("best")
-        change, id_, slot = space.scored([points_of(medoids)], True).agg(least).first()["best"]
-        if change >= 0:
-            return medoids
-        point = space.points([id_])[id_]
-        medoids = (*medoids[:slot], Medoid(id_, id_, point), *medoids[slot + 1 :])
+        return alternate(space, {1: start})[1][0]
+    while (after := swapped(space, start)) is not None:
+        start = after
+    return start
 
 
 # --- entry points ----------------------------------------------------------------
@@ -234,13 +288,13 @@ def kmedoids(
 ) -> Medoids:
     """Fit k medoids; ``assign`` gives the labels and ``inertia`` the loss.
 
-    ``sizes`` is ``candidates`` of ``PointSpace``; it does not change the result.
+    ``sizes`` are ``cells`` and ``batch`` of ``PointSpace``; they do not change the result.
     """
     if method not in ("alternate", "pam"):
         raise ValueError(f"no such method: {method}")
     with PointSpace(df, cols, **sizes) as space:
         start = tuple(m for _, m in ranked_by_total(space, k))
-        return pam(space, start) if method == "pam" else alternate(space, {k: start})[k]
+        return pam(space, start) if method == "pam" else alternate(space, {k: start})[k][0]
 
 
 def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int], **sizes: int) -> DataFrame:
@@ -248,6 +302,5 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int], **sizes: int) -
     with PointSpace(df, cols, **sizes) as space:
         order = tuple(m for _, m in ranked_by_total(space, max(ks)))
         fits = alternate(space, {k: order[:k] for k in ks})
-        found = losses(space.sites, cols, [points_of(fits[k]) for k in ks]).collect()
-    rows = [(int(ks[r["fit"]]), r["loss"]) for r in found]
+    rows = [(int(k), fits[k][1] / STEPS) for k in ks]
     return df.sparkSession.createDataFrame(rows, "k bigint, loss double")

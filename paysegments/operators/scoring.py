@@ -1,21 +1,21 @@
-"""Scoring medoid candidates against all points in one job.
+"""Jobs over the sites of a fit: sums by cell, lower bounds of candidates, exact totals.
 
-Candidates and points are dealt to blocks, and a task takes one block of each at a
-time: it holds the candidates, folds the points that stream past into one number per
-candidate and medoid, and gives back only those sums.
+Every job is one pass over the sites as they lie, and only sums or a bounded number of
+candidates leave a task; no site is sent to another site. What a job needs from the driver
+(medoids, cell sums, a batch of candidates) has a bounded size and travels with the task.
 
-Distances are counted in steps of 1e-9, as integers, and so are all sums of them. Sums
-leave a task as two words, so none overflows, and adding them up in any order and over
-any partitioning gives the same total.
+Distances are counted in steps of 1e-9, as whole numbers, and so are all totals of them.
+Totals leave a task as two words, so none overflows, and adding them up in any order and
+over any partitioning gives the same. Bounds are floats with a margin for their errors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysegments.functions.shipping import ship_by_value
@@ -24,49 +24,61 @@ ship_by_value(__name__)
 
 # Steps of a distance to one.
 STEPS = 1_000_000_000
-# Point-candidate distances held at a time inside a task.
-BLOCK = 1 << 16
+# Numbers of an array that a task works on at a time.
+BLOCK = 1 << 17
 # Bits of the low word of a sum.
 LOW = 20
-CANDIDATE, POINT = 0, 1
-NEVER = np.iinfo(np.int64).max
+# Below this, whole numbers add up exactly as floats.
+EXACT = float(1 << 53)
+# Relative error allowed for in the bounds.
+MARGIN = 1e-7
 
 
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distance in steps from each row of ``x`` to each row of ``y``."""
+# --- arrays --------------------------------------------------------------------------
+
+
+def lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distance from each row of ``x`` to each row of ``y``."""
     total = np.zeros((len(x), len(y)))
     for j in range(x.shape[1]):
         step = x[:, j, None] - y[None, :, j]
         step *= step
         total += step
-    np.sqrt(total, out=total)
+    return np.sqrt(total, out=total)
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same in steps: whole numbers, as floats."""
+    total = lengths(x, y)
     total *= STEPS
-    return np.rint(total, out=total).astype(np.int64)
+    return np.rint(total, out=total)
 
 
 def nearest(to_medoids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Label, distance to that medoid and to the second nearest (NEVER for one medoid)."""
+    """Label, distance to that medoid and to the second nearest (infinite for one medoid)."""
     rows = np.arange(len(to_medoids))
     label = to_medoids.argmin(axis=1)
     near = to_medoids[rows, label]
-    others = to_medoids.copy()
-    others[rows, label] = NEVER
+    others = np.array(to_medoids, float)
+    others[rows, label] = np.inf
     return label, near, others.min(axis=1)
 
 
-def weighted(weight: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Weighted sums of the columns of ``values`` as (high, low) words."""
-    return np.stack([weight @ (values >> LOW), weight @ (values & ((1 << LOW) - 1))])
+def own_slots(x: np.ndarray, medoids: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Clusters as candidates: a medoid is in its own, however near another one is."""
+    own = label.copy()
+    for slot in reversed(range(len(medoids))):
+        own[(x == medoids[slot]).all(axis=1)] = slot
+    return own
 
 
-def within_sums(d: np.ndarray, weight: np.ndarray, to_medoids: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Distance sums (words) from each candidate to the points of its own cluster."""
-    label = nearest(to_medoids)[0]
-    sums = np.zeros((2, len(own)), np.int64)
-    for slot in np.unique(own):
-        mine, members = own == slot, label == slot
-        sums[:, mine] = weighted(weight[members], d[np.ix_(members, mine)])
-    return sums
+def weighted(weight: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Weighted sums of the columns of ``values``, whole numbers, as (high, low) words."""
+    if values.size and float(weight.sum()) * float(np.abs(values).max()) < EXACT:
+        whole = (weight.astype(float) @ values).astype(np.int64)
+        return np.stack([whole >> LOW, whole & ((1 << LOW) - 1)])
+    whole = values.astype(np.int64)
+    return np.stack([weight @ (whole >> LOW), weight @ (whole & ((1 << LOW) - 1))])
 
 
 def swap_changes(d: np.ndarray, weight: np.ndarray, to_medoids: np.ndarray) -> np.ndarray:
@@ -76,8 +88,9 @@ def swap_changes(d: np.ndarray, weight: np.ndarray, to_medoids: np.ndarray) -> n
     sums = np.repeat(weighted(weight, kept - near[:, None])[:, None], to_medoids.shape[1], axis=1)
     for slot in range(to_medoids.shape[1]):
         members = label == slot
-        freed = np.minimum(d[members], second[members, None]) - kept[members]
-        sums[:, slot] += weighted(weight[members], freed)
+        if members.any():
+            freed = np.minimum(d[members], second[members, None]) - kept[members]
+            sums[:, slot] += weighted(weight[members], freed)
     return sums
 
 
@@ -87,117 +100,342 @@ def total(high: str = "high", low: str = "low") -> Column:
     return F.sum(high).cast("decimal(25,0)") * word + F.sum(low).cast("decimal(25,0)")
 
 
-def pairs_of_blocks(sites: DataFrame, cols: Sequence[str], candidate_blocks: int, point_blocks: int) -> DataFrame:
-    """The sites as candidates and as points, by pair of blocks, candidates first.
+def _parts(batch: pa.RecordBatch, names: Sequence[str], width: int) -> Iterator[dict[str, np.ndarray]]:
+    """A batch in parts so that part x ``width`` numbers fit a block."""
+    x = np.column_stack([batch.column(c).to_numpy() for c in names])
+    more = {c: batch.column(c).to_numpy() for c in batch.schema.names if c not in names}
+    rows = max(1, BLOCK // max(width, 1))
+    for at in range(0, len(x), rows):
+        yield {"x": x[at : at + rows]} | {c: v[at : at + rows] for c, v in more.items()}
+
+
+# --- cells ---------------------------------------------------------------------------
+
 
-    Every candidate meets every point in exactly one pair. A site is sent once for each
-    block of the other kind, so the rows sent are sites times blocks, not pairs of sites.
+def with_cells(sites: DataFrame, cols: Sequence[str], pivots: np.ndarray) -> DataFrame:
+    """The sites with ``cell``, the nearest of the pivots."""
+    names = list(cols)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [lengths(part["x"], pivots).argmin(axis=1) for part in _parts(batch, names, len(pivots))]
+            cell = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
+
+    return sites.mapInArrow(task, f"{', '.join(f'`{c}` double' for c in names)}, id long, weight long, cell int")
+
+
+class Summing:
+    """What a search asks of the cells of a fit's clusters: sums over the points of a cell.
+
+    A cell's points are described by their weight and the sum of their offsets from the
+    pivot; for swaps also by second moments, and by moments of the radius inside which a
+    candidate gains on a medoid: the distance to the nearest medoid, and to the second.
     """
-    spread = F.xxhash64("id")
-    own = {CANDIDATE: F.pmod(spread, F.lit(candidate_blocks)), POINT: F.pmod(spread, F.lit(point_blocks))}
-    every = {CANDIDATE: F.sequence(F.lit(0), F.lit(point_blocks - 1)), POINT: F.sequence(F.lit(0), F.lit(candidate_blocks - 1))}
-    as_candidates = sites.select(
-        own[CANDIDATE].cast("int").alias("c"), F.explode(every[CANDIDATE]).alias("p"), F.lit(CANDIDATE).alias("kind"), "id", "weight", *cols
+
+    def __init__(self, dims: int, swap: bool):
+        self.dims, self.swap = dims, swap
+        self.pairs = [(i, j) for i in range(dims) for j in range(i, dims)] if swap else []
+        self.n_sums = 1 + dims + len(self.pairs) + 2 * (2 + dims) * swap
+        self.n_most = 3 * swap  # farthest offset, and both radii
+
+    def of(self, offset: np.ndarray, weight: np.ndarray, near: np.ndarray, second: np.ndarray):
+        """The numbers of each point to be added up, and those of which the most counts."""
+        sums = [weight, *(weight * offset.T)]
+        if not self.swap:
+            return sums, []
+        sums += [weight * offset[:, i] * offset[:, j] for i, j in self.pairs]
+        for radius in (near, second):
+            sums += [weight * radius, weight * radius * radius, *(weight * radius * offset.T)]
+        return sums, [np.sqrt((offset * offset).sum(axis=1)), near, second]
+
+
+def summarise(
+    sites: DataFrame, cols: Sequence[str], pivots: np.ndarray, fits: Sequence[np.ndarray], swap: bool
+) -> tuple[list[dict[str, np.ndarray]], list[list[int]]]:
+    """By fit the cells of its clusters, and the exact distance sum of every cluster to its medoid."""
+    names, medoids, cells = list(cols), list(fits), len(pivots)
+    summing = Summing(len(names), swap)
+    n_sums, n_most = summing.n_sums, summing.n_most
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adding = Summing(len(names), swap)
+        sums = [np.zeros((n_sums, len(m) * cells)) for m in medoids]
+        most = [np.zeros((n_most, len(m) * cells)) for m in medoids]
+        costs = [np.zeros((2, len(m)), np.int64) for m in medoids]
+        for batch in batches:
+            for part in _parts(batch, names, 64):
+                x, weight, cell = part["x"], part["weight"], part["cell"]
+                offset = x - pivots[cell]
+                for f, m in enumerate(medoids):
+                    label, near, second = nearest(distances(x, m))
+                    for slot in np.unique(label):
+                        mine = label == slot
+                        costs[f][:, slot] += weighted(weight[mine], near[mine, None])[:, 0]
+                    key = label * cells + cell
+                    if len(m) == 1:
+                        second = near
+                    added, peaks = adding.of(offset, weight.astype(float), near / STEPS, second / STEPS)
+                    for i, values in enumerate(added):
+                        sums[f][i] += np.bincount(key, values, minlength=sums[f].shape[1])
+                    for i, values in enumerate(peaks):
+                        np.maximum.at(most[f][i], key, values)
+        for f, m in enumerate(medoids):
+            for slot in range(len(m)):  # the cost of a cluster, in place of a cell
+                row = np.zeros((n_sums + n_most, 1))
+                row[:2, 0] = costs[f][:, slot]
+                yield _summary_rows(f, np.array([slot]), np.array([-1]), row)
+            filled = np.flatnonzero(sums[f][0])
+            yield _summary_rows(f, filled // cells, filled % cells, np.concatenate([sums[f], most[f]])[:, filled])
+
+    read = sites.select(*names, "weight", "cell")
+    numbers = [f"v{i}" for i in range(n_sums + n_most)]
+    schema = "fit int, slot int, cell int, " + ", ".join(f"{v} double" for v in numbers)
+    merged = read.mapInArrow(task, schema).groupBy("fit", "slot", "cell").agg(
+        *[F.expr(f"sum({v}) AS {v}") for v in numbers[:n_sums]], *[F.expr(f"max({v}) AS {v}") for v in numbers[n_sums:]]
     )
-    as_points = sites.select(
-        F.explode(every[POINT]).alias("c"), own[POINT].cast("int").alias("p"), F.lit(POINT).alias("kind"), "id", "weight", *cols
+    rows = merged.toArrow()  # cells times clusters at most
+    columns = {c: rows.column(c).to_numpy() for c in ("fit", "slot", "cell", *numbers)}
+    found, costs = [], []
+    for f, m in enumerate(medoids):
+        mine = columns["fit"] == f
+        whole = mine & (columns["cell"] < 0)
+        by_slot = dict(zip(columns["slot"][whole], zip(columns["v0"][whole], columns["v1"][whole])))
+        costs.append([(int(by_slot[s][0]) << LOW) + int(by_slot[s][1]) if s in by_slot else 0 for s in range(len(m))])
+        cell = mine & (columns["cell"] >= 0)
+        order = np.lexsort([columns["cell"][cell], columns["slot"][cell]])
+        found.append(
+            {"slot": columns["slot"][cell][order], "cell": columns["cell"][cell][order]}
+            | {"values": np.stack([columns[v][cell][order] for v in numbers])}
+        )
+    return found, costs
+
+
+def _summary_rows(fit: int, slot: np.ndarray, cell: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    ints = [pa.array(np.full(len(slot), fit), pa.int32()), pa.array(slot, pa.int32()), pa.array(cell, pa.int32())]
+    return pa.RecordBatch.from_arrays(
+        [*ints, *[pa.array(v) for v in values]], ["fit", "slot", "cell", *[f"v{i}" for i in range(len(values))]]
     )
-    dealt = as_candidates.unionByName(as_points).repartition(candidate_blocks * point_blocks, "c", "p")
-    return dealt.sortWithinPartitions("c", "p", "kind")
 
 
-def score(pairs: DataFrame, cols: Sequence[str], fits: Sequence[np.ndarray], swap: bool) -> DataFrame:
-    """``total`` by (fit, slot, candidate id), for several sets of medoids at once.
+# --- bounds --------------------------------------------------------------------------
+
 
-    With ``swap`` the total is the change of the loss if the medoid in ``slot`` gave way
-    to the candidate. Else it is the distance sum over the candidate's own cluster, and
-    ``slot`` is that cluster. Fits share the distances.
+def within_bound(x: np.ndarray, means: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """At most the distance sum, in steps, from each candidate to points of the given cell means.
+
+    A distance is convex in the point, so the mean of distances is no less than the
+    distance to the mean.
     """
-    names, medoids = list(cols), list(fits)
+    found = (lengths(x, means) * weight).sum(axis=1)
+    return found * (STEPS * (1 - MARGIN)) - weight.sum() - 1
+
+
+def gain_bounds(x: np.ndarray, cell: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """At least what the points of each cell gain if the candidate is added, by candidate and cell.
+
+    A point gains what the candidate is nearer than its radius r, max(r - d, 0). With a the
+    difference by the tangent of d at the cell's mean, which is at least r - d, the sum of
+    max(a, 0) is (sum of a + sum of |a|) / 2, and the latter at most the root of n times
+    the sum of squares, which follows from the cell's moments. One result for each radius:
+    the distance to the nearest medoid and to the second.
+    """
+    n, mean, cov = cell["weight"], cell["mean"], cell["cov"]
+    steps = [mean[None, :, i] - x[:, i, None] for i in range(x.shape[1])]
+    to_mean, spread = np.zeros(steps[0].shape), np.zeros(steps[0].shape)
+    for i, step in enumerate(steps):
+        rest = step * (cov[i, i] / 2)
+        for j in range(i + 1, len(steps)):
+            rest += steps[j] * cov[i, j]
+        rest *= step
+        spread += rest
+        to_mean += step * step
+    spread *= 2
+    np.sqrt(to_mean, out=to_mean)
+    at_mean = to_mean == 0
+    away = np.where(at_mean, 1.0, to_mean)
+    spread /= away
+    spread /= away
+    found = []
+    for radius in ("0", "1"):
+        r, rr, cross, widest = (cell[name + radius] for name in ("r", "rr", "cross", "widest"))
+        along = steps[0] * cross[0]
+        for i, step in enumerate(steps[1:], 1):
+            along += step * cross[i]
+        squares = spread + rr - 2 * along / away + to_mean * (n * to_mean - 2 * r)
+        # at the mean itself the tangent may be any; there the distance is at least 0
+        squares[at_mean] = np.broadcast_to(rr, squares.shape)[at_mean]
+        bound = (r - n * to_mean + np.sqrt(n * np.maximum(squares, 0))) / 2
+        bound = np.maximum(bound, 0) + MARGIN * n * (widest + to_mean + cell["reach"])
+        bound[to_mean - cell["reach"] >= widest] = 0
+        found.append(bound)
+    return found
+
+
+def described(summary: dict[str, np.ndarray], pivots: np.ndarray, swap: bool) -> dict[str, np.ndarray]:
+    """The cells of a fit by weight and mean, and for swaps their moments about the mean."""
+    dims = pivots.shape[1]
+    values, cell = summary["values"], summary["cell"]
+    weight, shift = values[0], values[1 : 1 + dims] / values[0]
+    found = {"slot": summary["slot"], "weight": weight, "mean": pivots[cell] + shift.T}
+    if not swap:
+        return found
+    pairs = Summing(dims, True).pairs
+    cov = np.zeros((dims, dims, len(cell)))
+    for (i, j), moment in zip(pairs, values[1 + dims :]):
+        cov[i, j] = moment - weight * shift[i] * shift[j]
+    found["cov"] = cov
+    at = 1 + dims + len(pairs)
+    for radius in (0, 1):
+        r, rr, cross = values[at], values[at + 1], values[at + 2 : at + 2 + dims]
+        found |= {f"r{radius}": r, f"rr{radius}": rr, f"cross{radius}": cross - r * shift}
+        at += 2 + dims
+    found["reach"] = values[at] + np.sqrt((shift * shift).sum(axis=0)) * (1 + MARGIN)
+    return found | {"widest0": values[at + 1], "widest1": values[at + 2]}
+
+
+def swap_bound(x: np.ndarray, cell: dict[str, np.ndarray], slots: int) -> np.ndarray:
+    """At most the change of the loss, in steps, of the candidate's best swap.
+
+    Without the medoid, its points go to the second nearest; the candidate then gains
+    on the nearest medoid of all points, or on the second nearest for those points.
+    """
+    near, second = gain_bounds(x, cell)
+    gains = near.sum(axis=1)
+    best = np.full(len(x), np.inf)
+    for slot in range(slots):
+        mine = cell["slot"] == slot
+        lost = cell["r1"][mine].sum() - cell["r0"][mine].sum()
+        best = np.minimum(best, lost - (gains - near[:, mine].sum(axis=1) + second[:, mine].sum(axis=1)))
+    margin = MARGIN * cell["r1"].sum() + 4 * cell["weight"].sum() / STEPS
+    return (best - margin) * STEPS
+
+
+# group (fit, slot) -> (bound, id) after which candidates are asked for, and the most that counts
+Range = tuple[float, int, float]
+
+
+def lowest(
+    sites: DataFrame,
+    cols: Sequence[str],
+    fits: Sequence[np.ndarray],
+    cells: Sequence[dict[str, np.ndarray]],
+    ranges: dict[tuple[int, int], Range],
+    keep: int,
+    swap: bool,
+) -> dict[tuple[int, int], list[tuple[float, int, tuple[float, ...]]]]:
+    """(bound, id, point) of the ``keep`` candidates with the least bounds, by group, in order.
+
+    Without ``swap`` a group is a cluster of a fit, and its candidates are its points. With
+    ``swap`` there is one group, of all points.
+    """
+    names, medoids, wanted = list(cols), list(fits), dict(ranges)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, fold = None, [], None
+        held: dict = {group: [] for group in wanted}
+
+        def least(group) -> tuple:
+            bound, ids, x = (np.concatenate(part) for part in zip(*held[group]))
+            order = np.lexsort([ids, bound])[:keep]
+            return bound[order], ids[order], x[order]
+
+        def offer(group, bound: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+            after, last, most = wanted[group]
+            good = (bound <= most) & ((bound > after) | ((bound == after) & (ids > last)))
+            if good.any():
+                held[group].append((bound[good], ids[good], x[good]))
+                if sum(len(h[0]) for h in held[group]) > 4 * keep:
+                    held[group] = [least(group)]
+
         for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in ("c", "p", "kind")], axis=1)
-            ids, weight = batch.column("id").to_numpy(), batch.column("weight").to_numpy()
-            x = np.column_stack([batch.column(c).to_numpy() for c in names])
-            ends = np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys))
-            start = 0
-            for end in ends[ends > 0]:
-                pair, kind = tuple(keys[start, :2]), keys[start, 2]
-                if pair != now:
-                    if fold:
-                        yield from fold.sums()
-                    now, held, fold = pair, [], None
-                if kind == CANDIDATE:
-                    held.append((ids[start:end], x[start:end]))
-                elif held:
-                    fold = fold or _Fold(held, medoids, swap)
-                    fold.add(x[start:end], weight[start:end])
-                start = end
-        if fold:
-            yield from fold.sums()
-
-    sums = pairs.mapInArrow(task, "fit int, slot int, id long, high long, low long")
-    return sums.groupBy("fit", "slot", "id").agg(total().alias("total"))
-
-
-class _Fold:
-    """One block of candidates and the sums over the points seen so far."""
-
-    def __init__(self, held: list[tuple], fits: list[np.ndarray], swap: bool):
-        self.ids, self.candidates = (np.concatenate(part) for part in zip(*held))
-        self.fits, self.swap = fits, swap
-        self.own = [self._own(m) for m in fits]
-        self.totals: list = [0] * len(fits)
-
-    def _own(self, medoids: np.ndarray) -> np.ndarray:
-        """Clusters of the candidates; a medoid is in its own, however near another one is."""
-        own = nearest(distances(self.candidates, medoids))[0]
-        for slot in reversed(range(len(medoids))):
-            own[(self.candidates == medoids[slot]).all(axis=1)] = slot
-        return own
-
-    def add(self, x: np.ndarray, weight: np.ndarray) -> None:
-        rows = max(1, BLOCK // len(self.ids))
-        for at in range(0, len(x), rows):
-            points, w = x[at : at + rows], weight[at : at + rows]
-            d = distances(points, self.candidates)
-            for f, medoids in enumerate(self.fits):
-                to_medoids = distances(points, medoids)
-                part = swap_changes(d, w, to_medoids) if self.swap else within_sums(d, w, to_medoids, self.own[f])
-                self.totals[f] = self.totals[f] + part
-
-    def sums(self) -> Iterator[pa.RecordBatch]:
-        for f, (high, low) in enumerate(self.totals):
-            slots = np.arange(len(self.fits[f])).repeat(len(self.ids)) if self.swap else self.own[f]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(slots), f), pa.int32()),
-                    pa.array(slots, pa.int32()),
-                    pa.array(np.resize(self.ids, len(slots)), pa.int64()),
-                    pa.array(high.ravel()),
-                    pa.array(low.ravel()),
-                ],
-                ["fit", "slot", "id", "high", "low"],
-            )
-
-
-def losses(sites: DataFrame, cols: Sequence[str], fits: Sequence[np.ndarray]) -> DataFrame:
-    """Sum of distances to the nearest medoid, by fit."""
+            if swap:
+                for part in _parts(batch, names, len(cells[0]["slot"])):
+                    offer((0, 0), swap_bound(part["x"], cells[0], len(medoids[0])), part["id"], part["x"])
+                continue
+            for part in _parts(batch, names, max(len(c["slot"]) for c in cells)):
+                x, ids = part["x"], part["id"]
+                for f, m in enumerate(medoids):
+                    own = own_slots(x, m, nearest(distances(x, m))[0])
+                    for slot in np.unique(own):
+                        if (f, slot) in wanted:
+                            mine, there = own == slot, cells[f]["slot"] == slot
+                            bound = within_bound(x[mine], cells[f]["mean"][there], cells[f]["weight"][there])
+                            offer((f, int(slot)), bound, ids[mine], x[mine])
+        for (f, slot), some in held.items():
+            if some:
+                bound, ids, x = least((f, slot))
+                ints = [pa.array(np.full(len(ids), v), pa.int32()) for v in (f, slot)]
+                yield pa.RecordBatch.from_arrays(
+                    [*ints, pa.array(bound), pa.array(ids), *[pa.array(np.ascontiguousarray(c)) for c in x.T]],
+                    ["fit", "slot", "bound", "id", *[f"x{i}" for i in range(x.shape[1])]],
+                )
+
+    points = [f"x{i}" for i in range(len(names))]
+    schema = "fit int, slot int, bound double, id long, " + ", ".join(f"{p} double" for p in points)
+    order = Window.partitionBy("fit", "slot").orderBy("bound", "id")
+    offered = sites.select(*names, "id").mapInArrow(task, schema)
+    rows = offered.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep).drop("n").toArrow()
+    found: dict = {group: [] for group in wanted}
+    listed = zip(*[rows.column(c).to_pylist() for c in ("bound", "id", "fit", "slot", *points)])
+    for bound, id_, fit, slot, *point in sorted(listed):
+        found[fit, slot].append((bound, id_, tuple(point)))
+    return found
+
+
+# --- totals --------------------------------------------------------------------------
+
+
+def _totals(sites: DataFrame, cols: Sequence[str], task: Callable) -> dict[tuple[int, int], int]:
+    """Sums over all tasks, by candidate and slot."""
+    sums = sites.select(*cols, "weight").mapInArrow(task, "candidate int, slot int, high long, low long")
+    rows = sums.groupBy("candidate", "slot").agg(total().alias("total")).collect()
+    return {(r["candidate"], r["slot"]): int(r["total"]) for r in rows}
+
+
+def _sum_rows(candidate: np.ndarray, slot: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(candidate, pa.int32()), pa.array(slot, pa.int32()), pa.array(words[0].ravel()), pa.array(words[1].ravel())],
+        ["candidate", "slot", "high", "low"],
+    )
+
+
+def within_totals(
+    sites: DataFrame, cols: Sequence[str], fits: Sequence[np.ndarray], asked: Sequence[tuple[int, int, tuple]]
+) -> list[int]:
+    """Exact distance sum of each asked (fit, slot, point) to the points of that cluster."""
     names, medoids = list(cols), list(fits)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (f, slot, _) in enumerate(asked):
+        groups.setdefault((f, slot), []).append(i)
+    points = np.array([p for *_, p in asked], float)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(medoids), 2), np.int64)
+        sums = np.zeros((2, len(points)), np.int64)
+        used = sorted({f for f, _ in groups})
         for batch in batches:
-            x = np.column_stack([batch.column(c).to_numpy() for c in names])
-            weight = batch.column("weight").to_numpy()
-            sums += [weighted(weight, distances(x, m).min(axis=1)) for m in medoids]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(medoids)), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])],
-            ["fit", "high", "low"],
-        )
+            for part in _parts(batch, names, max(len(g) for g in groups.values())):
+                label = {f: nearest(distances(part["x"], medoids[f]))[0] for f in used}
+                for (f, slot), mine in groups.items():
+                    there = label[f] == slot
+                    if there.any():
+                        sums[:, mine] += weighted(part["weight"][there], distances(part["x"][there], points[mine]))
+        yield _sum_rows(np.arange(len(points)), np.zeros(len(points), np.int32), sums)
+
+    found = _totals(sites, names, task)
+    return [found.get((i, 0), 0) for i in range(len(points))]
+
+
+def swap_totals(sites: DataFrame, cols: Sequence[str], fit: np.ndarray, asked: Sequence[tuple]) -> list[list[int]]:
+    """Exact change of the loss by asked point and medoid that it would replace."""
+    names, points = list(cols), np.array(asked, float)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, len(fit), len(points)), np.int64)
+        for batch in batches:
+            for part in _parts(batch, names, len(points)):
+                sums += swap_changes(distances(part["x"], points), part["weight"], distances(part["x"], fit))
+        slots = np.arange(len(fit)).repeat(len(points))
+        yield _sum_rows(np.resize(np.arange(len(points)), len(slots)), slots, sums)
 
-    read = sites.select("weight", *cols)
-    found = read.mapInArrow(task, "fit int, high long, low long").groupBy("fit").agg(total().alias("loss"))
-    return found.select("fit", (F.col("loss").cast("double") / STEPS).alias("loss"))
+    found = _totals(sites, names, task)
+    return [[found.get((i, s), 0) for s in range(len(fit))] for i in range(len(points))]

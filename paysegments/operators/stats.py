@@ -1,13 +1,14 @@
 """Table statistics, the log transform and robust scaling.
 
-Only statistics reach the driver: one row of moments, and a bounded histogram
-per quantile that is looked for. The data stays in place.
+Exact quantiles take two jobs whatever the size. The first works out moments and a
+mergeable sketch per column, and the sketch brackets every quantile with certainty. The
+second counts what lies below each bracket and ranks the values inside. Only the moments,
+the ends of the brackets and the values at the wanted ranks reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 from functools import reduce
 from math import ceil, floor
 from operator import or_
@@ -18,10 +19,8 @@ from pyspark.sql import functions as F
 from paysegments.config import SegmentConfig
 from paysegments.functions.numeric import log_positive
 
-# Histogram buckets per bracket and pass.
-BUCKETS = 1024
-# A bucket with at most so many rows is sorted instead of divided again.
-SORT_ROWS = 4096
+# Ranks in a sketch are wrong by at most one part in so many of the values.
+ACCURACY = 10_000
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -43,8 +42,19 @@ def is_finite(value: Column) -> Column:
     return F.coalesce(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), F.lit(False))
 
 
-def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, Row]:
-    """Count, mean, sample deviation, minimum and maximum per column, in one pass."""
+def margins(accuracy: int) -> list[float]:
+    """How far to both sides of a quantile a bracket may be asked for, as parts of the values."""
+    return [2 / accuracy, min(500 / accuracy, 1.0)]
+
+
+def sketch_points(probs: Sequence[float], accuracy: int) -> list[float]:
+    """The quantiles that a sketch is asked for: both ends of all brackets."""
+    return [min(max(p + side * m, 0.0), 1.0) for p in probs for m in margins(accuracy) for side in (-1, 1)]
+
+
+def moments(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUARTILES, accuracy: int = ACCURACY) -> dict[str, Row]:
+    """Count, mean, sample deviation, minimum, maximum and sketched quantiles per column, in one pass."""
+    points = sketch_points(probs, accuracy)
     found = df.agg(
         F.struct(F.count(F.lit(1)).alias("n")).alias("__rows"),
         *[
@@ -55,6 +65,7 @@ def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, Row]:
                 F.min(c).cast("double").alias("min"),
                 F.max(c).cast("double").alias("max"),
                 F.count_if(F.col(c).isNotNull() & ~is_finite(F.col(c))).alias("odd"),
+                F.percentile_approx(F.col(c).cast("double"), points, accuracy).alias("sketch"),
             ).alias(c)
             for c in cols
         ],
@@ -62,109 +73,55 @@ def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, Row]:
     return found.asDict()
 
 
-@dataclass
-class _Bracket:
-    """Values of ``col`` in [lo, hi], of which ``inside`` exist; ``below`` are smaller."""
+Bracket = tuple[str, float, float]  # column and the values at both ends
+
+
+def bracket(col: str, known: Row, which: int, accuracy: int) -> Bracket:
+    """The narrowest bracket that surely holds the values around the ``which``-th quantile.
+
+    A margin holds if it exceeds the sketch's error by two values at least; all values do.
+    """
+    for i, margin in enumerate(margins(accuracy)):
+        if margin < 1 and (margin - 1 / accuracy) * known["count"] >= 2:
+            at = 2 * (which * len(margins(accuracy)) + i)
+            return col, known["sketch"][at], known["sketch"][at + 1]
+    return col, known["min"], known["max"]
 
-    col: str
-    lo: float
-    hi: float
-    below: int
-    inside: int
 
-    def holds(self) -> Column:
-        return F.col(self.col).cast("double").between(F.lit(self.lo), F.lit(self.hi))
+def order_statistics(df: DataFrame, ranks: Mapping[Bracket, set[int]]) -> dict[tuple[str, int], float]:
+    """Exact values at 0-based ranks, each looked for in its bracket, in one job.
 
-    def bucket(self) -> Column:
-        # Halves keep the differences finite. Every step is monotone, so a
-        # bucket is a run of neighbouring values however the floats round.
-        value = F.col(self.col).cast("double") / 2
-        part = (value - F.lit(self.lo / 2)) / F.lit(self.hi / 2 - self.lo / 2)
-        return F.least(F.lit(BUCKETS - 1).cast("bigint"), F.floor(part * BUCKETS))
+    Values inside are counted before they move, so equal ones are one row. What is below
+    is a row of its own in front, so the running count is the rank.
+    """
+    brackets = list(ranks)
 
+    def value(b: Bracket) -> Column:
+        return F.col(b[0]).cast("double")
 
-def _tagged(df: DataFrame, brackets: Sequence[_Bracket], value: str) -> DataFrame:
-    """One row (bracket number, value) for each bracket a row's columns fall in."""
     entries = [
-        F.when(
-            b.holds(),
-            F.struct(
-                F.lit(i).alias("bracket"),
-                F.col(b.col).cast("double").alias("x"),
-                (b.bucket() if value == "bucket" else F.lit(0).cast("bigint")).alias("bucket"),
-            ),
-        )
+        F.when(value(b).between(F.lit(b[1]), F.lit(b[2])), F.struct(F.lit(i).alias("bracket"), value(b).alias("x")))
         for i, b in enumerate(brackets)
     ]
-    return df.select(F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL").select("e.*")
-
-
-def _narrow(df: DataFrame, brackets: Sequence[_Bracket]) -> list[list[_Bracket]]:
-    """Split each bracket into its filled buckets, in order."""
-    buckets = (
-        _tagged(df, brackets, "bucket")
-        .groupBy("bracket", "bucket")
-        .agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        .orderBy("bracket", "bucket")
-        .collect()  # at most BUCKETS rows per bracket
+    inside = (
+        df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        .groupBy("e.bracket", "e.x")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    parts: list[list[_Bracket]] = [[] for _ in brackets]
-    below = [b.below for b in brackets]
-    for row in buckets:
-        i = row["bracket"]
-        parts[i].append(_Bracket(brackets[i].col, row["lo"], row["hi"], below[i], row["n"]))
-        below[i] += row["n"]
-    return parts
-
-
-def _ranked(df: DataFrame, wanted: Sequence[tuple[_Bracket, int]]) -> dict[tuple[str, int], float]:
-    """Values at the given ranks of brackets that are short enough to sort in one task."""
+    below = df.agg(F.array(*[F.count_if(value(b) < F.lit(b[1])) for b in brackets]).alias("n"))
+    below = below.select(F.posexplode("n").alias("bracket", "n")).select("bracket", F.lit(None).cast("double").alias("x"), "n")
     running = Window.partitionBy("bracket").orderBy("x")
-    counted = (
-        _tagged(df, [b for b, _ in wanted], "value")
-        .groupBy("bracket", "x")
-        .agg(F.count("x").alias("n"))
-        .withColumn("upto", F.sum("n").over(running))
-    )
-    hits = [
-        (F.col("bracket") == i)
-        & (F.col("upto") > rank - b.below)
-        & (F.col("upto") - F.col("n") <= rank - b.below)
-        for i, (b, rank) in enumerate(wanted)
-    ]
-    rows = counted.where(reduce(or_, hits)).collect()  # one row per wanted rank
-    return {(wanted[r["bracket"]][0].col, wanted[r["bracket"]][1]): r["x"] for r in rows}
-
-
-def order_statistics(
-    df: DataFrame,
-    ranks: Mapping[str, set[int]],
-    known: Mapping[str, Row],
-    sort_rows: int = SORT_ROWS,
-) -> dict[tuple[str, int], float]:
-    """Exact values at 0-based ranks.
-
-    Each pass histograms the value range still in question and keeps the one
-    bucket that holds the rank, until the bucket is one value or short enough to
-    sort. No pass moves more than the histograms, and equal values only make a
-    bucket taller.
-    """
-    searched = {
-        (c, r): _Bracket(c, known[c]["min"], known[c]["max"], 0, known[c]["count"])
-        for c, wanted in ranks.items()
-        for r in wanted
-    }
-    wide = [k for k, b in searched.items() if b.lo < b.hi]
-    while wide:
-        distinct: dict[tuple, _Bracket] = {(b.col, b.lo): b for b in (searched[k] for k in wide)}
-        parts = dict(zip(distinct, _narrow(df, list(distinct.values()))))
-        for c, r in wide:
-            b = searched[c, r]
-            searched[c, r] = next(p for p in parts[b.col, b.lo] if r < p.below + p.inside)
-        wide = [k for k in wide if searched[k].lo < searched[k].hi and searched[k].inside > sort_rows]
-    values = {k: b.lo for k, b in searched.items() if b.lo == b.hi}
-    left = [(b, r) for (_, r), b in searched.items() if b.lo < b.hi]
-    return values | (_ranked(df, left) if left else {})
+    counted = inside.unionByName(below).withColumn("upto", F.sum("n").over(running))
+    wanted = [(i, rank) for i, b in enumerate(brackets) for rank in sorted(ranks[b])]
+    hits = [(F.col("bracket") == i) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank) for i, rank in wanted]
+    rows = counted.where(F.col("x").isNotNull() & reduce(or_, hits)).collect()  # one row per wanted rank at most
+    found = {}
+    for i, rank in wanted:
+        # fails if a sketch broke its promise
+        found[brackets[i][0], rank] = next(
+            r["x"] for r in rows if r["bracket"] == i and r["upto"] - r["n"] <= rank < r["upto"]
+        )
+    return found
 
 
 def quantiles(
@@ -172,18 +129,22 @@ def quantiles(
     cols: Sequence[str],
     probs: Sequence[float] = QUARTILES,
     known: Mapping[str, Row] | None = None,
-    sort_rows: int = SORT_ROWS,
+    accuracy: int = ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation, of the values that are not NULL.
 
-    ``df`` is read more than once. NaN and infinite values are refused.
+    ``df`` is read twice more where ``known`` (of the same ``probs`` and ``accuracy``) is
+    given, and three times else. NaN and infinite values are refused.
     """
-    known = known or moments(df, cols)
+    known = known or moments(df, cols, probs, accuracy)
     require_finite({c: known[c]["odd"] for c in cols})
     filled = [c for c in cols if known[c]["count"]]
     places = {c: [(known[c]["count"] - 1) * p for p in probs] for c in filled}
-    ranks = {c: {r for x in places[c] for r in (floor(x), ceil(x))} for c in filled}
-    at = order_statistics(df, ranks, known, sort_rows)
+    ranks: dict[Bracket, set[int]] = {}
+    for c in filled:
+        for which, x in enumerate(places[c]):
+            ranks.setdefault(bracket(c, known[c], which, accuracy), set()).update((floor(x), ceil(x)))
+    at = order_statistics(df, ranks) if ranks else {}
     result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     for c in filled:
         result[c] = [

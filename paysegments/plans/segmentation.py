@@ -8,24 +8,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paysegments.config import SegmentConfig
-from paysegments.functions.lineage import materialise
+from paysegments.functions.lineage import store
 from paysegments.operators import medoids, stats
 from paysegments.plans.features import FEATURES, payer_features
 
 
+def _features(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig) -> DataFrame:
+    table = payer_features(payments, segments, cfg)
+    return table.select("company_id", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+
+
 def feature_table(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig) -> DataFrame:
-    """The clustering features as doubles, computed once and kept.
+    """The clustering features as doubles, computed once and kept for the application.
 
     Everything after this reads one row per company, never the payments.
     """
-    table = payer_features(payments, segments, cfg)
-    as_doubles = [F.col(c).cast("double").alias(c) for c in FEATURES]
-    return materialise(table.select("company_id", *as_doubles))
+    source = _features(payments, segments, cfg)
+    return store(payments.sparkSession).get(source, "features", lambda: source)
 
 
 def scaled_features(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig) -> DataFrame:
-    logged = stats.transform(feature_table(payments, segments, cfg), cfg)
-    return stats.robust_scale(logged, FEATURES)
+    """The features logged and scaled, kept in the same way."""
+
+    def scaled() -> DataFrame:
+        logged = stats.transform(feature_table(payments, segments, cfg), cfg)
+        return stats.robust_scale(logged, FEATURES)
+
+    source = _features(payments, segments, cfg)
+    return store(payments.sparkSession).get(source, f"scaled {cfg.recency_ceiling}", scaled)
 
 
 def company_clusters(

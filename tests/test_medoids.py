@@ -10,8 +10,8 @@ import pytest
 from paysegments.operators import medoids, scoring
 
 COLS = ["x", "y"]
-# One block of candidates; a few; many.
-SIZES = [{}, {"candidates": 15}, {"candidates": 6}]
+# Cells and batches as they come; few of both; one cell, which rules out hardly anything.
+SIZES = [{}, {"cells": 7, "batch": 5}, {"cells": 1, "batch": 40}]
 
 
 def table(spark, points, first=0):
@@ -186,14 +186,14 @@ def test_swap_changes(seed):
     k = 1 + seed % 4
     chosen = rng.choice(25, k, replace=False).tolist()
     d = pairwise(points)
-    found = joined(scoring.swap_changes(d, weight, d[:, chosen]))
+    found = joined(scoring.swap_changes(d.astype(float), weight, d[:, chosen].astype(float)))
     now = (d[:, chosen].min(axis=1) * weight).sum()
     for s, h in itertools.product(range(k), range(25)):
         then = (d[:, chosen[:s] + [h] + chosen[s + 1 :]].min(axis=1) * weight).sum()
         assert found[s, h] == then - now
 
 
-def test_totals_do_not_depend_on_partitions_or_blocks(spark):
+def test_totals_do_not_depend_on_partitions(spark):
     """Weights of 1e8 in all, where sums of doubles differ by the order of adding."""
     rng = np.random.default_rng(8)
     n = 400
@@ -203,24 +203,93 @@ def test_totals_do_not_depend_on_partitions_or_blocks(spark):
     d = pairwise(points).astype(object)
     rows = [(i, int(w), *map(float, p)) for i, (w, p) in enumerate(zip(weight, points))]
     sites = spark.createDataFrame(rows, "id bigint, weight bigint, x double, y double")
-    expected = {i: sum(int(w) * v for w, v in zip(weight, d[:, i])) for i in range(n)}
-    for partitions, blocks, shares in ((1, 1, 1), (7, 3, 5), (13, 11, 2)):
-        pairs = scoring.pairs_of_blocks(sites.repartition(partitions), COLS, blocks, shares)
-        found = scoring.score(pairs, COLS, [np.zeros((1, 2))], False).collect()
-        assert {r["id"]: int(r["total"]) for r in found} == expected
+    expected = [sum(int(w) * v for w, v in zip(weight, d[:, i])) for i in range(n)]
+    asked = [(0, 0, tuple(p)) for p in points]
+    for partitions in (1, 7, 13):
+        found = scoring.within_totals(sites.repartition(partitions), COLS, [np.zeros((1, 2))], asked)
+        assert found == expected
 
 
 def test_jobs_do_not_grow_with_the_points(spark):
     context = spark.sparkContext
     jobs = []
-    for n in (60, 600):
+    for n in (600, 6000):
         df = table(spark, np.random.default_rng(n).normal(size=(n, 2))).cache()
         df.count()
-        with medoids.PointSpace(df, COLS, candidates=50) as space:
+        with medoids.PointSpace(df, COLS) as space:
             start = tuple(m for _, m in medoids.ranked_by_total(space, 3))
-            space.scored([medoids.points_of(start)], True).count()
-            context.setJobGroup(f"swap {n}", "")
-            space.scored([medoids.points_of(start)], True).collect()
-            jobs.append(len(context.statusTracker().getJobIdsForGroup(f"swap {n}")))
+            context.setJobGroup(f"round {n}", "")
+            medoids._recentred(space, [start])
+            jobs.append(len(context.statusTracker().getJobIdsForGroup(f"round {n}")))
             context.setLocalProperty("spark.jobGroup.id", None)
-    assert jobs[0] == jobs[1] <= 3
+    assert max(jobs) <= 16 and abs(jobs[0] - jobs[1]) <= 4
+
+
+def spread(seed, n=400, dims=3):
+    """Points with groups, copies, a far one and a grid."""
+    rng = np.random.default_rng(seed)
+    grid = rng.integers(0, 4, size=(n // 4, dims)).astype(float)
+    far = rng.lognormal(2, 1.5, size=(n // 4, dims))
+    return np.concatenate([grid, far, grid[: n // 8] + 1e-10, rng.normal(size=(n // 4, dims)), [[1e6] * dims]])
+
+
+def summed(points, weight, cells, chosen, swap):
+    """The cells of a fit as a job describes them."""
+    pivots = points[:: max(1, len(points) // cells)][:cells]
+    cell = scoring.lengths(points, pivots).argmin(axis=1)
+    label, near, second = scoring.nearest(scoring.distances(points, points[chosen]))
+    summing = scoring.Summing(points.shape[1], swap)
+    keys = sorted(set(zip(label, cell)))
+    at = {k: i for i, k in enumerate(keys)}
+    inverse = np.array([at[k] for k in zip(label, cell)])
+    sums, most = summing.of(points - pivots[cell], weight.astype(float), near / scoring.STEPS, second / scoring.STEPS)
+    values = [np.bincount(inverse, v) for v in sums]
+    for v in most:
+        peak = np.zeros(len(keys))
+        np.maximum.at(peak, inverse, v)
+        values.append(peak)
+    slots, cells_ = (np.array(k) for k in zip(*keys))
+    return scoring.described({"slot": slots, "cell": cells_, "values": np.stack(values)}, pivots, swap)
+
+
+@pytest.mark.parametrize("cells", [1, 9, 80])
+@pytest.mark.parametrize("seed", range(3))
+def test_bounds_never_rule_out_too_much(seed, cells):
+    points = spread(seed)
+    rng = np.random.default_rng(seed)
+    weight = rng.integers(1, 5, len(points))
+    d = pairwise(points)
+    chosen = rng.choice(len(points), 4, replace=False).tolist()
+    label = d[:, chosen].argmin(axis=1)
+    described = summed(points, weight, cells, chosen, False)
+    for slot in range(4):
+        there, mine = described["slot"] == slot, label == slot
+        bound = scoring.within_bound(points, described["mean"][there], described["weight"][there])
+        assert (bound <= weight[mine] @ d[mine]).all()
+    described = summed(points, weight, cells, chosen, True)
+    changes = joined(scoring.swap_changes(d.astype(float), weight, d[:, chosen].astype(float))).min(axis=0)
+    assert (scoring.swap_bound(points, described, 4) <= changes.astype(float)).all()
+
+
+def test_few_candidates_are_scored(spark):
+    points = np.random.default_rng(11).normal(size=(20_000, 5))
+    cols = [f"c{i}" for i in range(5)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "company_id long, " + ", ".join(f"{c} double" for c in cols))
+    with medoids.PointSpace(df, cols) as space:
+        start = tuple(m for _, m in medoids.ranked_by_total(space, 4))
+        assert space.asked < 1500
+        space.asked = 0
+        medoids._recentred(space, [start])
+        assert space.asked < 1500
+        space.asked = 0
+        fit = [medoids.points_of(start)]
+        space.search(fit, space.summarised(fit, True)[0], True, 1, {(0, 0): 0})
+        assert space.asked < 10_000  # the first swap is the worst to bound
+
+
+def test_sums_of_any_size_are_exact():
+    rng = np.random.default_rng(12)
+    for weight in (rng.integers(1, 9, 50), rng.integers(1, 1 << 30, 50)):
+        values = rng.integers(0, 1 << 35, size=(50, 3)).astype(float)
+        expected = [sum(int(w) * int(v) for w, v in zip(weight, column)) for column in values.T]
+        assert joined(scoring.weighted(weight, values)).tolist() == expected

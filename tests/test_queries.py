@@ -50,7 +50,7 @@ def scaled(spark):
     )
 
 
-@pytest.mark.parametrize("sizes", [{}, {"candidates": 60}])
+@pytest.mark.parametrize("sizes", [{}, {"cells": 40, "batch": 60}])
 def test_known_fit(scaled, sizes):
     chosen = medoids.kmedoids(scaled, FEATURES, 4, "pam", **sizes)
     labelled = medoids.assign(scaled, FEATURES, chosen)

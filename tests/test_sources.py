@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from build import CFG, pay, payments, segments
 from paysegments.config import slug
 from paysegments.functions import lineage
-from paysegments.plans import features
+from paysegments.plans import features, segmentation
 from paysegments.sources import star, tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -56,6 +56,7 @@ def test_without_a_checkpoint_folder_they_go_to_the_warehouse():
     class Session:
         class sparkContext:
             getCheckpointDir = staticmethod(lambda: None)
+            master = "local"
 
         class conf:
             get = staticmethod(lambda key, *default: "/w" if key == "spark.sql.warehouse.dir" else default[0])
@@ -125,3 +126,85 @@ def test_the_readers_with_all_payment_types(spark, tmp_path):
         WHERE company_id IN (SELECT company_id FROM p WHERE CAST(paid_at AS DATE) >= DATE '2024-06-01')
         GROUP BY company_id ORDER BY company_id""").fetchall()
     assert len(found) > 20 and found == expected
+
+
+# --- intermediate tables -----------------------------------------------------------------
+
+
+def _table(spark, folder, rows):
+    spark.createDataFrame(rows, "id long, v double").write.mode("overwrite").parquet(str(folder))
+    return lambda: spark.read.parquet(str(folder)).where("v > 1").groupBy("id").sum("v")
+
+
+def test_a_stored_table_is_computed_once(spark, tmp_path):
+    kept, built = lineage.Store(), []
+
+    def ask(source, step="sum"):
+        def build():
+            built.append(step)
+            return source
+
+        return sorted(tuple(r) for r in kept.get(source, step, build).collect())
+
+    read = _table(spark, tmp_path / "t", [(1, 2.0), (2, 3.0), (2, 0.5)])
+    assert ask(read()) == ask(read()) == [(1, 2.0), (2, 3.0)]
+    assert built == ["sum"]
+    # another constant, another step and another input are other tables
+    ask(spark.read.parquet(str(tmp_path / "t")).where("v > 2").groupBy("id").sum("v"))
+    ask(read(), "other")
+    assert built == ["sum", "sum", "other"]
+    again = _table(spark, tmp_path / "t", [(1, 7.0)])
+    assert ask(again()) == [(1, 7.0)] and len(built) == 4
+
+
+def test_nothing_is_left_after_release(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lineage, "shared_folder", lambda _: str(tmp_path / "shared"))
+    table = lineage.materialise(spark.range(10).withColumnRenamed("id", "n"))
+    assert table.count() == 10 and list((tmp_path / "shared").rglob("*.parquet"))
+    lineage.release(spark)
+    assert not [p for p in (tmp_path / "shared").rglob("*") if p.is_file()]
+
+
+def test_features_are_computed_once(spark):
+    p, s = (build(spark, "/root/testdata/sf0.001") for build in (star.payments, star.segments))
+    first = segmentation.scaled_features(p, s, star.STAR)
+    p, s = (build(spark, "/root/testdata/sf0.001") for build in (star.payments, star.segments))
+    context = spark.sparkContext
+    context.setJobGroup("again", "")
+    again = segmentation.scaled_features(p, s, star.STAR)
+    jobs = context.statusTracker().getJobIdsForGroup("again")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert again.inputFiles() == first.inputFiles() and len(jobs) <= 4  # listing the inputs
+
+
+@pytest.mark.parametrize(
+    "master, warehouse, fine",
+    [
+        ("local", "file:/w", True),
+        ("local[8]", "/w", True),
+        ("local-cluster[3,2,1000]", "file:/w", True),
+        ("spark://host:7077", "file:/w", False),
+        ("yarn", "/w", False),
+        ("yarn", "hdfs://name/w", True),
+        ("k8s://host", "s3a://place/w", True),
+    ],
+)
+def test_a_warehouse_that_executors_do_not_share_is_refused(monkeypatch, master, warehouse, fine):
+    class Conf:
+        def get(self, name, *default):
+            return warehouse if name == "spark.sql.warehouse.dir" else None
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    Session.sparkContext.master = master
+    monkeypatch.setattr(lineage, "_default_scheme", lambda spark: "file")
+    if fine:
+        assert lineage.shared_folder(Session()) == f"{warehouse}/intermediate"
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            lineage.shared_folder(Session())
