@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysegments.functions.shipping import ship_by_value
-from paysegments.llm.text import as_row, row_type, small_batches, with_columns
+from paysegments.llm.text import as_row, row_type, send, small_batches, with_columns
 
 ship_by_value(__name__)
 
@@ -238,10 +238,10 @@ def train(docs: DataFrame, fit: Fit = Fit()) -> Model:
 def predict(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``row`` (the columns ``carry`` of ``docs``), lang_pred and score (0 to 1)."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, model = Letters(), sent.value
+        letters, model = Letters(), sent()
         for batch in batches:
             rows, found = batch.column("row"), []
             for counts in _counted(rows.field("text").to_pylist(), letters):

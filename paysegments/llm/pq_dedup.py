@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from paysegments.functions.lineage import Scratch, materialise
 from paysegments.functions.shipping import ship_by_value
+from paysegments.llm.text import send
 from paysegments.llm.ann import usable
 from paysegments.llm.components import components
 from paysegments.llm.simhash import connect
@@ -127,13 +128,14 @@ def _matrix(column: pa.ListArray, dimensions: int) -> np.ndarray:
 
 def _listed(distinct: DataFrame, index: Index, dimensions: int, reach: float) -> DataFrame:
     """label, list, kind, id, n, vector: each vector as code in its list and as query where it probes."""
-    sent = distinct.sparkSession.sparkContext.broadcast(index)
+    sent = send(distinct.sparkSession, index)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own, rows, lists = probes(sent.value, _unit(_matrix(batch.column("vector"), dimensions)), reach)
+            own, rows, lists = probes(index, _unit(_matrix(batch.column("vector"), dimensions)), reach)
             n = len(own)
             every = pa.array(np.concatenate([np.arange(n), np.arange(n), rows]))
             kind = np.repeat([CODE, HOME, QUERY], [n, n, len(rows)]).astype(np.int32)
@@ -218,10 +220,10 @@ class _Codes:
 
 def _found(dealt: DataFrame, index: Index, dimensions: int, threshold: float, reach: float) -> DataFrame:
     by = ["label", "list", "part"]
-    sent = dealt.sparkSession.sparkContext.broadcast(index)
+    sent = send(dealt.sparkSession, index)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
+        now, held, index = None, None, sent()
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in (*by, "kind"))))
             ids, n = batch.column("id").to_numpy(), batch.column("n").to_numpy()
@@ -231,7 +233,7 @@ def _found(dealt: DataFrame, index: Index, dimensions: int, threshold: float, re
             for end in ends:
                 *key, kind = keys[start]
                 if key != now:
-                    now, held = key, _Codes(sent.value, key[1], threshold, reach)
+                    now, held = key, _Codes(index, key[1], threshold, reach)
                 part = ids[start:end], n[start:end], vectors[start:end]
                 if kind == CODE:
                     held.add(*part)

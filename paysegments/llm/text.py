@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Callable, Sequence
+from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,15 @@ def as_bytes(text: pa.StringScalar) -> bytes:
     return text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
+def send(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast an object together with its class; tasks call the result to get a copy.
+
+    A plain broadcast names the class, and executors may lack the module that holds it.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 # Rows of an Arrow batch. Texts can be long, and tasks and executors hold a batch or two.
 BATCH_ROWS = 1000
 

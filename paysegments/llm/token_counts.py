@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from paysegments.functions.shipping import ship_by_value
-from paysegments.llm.text import as_bytes, small_batches
+from paysegments.llm.text import as_bytes, send, small_batches
 
 ship_by_value(__name__)
 
@@ -127,11 +127,11 @@ def vocabulary(path: str) -> tuple[list[str], list[str]]:
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens and n_unknown of every row of ``docs``."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(Automaton(*vocabulary(path)))
+    automaton = send(docs.sparkSession, Automaton(*vocabulary(path)))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(sent.value)
+        counts = _Counts(automaton())
         for batch in batches:
             rows = []
             for text in batch.column("text"):
