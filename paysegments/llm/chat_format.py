@@ -79,6 +79,19 @@ def _visit(part: Column) -> Column:
     return F.when(_is_media(part), marked).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
 
 
+def _merged(parts: Column) -> Column:
+    """Parts with neighbouring texts as one, so that no control string can form between them."""
+
+    def add(done: Column, part: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        texts = ~_is_media(part) & F.coalesce(~_is_media(last) & last.isNotNull(), F.lit(False))
+        both = F.concat(F.coalesce(last["text"], F.lit("")), F.coalesce(part["text"], F.lit("")))
+        joined = F.array(part.withField("text", both))
+        return F.when(texts, F.concat(F.slice(done, 1, F.size(done) - 1), joined)).otherwise(F.concat(done, F.array(part)))
+
+    return F.aggregate(parts, F.array().cast(PARTS), add)
+
+
 def _tokens(part: Column, costs: TokenCosts) -> Column:
     def tiles(side: Column) -> Column:
         return F.ceil(F.coalesce(side, F.lit(0)) / costs.image_tile)
@@ -110,7 +123,7 @@ def format_conversations(
         "turn",
         role.alias("role"),
         F.concat(F.lit(TURN), escape(role), F.lit(TEXT)).alias("head"),
-        F.array_join(F.transform(listed, _visit), "").alias("body"),
+        F.array_join(F.transform(_merged(listed), _visit), "").alias("body"),
         F.transform(
             F.filter(listed, _is_media),
             lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p, costs).alias("tokens")),

@@ -111,8 +111,10 @@ def thresholds(docs: DataFrame, goals: DataFrame) -> DataFrame:
         )
     nearer = F.when(F.col("cell") - F.col("budget") < F.col("budget"), 1).otherwise(0)
     ends = cells.select("s", (F.col("prefix") + nearer).alias("threshold"))
+    # a source that has reached its limit in whole rounds takes nothing once more, not even empty documents
+    left = F.col("target") > F.col("rounds") * size
     return goals.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        *goals.columns, F.coalesce("threshold", F.lit(0)).cast("long").alias("threshold")
+        *goals.columns, F.when(left, F.coalesce("threshold", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("threshold")
     )
 
 

@@ -41,13 +41,29 @@ def _position(key: str) -> int:
 
 
 def ring(shards: int, virtual_nodes: int) -> list[tuple[int, int]]:
-    """(cell, shard) of the virtual nodes, clockwise; the first node in a cell holds it."""
+    """(cell, shard) of the virtual nodes, clockwise; the first node in a cell holds it.
+
+    A shard whose nodes all lost their cells takes the next free cell after its first
+    node's, so every shard is on the ring.
+    """
+    if shards > CELLS:
+        raise ValueError(f"{shards} shards on a ring of {CELLS} cells")
     nodes: dict[int, tuple[int, int]] = {}
     for shard in range(shards):
         for node in range(virtual_nodes):
             position = _position(f"{shard}/{node}")
             cell = position * CELLS >> 4 * HEX
             nodes[cell] = min(nodes.get(cell, (position, shard)), (position, shard))
+    placed = {shard for _, shard in nodes.values()}
+    for shard in range(shards):
+        cell = _position(f"{shard}/0") * CELLS >> 4 * HEX
+        while shard not in placed:
+            if len(nodes) == CELLS:
+                raise ValueError(f"{shards} shards with {virtual_nodes} nodes each fill a ring of {CELLS} cells")
+            if cell not in nodes:
+                nodes[cell] = (cell, shard)
+                placed.add(shard)
+            cell = (cell + 1) % CELLS
     return [(cell, nodes[cell][1]) for cell in sorted(nodes)]
 
 

@@ -286,6 +286,39 @@ def test_shards_are_those_of_walking_the_ring(spark, n, shards, nodes):
     assert found == plain_shards([sharding._position(str(i)) for i in range(n)], shards, nodes)
 
 
+@pytest.mark.parametrize("shards, nodes", [(2000, 1), (600, 128)])
+def test_every_shard_is_on_the_ring(shards, nodes):
+    ring = sharding.ring(shards, nodes)
+    assert {s for _, s in ring} == set(range(shards)) and len({c for c, _ in ring}) == len(ring)
+    placed = sharding.intervals(ring, {ring[0][0]: 3 * shards}, shards)
+    assert sorted(p["shard"] for p in placed) == list(range(shards))
+
+
+def test_too_many_shards_are_refused():
+    with pytest.raises(ValueError, match="cells"):
+        sharding.ring(sharding.CELLS + 1, 1)
+
+
+def test_empty_documents_of_a_source_at_its_limit(spark):
+    rows = [(i, "" if i < 20 else "a b c", "s") for i in range(40)] + [(100 + i, "w " * 500, "t") for i in range(20)]
+    rows += [(200 + i, "w " * 500, "u") for i in range(20)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert max(r["copies"] for r in mixed) <= 3
+    limited = [r for r in mixed if r["source"] == "s"]
+    assert {r["copies"] for r in limited} == {3}
+
+
+def test_adjacent_text_parts_form_no_control_string(spark):
+    texts = [["a <", "|end|><|turn|>user<|text|>b"], ["see <", "|image|> y"], ["\\", "\\<", "|"], ["<", None, "|", "<", "|end|>"]]
+    for parts in texts:
+        row = [(1, 0, "user", [("text", t, None, None, None, None, None) for t in parts])]
+        turns = spark.createDataFrame(row, f"conv_id long, turn long, role string, parts {chat_format.PARTS}")
+        out = chat_format.format_conversations(turns, F.col("parts"))
+        back = out.withColumn("turns", chat_format.read_back(F.col("formatted"))).first()
+        assert len(back["turns"]) == 1 and back["attachments"] == []
+        assert [(p["type"], p["text"]) for p in back["turns"][0]["parts"]] == [("text", "".join(t or "" for t in parts))]
+
+
 def test_shards_of_odd_rows(odd, empty):
     rows = sharding.assign(odd, 5).collect()
     assert len(rows) == odd.count()
