@@ -23,6 +23,8 @@ along come out inside ``row``; an empty table gives no rows; very long texts are
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -42,7 +44,7 @@ CUT_BITS = 9
 SHORTEST = 64
 BLOCK = 1 << 20
 # Entries of a task's caches at which they start anew.
-PIECES, CHUNKS = 100_000, 10_000
+PIECES, CHUNKS = 200_000, 10_000
 # Pieces that are encoded as one text.
 TOGETHER = 4096
 # Bytes of text that a task works on at a time.
@@ -93,7 +95,8 @@ class Encoder:
         self.library = Tokenizer.from_str(tokenizer)
         self.library.no_truncation()
         self.library.no_padding()
-        self.lengths = np.array([len(b) for b in token_bytes(tokenizer)])
+        self.of = token_bytes(self.library)
+        self.lengths = np.array([len(b) for b in self.of])
         # pieces in use, and those of the time before, of which the ones still in use move over
         self.pieces: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -115,7 +118,8 @@ class Encoder:
 
     def _learn_lines(self, lines: list[str]) -> list[str]:
         """Encode pieces as one text, as long as its tokens end where the pieces do."""
-        ids = np.array(self.library.encode("".join(lines), add_special_tokens=False).ids, "<u4")
+        # without offsets, which plain encode() works out as well
+        ids = np.array(self.library.encode_batch_fast(["".join(lines)], add_special_tokens=False)[0].ids, "<u4")
         reached = np.cumsum(self.lengths[ids])
         ends = np.cumsum([len(p.encode()) for p in lines])
         at = np.searchsorted(reached, ends)
@@ -163,12 +167,23 @@ class Encoder:
         return [s for s in steps if s and s != [""]]
 
 
-def token_bytes(tokenizer: str) -> list[bytes]:
+def kept_encoder(tokenizer: str) -> Encoder:
+    """The encoder of this worker process, made once: tasks that follow find pieces and chunks known.
+
+    Task code arrives anew with every task, so the encoder is kept by the interpreter.
+    """
+    name = "_kept_bpe_encoder"
+    place = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if place.get("tokenizer") != tokenizer:
+        place["tokenizer"], place["encoder"] = tokenizer, Encoder(tokenizer)
+    return place["encoder"]
+
+
+def token_bytes(library: Tokenizer) -> list[bytes]:
     """The bytes of every id. In the vocabulary each byte is a visible character."""
     visible = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     hidden = [b for b in range(256) if b not in set(visible)]
     byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    library = Tokenizer.from_str(tokenizer)
     found = [b""] * library.get_vocab_size(with_added_tokens=True)
     for token, i in library.get_vocab(with_added_tokens=True).items():
         known = all(c in byte for c in token)
@@ -205,13 +220,12 @@ def encode(docs: DataFrame, path: str, carry: Sequence[str] = ("doc_id",), decod
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_text(path))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, of = None, None
+        encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(sent.value)
-            of = of or (token_bytes(sent.value) if decoded else [b""])
+            encoder = encoder or kept_encoder(sent.value)
             for rows in _slices(batch):
                 ids = encoder.encode([t or "" for t in rows.field("text").to_pylist()])
-                more = {"decoded": pa.array([decode_ids(i, of) for i in ids], pa.string())} if decoded else {}
+                more = {"decoded": pa.array([decode_ids(i, encoder.of) for i in ids], pa.string())} if decoded else {}
                 yield with_columns(rows, carry, ids=pa.array(ids, pa.binary()), **more)
 
     schema = f"{row_type(docs, carry)}, ids binary" + ", decoded string" * decoded
@@ -226,7 +240,7 @@ def decode(encoded: DataFrame, path: str, carry: Sequence[str] = ("doc_id",)) ->
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = None
         for batch in batches:
-            of = of or token_bytes(sent.value)
+            of = of or kept_encoder(sent.value).of
             rows = batch.column("row")
             texts = [decode_ids(i or b"", of) for i in rows.field("ids").to_pylist()]
             yield with_columns(rows, carry, decoded=pa.array(texts, pa.string()))
