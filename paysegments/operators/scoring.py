@@ -385,18 +385,25 @@ def lowest(
 # --- totals --------------------------------------------------------------------------
 
 
-def _totals(sites: DataFrame, cols: Sequence[str], task: Callable) -> dict[tuple[int, int], int]:
-    """Sums over all tasks, by candidate and slot."""
-    sums = sites.select(*cols, "weight").mapInArrow(task, "candidate int, slot int, high long, low long")
-    rows = sums.groupBy("candidate", "slot").agg(total().alias("total")).collect()
-    return {(r["candidate"], r["slot"]): int(r["total"]) for r in rows}
+# Sums in a row that leaves a task.
+CHUNK = 1024
 
 
-def _sum_rows(candidate: np.ndarray, slot: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(candidate, pa.int32()), pa.array(slot, pa.int32()), pa.array(words[0].ravel()), pa.array(words[1].ravel())],
-        ["candidate", "slot", "high", "low"],
-    )
+def _totals(sites: DataFrame, cols: Sequence[str], task: Callable) -> dict[int, int]:
+    """Sums over all tasks, by place in the arrays that the tasks give."""
+    sums = sites.select(*cols, "weight").mapInArrow(task, "chunk int, high array<long>, low array<long>")
+    each = sums.select("chunk", F.posexplode(F.arrays_zip("high", "low")).alias("at", "words"))
+    each = each.select((F.col("chunk") * CHUNK + F.col("at")).alias("at"), "words.high", "words.low")
+    rows = each.groupBy("at").agg(total().alias("total")).collect()
+    return {r["at"]: int(r["total"]) for r in rows}
+
+
+def _sum_rows(words: np.ndarray) -> pa.RecordBatch:
+    """A task's sums, CHUNK to a row."""
+    high, low = words.reshape(2, -1)
+    starts = range(0, len(high), CHUNK)
+    lists = [pa.array([part[s : s + CHUNK] for s in starts], pa.list_(pa.int64())) for part in (high, low)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), *lists], ["chunk", "high", "low"])
 
 
 def within_totals(
@@ -419,10 +426,10 @@ def within_totals(
                     there = label[f] == slot
                     if there.any():
                         sums[:, mine] += weighted(part["weight"][there], distances(part["x"][there], points[mine]))
-        yield _sum_rows(np.arange(len(points)), np.zeros(len(points), np.int32), sums)
+        yield _sum_rows(sums)
 
     found = _totals(sites, names, task)
-    return [found.get((i, 0), 0) for i in range(len(points))]
+    return [found.get(i, 0) for i in range(len(points))]
 
 
 def swap_totals(sites: DataFrame, cols: Sequence[str], fit: np.ndarray, asked: Sequence[tuple]) -> list[list[int]]:
@@ -434,8 +441,7 @@ def swap_totals(sites: DataFrame, cols: Sequence[str], fit: np.ndarray, asked: S
         for batch in batches:
             for part in _parts(batch, names, len(points)):
                 sums += swap_changes(distances(part["x"], points), part["weight"], distances(part["x"], fit))
-        slots = np.arange(len(fit)).repeat(len(points))
-        yield _sum_rows(np.resize(np.arange(len(points)), len(slots)), slots, sums)
+        yield _sum_rows(sums)
 
     found = _totals(sites, names, task)
-    return [[found.get((i, s), 0) for s in range(len(fit))] for i in range(len(points))]
+    return [[found.get(s * len(points) + i, 0) for s in range(len(fit))] for i in range(len(points))]
