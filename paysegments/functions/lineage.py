@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,7 +95,7 @@ def release(spark: SparkSession) -> None:
 
 @dataclass
 class _Stored:
-    source: DataFrame
+    sources: tuple[DataFrame, ...]
     files: tuple
     table: DataFrame
 
@@ -104,21 +104,21 @@ class _Stored:
 class Store:
     """Tables that several queries of an application share.
 
-    A table is known by the plan that it follows from (same relations, expressions and
-    constants), the step that makes it, and the input files as they are at that time, by
-    name, length and time of change; so inputs that were written again give a new table.
+    A table is known by its sources' plans (same relations, expressions and constants), by
+    the step that makes it, settings included, and by the input files as they are at that
+    time, by name, length and time of change; so inputs that were written again give a new table.
     """
 
-    known: dict[tuple[str, int], list[_Stored]] = field(default_factory=dict)
+    known: dict[tuple, list[_Stored]] = field(default_factory=dict)
 
-    def get(self, source: DataFrame, step: str, build: Callable[[], DataFrame]) -> DataFrame:
-        files = input_files(source)
-        same = self.known.setdefault((step, source.semanticHash()), [])
+    def get(self, sources: Sequence[DataFrame], step: str, build: Callable[[], DataFrame]) -> DataFrame:
+        files = input_files(sources)
+        same = self.known.setdefault((step, *[s.semanticHash() for s in sources]), [])
         for entry in same:
-            if entry.files == files and entry.source.sameSemantics(source):
+            if entry.files == files and all(map(DataFrame.sameSemantics, entry.sources, sources)):
                 return entry.table
         table = materialise(build())
-        same.append(_Stored(source, files, table))
+        same.append(_Stored(tuple(sources), files, table))
         return table
 
 
@@ -130,12 +130,12 @@ def store(spark: SparkSession) -> Store:
     return _STORES.setdefault(spark.sparkContext.applicationId, Store())
 
 
-def input_files(df: DataFrame) -> tuple:
-    """Number and checksum of the files that ``df`` reads. They are listed by Spark and not opened."""
-    names = df.inputFiles()
+def input_files(sources: Sequence[DataFrame]) -> tuple:
+    """Number and checksum of the files that are read. They are listed by Spark and not opened."""
+    names = sorted({name for source in sources for name in source.inputFiles()})
     if not names:
         return ()
-    listed = df.sparkSession.read.format("binaryFile").load(names).select("path", "modificationTime", "length")
+    listed = sources[0].sparkSession.read.format("binaryFile").load(names).select("path", "modificationTime", "length")
     mark = F.xxhash64("path", "modificationTime", "length").cast("decimal(20,0)")
     found = listed.agg(F.count(F.lit(1)).alias("n"), F.sum(mark).alias("sum")).first()
     return found["n"], found["sum"]

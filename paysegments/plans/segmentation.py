@@ -13,18 +13,17 @@ from paysegments.operators import medoids, stats
 from paysegments.plans.features import FEATURES, payer_features
 
 
-def _features(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig) -> DataFrame:
-    table = payer_features(payments, segments, cfg)
-    return table.select("company_id", *[F.col(c).cast("double").alias(c) for c in FEATURES])
-
-
 def feature_table(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig) -> DataFrame:
     """The clustering features as doubles, computed once and kept for the application.
 
     Everything after this reads one row per company, never the payments.
     """
-    source = _features(payments, segments, cfg)
-    return store(payments.sparkSession).get(source, "features", lambda: source)
+
+    def features() -> DataFrame:
+        table = payer_features(payments, segments, cfg)
+        return table.select("company_id", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+
+    return store(payments.sparkSession).get((payments, segments), f"features {cfg}", features)
 
 
 def scaled_features(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig) -> DataFrame:
@@ -34,8 +33,7 @@ def scaled_features(payments: DataFrame, segments: DataFrame, cfg: SegmentConfig
         logged = stats.transform(feature_table(payments, segments, cfg), cfg)
         return stats.robust_scale(logged, FEATURES)
 
-    source = _features(payments, segments, cfg)
-    return store(payments.sparkSession).get(source, f"scaled {cfg.recency_ceiling}", scaled)
+    return store(payments.sparkSession).get((payments, segments), f"scaled {cfg}", scaled)
 
 
 def company_clusters(

@@ -144,7 +144,7 @@ def test_a_stored_table_is_computed_once(spark, tmp_path):
             built.append(step)
             return source
 
-        return sorted(tuple(r) for r in kept.get(source, step, build).collect())
+        return sorted(tuple(r) for r in kept.get([source], step, build).collect())
 
     read = _table(spark, tmp_path / "t", [(1, 2.0), (2, 3.0), (2, 0.5)])
     assert ask(read()) == ask(read()) == [(1, 2.0), (2, 3.0)]
