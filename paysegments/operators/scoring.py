@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysegments.functions.shipping import ship_by_value
@@ -94,12 +94,6 @@ def swap_changes(d: np.ndarray, weight: np.ndarray, to_medoids: np.ndarray) -> n
     return sums
 
 
-def total(high: str = "high", low: str = "low") -> Column:
-    """The sum over tasks of a number in two words, in steps."""
-    word = F.lit(1 << LOW).cast("decimal(7,0)")
-    return F.sum(high).cast("decimal(25,0)") * word + F.sum(low).cast("decimal(25,0)")
-
-
 def _parts(batch: pa.RecordBatch, names: Sequence[str], width: int) -> Iterator[dict[str, np.ndarray]]:
     """A batch in parts so that part x ``width`` numbers fit a block."""
     x = np.column_stack([batch.column(c).to_numpy() for c in names])
@@ -389,13 +383,29 @@ def lowest(
 CHUNK = 1024
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the arrays of each chunk."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, high, low in zip(*[batch.column(c).to_pylist() for c in ("chunk", "high", "low")]):
+            words = np.array([high, low], np.int64)
+            sums[chunk] = sums[chunk] + words if chunk in sums else words
+    lists = [pa.array([w[i] for w in sums.values()], pa.list_(pa.int64())) for i in (0, 1)]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *lists], ["chunk", "high", "low"])
+
+
 def _totals(sites: DataFrame, cols: Sequence[str], task: Callable) -> dict[int, int]:
-    """Sums over all tasks, by place in the arrays that the tasks give."""
-    sums = sites.select(*cols, "weight").mapInArrow(task, "chunk int, high array<long>, low array<long>")
-    each = sums.select("chunk", F.posexplode(F.arrays_zip("high", "low")).alias("at", "words"))
-    each = each.select((F.col("chunk") * CHUNK + F.col("at")).alias("at"), "words.high", "words.low")
-    rows = each.groupBy("at").agg(total().alias("total")).collect()
-    return {r["at"]: int(r["total"]) for r in rows}
+    """Sums over all tasks, by place in the arrays that the tasks give.
+
+    A task gives a row per chunk, and a chunk's arrays are added up by one task.
+    """
+    schema = "chunk int, high array<long>, low array<long>"
+    sums = sites.select(*cols, "weight").mapInArrow(task, schema).repartition("chunk").mapInArrow(_added, schema)
+    return {
+        r["chunk"] * CHUNK + i: (high << LOW) + low
+        for r in sums.collect()
+        for i, (high, low) in enumerate(zip(r["high"], r["low"]))
+    }
 
 
 def _sum_rows(words: np.ndarray) -> pa.RecordBatch:
