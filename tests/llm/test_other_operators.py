@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,37 @@ def test_nearest_with_few_or_none(spark):
     assert ann.nearest(some.limit(0), F.col("vec_id") == 0, 6).count() == 0
 
 
+def test_unlike_vectors_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 8)
+    draw = np.random.default_rng(5)
+    rows = [(i % 25, draw.normal(size=6).astype(np.float32).tolist(), 0) for i in range(75)]
+    expected = {}
+    for query, asked, _ in rows:
+        for other, vector, _ in rows:
+            if query in (0, 20) and other != query:
+                score = float(np.array(asked, np.float64) @ np.array(vector, np.float64))
+                expected[query, other] = max(score, expected.get((query, other), -np.inf))
+    found = ann.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, 6, k=24).collect()
+    assert {(r["query_id"], r["vec_id"]): pytest.approx(r["score"]) for r in found} == expected
+    for query in (0, 20):
+        listed = [r for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == query]
+        assert [r["vec_id"] for r in listed] == sorted(range(25), key=lambda v: -expected.get((query, v), -np.inf))[:24]
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.01", 0.4), ("sf0.1", 0.4)])
+def test_the_hash_selects(sf, most):
+    table = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet")
+    usable = [(i, v) for i, v in zip(table["vec_id"].to_pylist(), table["embedding"].to_pylist()) if v and None not in v]
+    ids, matrix = np.array([i for i, _ in usable]), np.array([v for _, v in usable], float)
+    asked = np.flatnonzero(ids % 20 == 0)
+    near = ann.candidates(matrix[asked], ann.index(matrix, 32, 1), len(ids), 16, 1)
+    scores = matrix[asked] @ matrix.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    top = np.argsort(-scores, axis=1)[:, :20]
+    assert np.take_along_axis(near, top, 1).mean() >= 0.9
+    assert near.mean() <= most
+
+
 def test_recall_on_the_given_vectors(spark):
     path = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{path}/embeddings.parquet").collect()
