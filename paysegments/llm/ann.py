@@ -40,7 +40,7 @@ ship_by_value(__name__)
 # Vectors of a part: SPREAD times the root of their number, about BLOCK at most.
 SPREAD, BLOCK = 32, 65536
 # Queries compared with a part at a time, and vectors hashed at a time.
-QUERIES, RUN = 64, 4096
+QUERIES, RUN = 64, 512
 # Buckets of a table; more pairs of axes than that share them.
 BUCKETS = 1 << 16
 # Which rows of a part's stream: vectors come before queries.
@@ -54,45 +54,56 @@ def usable(vector: Column, dimensions: int) -> Column:
 
 
 def hadamard(values: np.ndarray) -> np.ndarray:
-    """The fast transform of the rows, whose length is a power of two."""
-    n = values.shape[1]
+    """The fast transform of the columns, whose length is a power of two."""
+    n, columns = values.shape
     width = 1
     while width < n:
-        pairs = values.reshape(len(values), -1, 2, width)
-        values = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2)
-        values = values.reshape(len(values), n)
+        pairs = values.reshape(-1, 2, width, columns)
+        values = np.empty_like(pairs)
+        np.add(pairs[:, 0], pairs[:, 1], out=values[:, 0])
+        np.subtract(pairs[:, 0], pairs[:, 1], out=values[:, 1])
         width *= 2
-    return values / np.sqrt(n)
+    return values.reshape(n, columns) / np.sqrt(n)
 
 
-def rotated(vectors: np.ndarray, table: int, seed: int) -> np.ndarray:
-    """The projections on the signed axes (axis, then its opposite) after a table's rotation."""
-    size = 1 << max(vectors.shape[1] - 1, 0).bit_length()
-    signs = np.random.default_rng([seed, table]).choice([-1.0, 1.0], (3, size))
-    turned = np.zeros((len(vectors), size))
-    turned[:, : vectors.shape[1]] = vectors
+def _turned(unit: np.ndarray, rotation: int, seed: int) -> np.ndarray:
+    """The vectors, padded to a power of two, after a rotation: a column each."""
+    size = 1 << max(unit.shape[1] - 1, 0).bit_length()
+    signs = np.random.default_rng([seed, rotation]).choice([-1.0, 1.0], (3, size, 1))
+    turned = np.zeros((size, len(unit)))
+    turned[: unit.shape[1]] = unit.T
     for sign in signs:
         turned = hadamard(turned * sign)
+    return turned
+
+
+def rotated(vectors: np.ndarray, rotation: int, seed: int) -> np.ndarray:
+    """The projections on the signed axes (axis, then its opposite) after a rotation."""
+    turned = _turned(vectors, rotation, seed).T
     return np.concatenate([turned, -turned], axis=1)
 
 
+def nearest_axis(vectors: np.ndarray, rotation: int, seed: int) -> np.ndarray:
+    """The signed axis with the largest projection, numbered as the columns of ``rotated``."""
+    turned = _turned(vectors, rotation, seed)
+    axis = np.abs(turned).argmax(axis=0)
+    return axis + len(turned) * (turned[axis, np.arange(len(vectors))] < 0)
+
+
 def _unit(matrix: np.ndarray) -> np.ndarray:
     scaled = matrix / np.abs(matrix).max(axis=1, keepdims=True)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _axes(unit: np.ndarray, table: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    return rotated(unit, 2 * table, seed), rotated(unit, 2 * table + 1, seed)
-
-
 def index(matrix: np.ndarray, tables: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For every table the rows by bucket, and the place in them where each bucket starts."""
     codes = np.zeros((tables, len(matrix)), np.int64)
+    axes = 2 << max(matrix.shape[1] - 1, 0).bit_length()
     for start in range(0, len(matrix), RUN):
         unit = _unit(matrix[start : start + RUN].astype(np.float64))
         for table in range(tables):
-            first, second = _axes(unit, table, seed)
-            codes[table, start : start + RUN] = first.argmax(axis=1) * second.shape[1] + second.argmax(axis=1)
+            first, second = (nearest_axis(unit, 2 * table + i, seed) for i in range(2))
+            codes[table, start : start + RUN] = first * axes + second
     codes %= BUCKETS
     counts = [np.bincount(c, minlength=BUCKETS) for c in codes]
     return [
@@ -103,7 +114,7 @@ def index(matrix: np.ndarray, tables: int, seed: int) -> list[tuple[np.ndarray,
 
 def probed(unit: np.ndarray, table: int, probes: int, seed: int) -> np.ndarray:
     """For each row the buckets of a table whose axes have the largest sums of projections."""
-    first, second = _axes(unit, table, seed)
+    first, second = (rotated(unit, 2 * table + i, seed) for i in range(2))
     size = first.shape[1]
     wanted, place = probes * probes, np.arange(1, size + 1)
     # the pair of the i-th and the j-th axis has i * j pairs, itself included, that are as good
@@ -209,8 +220,8 @@ def _search(
     own = taken.select(part, F.lit(VECTOR).alias("kind"), F.array("id").alias("ids"), F.col("vector").alias("vectors"))
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
     asking = _blocks(queries).select(every, F.lit(QUERY).alias("kind"), "ids", "vectors")
-    # more partitions than parts, so that few parts meet in one task
-    streams = own.unionByName(asking).repartition(4 * parts, "part").sortWithinPartitions("part", "kind")
+    # by number and not by its hash, so that no two parts meet in one task
+    streams = own.unionByName(asking).repartitionById(parts, "part").sortWithinPartitions("part", "kind")
     return streams.mapInArrow(task, "query_id long, vec_id long, score double")
 
 
