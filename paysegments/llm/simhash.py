@@ -25,7 +25,7 @@ are rows like others; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -71,19 +71,20 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and fingerprint (a signed long) of every row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` and the fingerprint (a signed long) of every row of ``docs``."""
     small_batches(docs.sparkSession)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint long"
+    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    schema = f"{types}, fingerprint long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(as_bytes(t), shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fingerprint"]
+                [*[batch.column(c) for c in carry], pa.array(found, pa.int64())], [*carry, "fingerprint"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(task, schema)
+    return docs.select(*carry, "text").mapInArrow(task, schema)
 
 
 def _embedding(value: Column) -> Column:
@@ -199,7 +200,16 @@ def links(values: DataFrame, most: int, scratch: Scratch) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
     """doc_id, fingerprint (signed long) and component_id (smallest id linked, directly or not)."""
-    rows = materialise(fingerprints(docs, shingle))
+    return groups(docs, shingle, most).select("doc_id", "fingerprint", "component_id")
+
+
+def groups(docs: DataFrame, shingle: int = 3, most: int = 3, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``carry`` (doc_id and others), fingerprint, component and component_id of every row.
+
+    Rows of one id can have texts that belong to several components; ``component``, a
+    fingerprint, tells these apart where their smallest ids are equal.
+    """
+    rows = materialise(fingerprints(docs, shingle, carry))
     with Scratch(docs.sparkSession) as scratch:
         values = scratch.write(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
         nodes = components(links(values, most, scratch), scratch)
@@ -207,8 +217,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
             "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")
         )
         ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-        named = materialise(named.join(ids, "component").select("fingerprint", "component_id"))
-    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+        named = materialise(named.join(ids, "component").select("fingerprint", "component", "component_id"))
+    return rows.join(named, "fingerprint").select(*carry, "fingerprint", "component", "component_id")
 
 
 def hexadecimal(value: Column) -> Column:

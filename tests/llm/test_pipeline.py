@@ -96,6 +96,15 @@ def test_whole_table(spark):
     check_stages(spark, spark.read.parquet(f"{SMALL}/documents.parquet"))
 
 
+def test_rows_that_repeat_an_id(spark):
+    one, other, third = ("%s " % " ".join(f"{w}{i}" for i in range(60)) for w in ("ab", "cd", "ef"))
+    texts = [(1, one, "a"), (1, other, "a"), (1, other, "b"), (1, other, "a"), (2, one, "a"), (2, third, "a"), (3, third, "a"), (3, one, "c")]
+    docs = spark.createDataFrame([(i, t, s, 0, 1) for i, t, s in texts], "doc_id long, text string, source string, row int, _ int")
+    left = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert left.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in left.collect()) == Counter([texts[0], texts[1], texts[5]])
+
+
 def test_empty_table(spark, empty):
     docs = empty
     for name, stage in corpus_pipeline.STAGES:
