@@ -2,8 +2,9 @@
 
 1. ``language``: documents whose language cannot be told go: texts without letters, and
    those whose most likely language has a score below MIN_SCORE.
-2. ``near_duplicates``: of documents whose SimHash fingerprints are linked, the one with
-   the smallest id stays.
+2. ``near_duplicates``: of rows whose SimHash fingerprints are linked, one stays: the one
+   with the smallest id, of rows that repeat it the one with the least SHA-256 of its text,
+   then the least other columns as JSON.
 3. ``repeated_passages``: words in passages of 35 words that occur elsewhere go; a
    document of which nothing is left goes. Texts without such passages stay as they are.
 4. ``mixing``: each source is taken up to its target; a document stands in the output as
@@ -13,7 +14,10 @@
 
 Each stage takes the documents that the one before has kept. All but the last return the
 columns of ``documents``; ``n_chars`` is counted again where a text changes. Null ids
-belong to no group and stay; of rows that repeat an id, stage 2 keeps one.
+belong to no group and stay. Rows that repeat an id are documents of their own in stage 2,
+so unlike texts of one id all stay, and equal rows count once. Null and empty texts have no
+letters and go in stage 1; texts are taken whole, however long; other columns, whatever
+their names, are kept up to the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 from paysegments.functions.lineage import materialise
 from paysegments.llm import bpe, language_id, mixing, simhash, substring_dedup
+from paysegments.llm.text import as_row
 
 # With four languages, guessing has a score of 0.25.
 MIN_SCORE = 0.3
@@ -42,10 +47,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs.where("doc_id IS NOT NULL"), shingle=3, most=3)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    others = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")))
+    key = {"doc_id": F.col("doc_id"), "digest": F.coalesce(F.sha2("text", 256), F.lit("")), "others": others}
+    key = [column.alias(name) for name, column in key.items()]
+    known = docs.where("doc_id IS NOT NULL")
+    found = simhash.groups(known.select(*key, "text"), shingle=3, most=3, carry=["doc_id", "digest", "others"])
+    least = found.groupBy("component").agg(F.min(F.struct("doc_id", "digest", "others")).alias("least"))
+    # equal rows are merged where they are read, so no key is hot in the join
+    rows = known.select(as_row(docs), *key).dropDuplicates(["doc_id", "digest", "others"])
+    kept = rows.join(least.select("least.*"), ["doc_id", "digest", "others"], "left_semi").select("row.*")
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
