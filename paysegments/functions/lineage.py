@@ -154,12 +154,23 @@ def _place(spark: SparkSession, path: str):
     return place.getFileSystem(context._jsc.hadoopConfiguration()), place
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path for tables of the application, shared by its executors and removed with the others."""
+    system, place = _place(spark, _folder(spark))
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _place(spark, path)
+    return system.exists(place)
+
+
 def _write(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    system, place = _place(spark, _folder(spark))
-    system.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path), path
 
 

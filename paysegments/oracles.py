@@ -347,4 +347,6 @@ GROUP BY best[2]""",
         "company_clusters": f"""SELECT company_id, {_ROUNDED}, best[2] AS cluster
 FROM points JOIN pam_labels USING (company_id)""",
     }
+    # the same results by way of stored months
+    final |= {f"{name}_from_months": final[name] for name in ("recency", "frequency", "type_totals")}
     return {name: _with(text) for name, text in final.items()}

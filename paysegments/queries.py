@@ -7,15 +7,18 @@ two engines can be compared value by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paysegments.functions.dates import days_until, month_start, months_between_starts, paid_date
+from paysegments.functions.lineage import new_folder
 from paysegments.operators import activity, filters, medoids, shares, stats
 from paysegments.plans import features, segmentation
 from paysegments.plans.features import FEATURES
+from paysegments.plans.partials import MonthlyPartials
 from paysegments.sources.star import STAR, payments, segments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +73,18 @@ def _rollup(p: DataFrame, s: DataFrame, cfg=STAR) -> DataFrame:
     return activity.activity_rollup(_monthly(p, s, cfg))
 
 
+def _from_months(build: Callable[[MonthlyPartials, DataFrame, DataFrame], DataFrame]):
+    """A query of (stored months, payments, segments), the last month of the window not stored yet."""
+
+    def run(p: DataFrame, s: DataFrame) -> DataFrame:
+        months = MonthlyPartials(p.sparkSession, new_folder(p.sparkSession), STAR)
+        months.refresh(p, STAR.window_start, date(2001, 5, 31))
+        months.refresh(p, date(2001, 6, 1), date(2001, 7, 31))
+        return build(months, p, s)
+
+    return run
+
+
 def _logged(p: DataFrame, s: DataFrame, log_first: bool = True) -> DataFrame:
     return stats.transform(segmentation.feature_table(p, s, STAR), STAR, log_first)
 
@@ -152,6 +167,13 @@ def queries() -> dict[str, Query]:
         "type_totals": _on_inputs(
             lambda p, s: activity.type_totals(_monthly(p, s, by_type=True))
         ),
+        "recency_from_months": _on_inputs(_from_months(lambda m, p, s: m.recency(m.monthly(p, s)))),
+        "frequency_from_months": _on_inputs(
+            _from_months(lambda m, p, s: activity.frequency(activity.activity_rollup(m.monthly(p, s))))
+        ),
+        "type_totals_from_months": _on_inputs(
+            _from_months(lambda m, p, s: activity.type_totals(m.monthly(p, s, by_type=True)))
+        ),
         # distinct counts, shares and pivots
         "schedule_distincts": _on_inputs(lambda p, s: shares.schedule_distincts(p, s, STAR)),
         "schedule_shares": _on_inputs(
