@@ -16,8 +16,9 @@ bounded number of entries and start anew when full; that changes the time, not t
 task on purpose: sharing chunks through a shuffle would move the texts and ids of the
 whole corpus, which is more than the encoding that it saves.
 
-Defined results: a null text is empty and has no ids; the columns to carry
-along come out inside ``row``; an empty table gives no rows; very long texts are hashed block by block.
+Defined results: a null text is empty and has no ids; equal ids and repeated rows are
+encoded row by row; the columns to carry along come out inside ``row``; an empty table gives
+no rows; very long texts are hashed block by block.
 """
 
 from __future__ import annotations

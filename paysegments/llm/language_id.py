@@ -14,8 +14,8 @@ Prediction reads whole texts, block by block, where they are; there is no shuffl
 
 Defined results: a text that is null or has no letters is ``und`` with score 0, and so is
 every text if nothing was learned; ties go to the first language in code point order; rows
-without a language or an id are not learned from; an empty table gives no rows. The
-columns to carry along come out inside ``row``.
+without a language or an id are not learned from; equal ids and repeated rows are rows like
+others; an empty table gives no rows. The columns to carry along come out inside ``row``.
 """
 
 from __future__ import annotations

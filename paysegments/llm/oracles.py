@@ -210,5 +210,64 @@ LEFT JOIN back b ON b.c = k.c AND b.i = 0
 """
 
 
+# All windows of 35 words by their digest, with nothing settled beforehand.
+OP2 = """
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id,
+    coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words
+  FROM documents
+), words AS (
+  SELECT d, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM docs
+), windows AS (
+  SELECT d, i, sha256(string_agg(word, ' ') OVER w) AS digest, count(*) OVER w AS n
+  FROM words WINDOW w AS (PARTITION BY d ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+), repeated AS (
+  SELECT d, i, i AS start FROM (SELECT d, i, count(*) OVER (PARTITION BY digest) AS times FROM windows WHERE n = 35)
+  WHERE times > 1
+), marked AS (
+  SELECT d, i, word, coalesce(max(start) OVER (PARTITION BY d ORDER BY i) > i - 35, false) AS gone
+  FROM words LEFT JOIN repeated USING (d, i)
+), kept AS (
+  SELECT d, count(*) AS n_words, count_if(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS text
+  FROM marked GROUP BY d
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (d)
+"""
+
+# Every pair of a label by its cosine, and the least id that can be reached.
+OP9 = """
+WITH RECURSIVE vectors AS (
+  SELECT row_number() OVER () AS n, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), finite AS (
+  SELECT *, [x for x in v if x IS NOT NULL AND isfinite(x)] AS found FROM vectors
+), usable AS (
+  SELECT n, vec_id, label, [x / sqrt(list_sum([y * y for y in found])) for x in found] AS unit FROM finite
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(found) = len(v) AND list_sum([y * y for y in found]) > 0
+), links AS (
+  SELECT a.n, b.n AS other, b.vec_id FROM usable a JOIN usable b
+  ON a.label = b.label AND a.n <> b.n AND len(a.unit) = len(b.unit) AND list_dot_product(a.unit, b.unit) >= 0.98
+), reached(n, other, vec_id) AS (
+  SELECT n, n, vec_id FROM usable
+  UNION SELECT r.n, l.other, l.vec_id FROM reached r JOIN links l ON l.n = r.other
+), least AS (
+  SELECT n, min(vec_id) AS component_id FROM reached GROUP BY n
+), counts AS (
+  SELECT n, count(*) AS n_links FROM links GROUP BY n
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+  coalesce(vec_id = coalesce(component_id, vec_id), true) AS kept
+FROM vectors LEFT JOIN counts USING (n) LEFT JOIN least USING (n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1, "op7_mixing": OP7, "op11_merkle_manifest": OP11, "op12_conversation_repair": OP12}
+    return {
+        "op1_chat_format": OP1,
+        "op2_substring_dedup": OP2,
+        "op7_mixing": OP7,
+        "op9_pq_dedup": OP9,
+        "op11_merkle_manifest": OP11,
+        "op12_conversation_repair": OP12,
+    }

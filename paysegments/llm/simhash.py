@@ -20,7 +20,8 @@ the links that connect what it found connected, never all pairs.
 Defined results: a null text is an empty one; with fewer words than a shingle the whole
 sequence is the only shingle; without words the fingerprint is zero and linked like any
 other; the component of rows whose ids are all null is null; equal ids and repeated rows
-are rows like others; other columns are ignored; an empty table gives no rows.
+are rows like others; a very long text counts with all its shingles; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

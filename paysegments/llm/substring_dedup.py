@@ -21,8 +21,9 @@ both returns read that one exchange, and a text with very many copies can be spl
 No pairs of places are ever formed.
 
 Defined results: a null or empty text has no words and keeps nothing; a repeated row is a
-copy like any other; ids play no part and may be null or repeated; the columns
-to carry along come out inside ``row``; an empty table gives no rows.
+copy like any other; ids play no part and may be null or repeated; a very long text is one
+text, however many windows it has, and may fill a slice of its own; the columns to carry
+along come out inside ``row``; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ automaton is built on the driver and broadcast. Documents stay where they are; t
 shuffle. A task remembers the counts of words in a bounded table.
 
 Defined results: a null or empty text has 0 words and tokens; an empty table gives no
-rows; equal ids and repeated rows are counted row by row; other columns are ignored.
+rows; equal ids and repeated rows are counted row by row; a very long text is read whole, in the
+task that has its row; other columns are ignored.
 """
 
 from __future__ import annotations
