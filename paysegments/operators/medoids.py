@@ -1,12 +1,14 @@
 """k-medoids over a table of points, by alternation or by PAM swaps.
 
 The data stays in Spark; the driver holds the current medoids, sums by cell and a bounded
-batch of candidates. Both methods are exact, but few candidates are ever scored: the
-points are divided into cells around pivots, the sums of a cell's points bound every
-candidate's total from below, and candidates are scored in the order of their bounds
-until none that is left can be better. A round is a few passes over the sites; with n
-sites its work is n times the cells (CELLS times the root of n, at most MOST_CELLS) and n times
-the candidates that the bounds leave.
+batch of candidates. Both methods are exact, but few candidates are ever scored: all points
+add up to a quadratic that bounds the totals of the candidates near a place, and candidates
+are scored in the order of their bounds until none that is left can be better. Within a
+cluster the place is about its centre, and one quadratic bounds all its points. For swaps the
+points are divided into cells around pivots, whose sums bound a candidate's total: first those
+of few merged cells, then finer ones for the candidates that they leave, then quadratics
+for groups of what is left. A round is a few passes over the sites, each of n sites times
+few cells, or n times a bounded number of groups and candidates.
 
 Distances are Euclidean, counted in steps of 1e-9. Their sums are exact integers, so
 they do not depend on the order of tasks, and ties go to the lower company id. Every
@@ -15,7 +17,7 @@ round but the last lowers an integer loss, so a fit ends by itself.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from math import ceil, inf
@@ -35,6 +37,10 @@ from paysegments.operators.stats import is_finite, require_complete
 CELLS, MOST_CELLS = 8, 4096
 # Candidates that the driver asks for and a task scores at a time, and those of the first time.
 BATCH, FIRST = 4096, 512
+# Merged cells by which a swap's candidates are bounded before all cells are asked, and pivots tried first.
+LEVELS, TRIED = (128, 640), 64
+# Reaches of the quadratics of a cluster, as shares of the mean distance to its centre.
+REACHES = (0.5, 0.1, 0.02)
 # Sites of a partition: at most, and at least where there are cores for more partitions.
 MOST_SITES, LEAST_SITES = 65_536, 512
 
@@ -153,10 +159,11 @@ class PointSpace:
         good the best are, and then all whose bounds do not rule them out, ties included.
         """
         best: dict[Group, list[Found]] = {g: [] for g in below}
+        most: dict[Group, float] = dict(below)  # as far as the bounds know
 
         def limit(group: Group) -> float:
             known = best[group]
-            return min(below[group], known[want - 1][0]) if len(known) >= want else below[group]
+            return min(most[group], known[want - 1][0]) if len(known) >= want else most[group]
 
         def learn(rows: list[tuple[Group, Offered]]) -> None:
             for (group, (_, id_, point)), totals in zip(rows, self.scored(fits, swap, rows)):
@@ -164,13 +171,26 @@ class PointSpace:
             for group in {g for g, _ in rows}:
                 best[group] = sorted(best[group])[:want]
 
-        ranges = {g: (-inf, 0, float(most)) for g, most in below.items()}
+        if not below:
+            return best
+        if swap:
+            totals = scoring.swap_sums(cells[0], len(fits[0]))
+            levels = [scoring.coarsened(cells[0], n) for n in LEVELS if 2 * n < len(cells[0]["slot"])] + cells
+            bounds = scoring.swap_bounds(levels, len(fits[0]))
+            most[0, 0] = self._tried(fits[0], scoring.swap_bounds(levels[:2], len(fits[0])), most[0, 0], want)
+        else:
+            bounds = self._around_centres(fits, cells, below)
+        ranges = {g: (-inf, 0, float(limit(g))) for g in below}
         while ranges:
             keep = max(want, 16, self.batch // len(ranges))
             first = max(want, 16, FIRST // len(ranges))
-            offered = scoring.lowest(self.sites, self.cols, fits, cells, ranges, keep, swap)
-            waiting = [(g, row) for g, rows in offered.items() for row in rows[:first]]
-            later = [(g, row) for g, rows in offered.items() for row in rows[first:]]
+            offered = scoring.lowest(self.sites, self.cols, fits, bounds, ranges, keep, swap)
+            left = offered
+            if swap:
+                left = {}
+                left[0, 0], most[0, 0] = self._sharpened(fits[0], totals, offered[0, 0], limit((0, 0)), want)
+            waiting = [(g, row) for g, rows in left.items() for row in rows[:first]]
+            later = [(g, row) for g, rows in left.items() for row in rows[first:]]
             while waiting:
                 for at in range(0, len(waiting), self.batch):
                     learn(waiting[at : at + self.batch])
@@ -181,6 +201,49 @@ class PointSpace:
             }
         return best
 
+    def _around_centres(self, fits: Sequence[np.ndarray], cells: list[dict], below: Mapping[Group, float]) -> Callable:
+        """The bounds of candidates within clusters, from quadratics around the clusters' centres."""
+        groups, weight = {}, {}
+        for f, slot in below:
+            there = cells[f]["slot"] == slot
+            weight[f, slot] = float(cells[f]["weight"][there].sum())
+            centre, spread = scoring.central(cells[f]["mean"][there], cells[f]["weight"][there])
+            groups[f, slot] = centre, spread * np.array(REACHES)
+        return scoring.within_bounds(groups, scoring.within_regions(self.sites, self.cols, fits, groups), weight)
+
+    def _tried(self, fit: np.ndarray, bounds: Callable, limit: float, want: int) -> float:
+        """The limit, lowered to what the most promising pivots reach: they are candidates too."""
+        bound = bounds((0, 0), self.pivots, limit)
+        some = [p for p in np.argsort(bound, kind="stable")[: max(want, TRIED)] if bound[p] < inf]
+        if not some:
+            return limit
+        self.asked += len(some)
+        totals = scoring.swap_totals(self.sites, self.cols, fit, [tuple(p) for p in self.pivots[some]])
+        reached = sorted(min(by_slot) for by_slot in totals)
+        return min(limit, reached[want - 1]) if len(reached) >= want else limit
+
+    def _sharpened(
+        self, fit: np.ndarray, totals: dict, rows: list[Offered], limit: float, want: int
+    ) -> tuple[list[Offered], float]:
+        """The candidates that the quadratics of small groups of them leave, with their bounds; and the limit."""
+        while len(rows) > FIRST:
+            points = np.array([point for *_, point in rows])
+            groups = scoring.grouped(points, FIRST)
+            at, reach = scoring.middles(points, groups)
+            coefs = scoring.swap_regions(self.sites, self.cols, fit, points[at], reach)
+            if want == 1:  # a centre is a candidate too; the last column is its gain
+                least = (totals["lost"] - coefs[..., -1]).min(axis=1) + scoring.swap_margin(reach, totals)
+                limit = min(limit, float(least.min()) * STEPS)
+            bound = np.array([b for b, *_ in rows])
+            for group, centre, coef, far in zip(groups, points[at], coefs, reach):
+                found = scoring.swap_region_bound(points[group] - centre, coef[..., :-1], far, totals)
+                bound[group] = np.maximum(bound[group], found)
+            left = [(float(b), *row[1:]) for b, row in zip(bound, rows) if b <= limit]
+            done, rows = 2 * len(left) > len(rows), sorted(left)
+            if done:
+                break
+        return [row for row in rows if row[0] <= limit], limit
+
 
 def points_of(medoids: Medoids) -> np.ndarray:
     return np.array([m.point for m in medoids], dtype=float)

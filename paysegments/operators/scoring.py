@@ -24,8 +24,8 @@ ship_by_value(__name__)
 
 # Steps of a distance to one.
 STEPS = 1_000_000_000
-# Numbers of an array that a task works on at a time.
-BLOCK = 1 << 17
+# Numbers of an array that a task works on at a time: a few such arrays fit a core's cache.
+BLOCK = 1 << 15
 # Bits of the low word of a sum.
 LOW = 20
 # Below this, whole numbers add up exactly as floats.
@@ -40,8 +40,9 @@ MARGIN = 1e-7
 def lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distance from each row of ``x`` to each row of ``y``."""
     total = np.zeros((len(x), len(y)))
-    for j in range(x.shape[1]):
-        step = x[:, j, None] - y[None, :, j]
+    step = np.empty_like(total)
+    for of_x, of_y in zip(x.T, np.ascontiguousarray(y.T)):
+        np.subtract(of_x[:, None], of_y, out=step)
         step *= step
         total += step
     return np.sqrt(total, out=total)
@@ -158,7 +159,7 @@ def summarise(
         most = [np.zeros((n_most, len(m) * cells)) for m in medoids]
         costs = [np.zeros((2, len(m)), np.int64) for m in medoids]
         for batch in batches:
-            for part in _parts(batch, names, 64):
+            for part in _parts(batch, names, 8):
                 x, weight, cell = part["x"], part["weight"], part["cell"]
                 offset = x - pivots[cell]
                 for f, m in enumerate(medoids):
@@ -235,7 +236,7 @@ def gain_bounds(x: np.ndarray, cell: dict[str, np.ndarray]) -> list[np.ndarray]:
     the distance to the nearest medoid and to the second.
     """
     n, mean, cov = cell["weight"], cell["mean"], cell["cov"]
-    steps = [mean[None, :, i] - x[:, i, None] for i in range(x.shape[1])]
+    steps = [of_mean - of_x[:, None] for of_x, of_mean in zip(x.T, np.ascontiguousarray(mean.T))]
     to_mean, spread = np.zeros(steps[0].shape), np.zeros(steps[0].shape)
     for i, step in enumerate(steps):
         rest = step * (cov[i, i] / 2)
@@ -305,6 +306,281 @@ def swap_bound(x: np.ndarray, cell: dict[str, np.ndarray], slots: int) -> np.nda
     return (best - margin) * STEPS
 
 
+# --- regions -------------------------------------------------------------------------
+
+
+# Regions in a row that leaves a task.
+ROW_REGIONS = 32
+# Regions that a task adds to at a time.
+TILE = 128
+# Below this share of a centre's length, a difference from it is not told from rounding.
+TINY = 1e-4
+
+
+def quadratic(delta: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    """The quadratics ``coef`` (a row, or one for all: constant, linear, pairs) at the offsets.
+
+    Term by term, so that a row gives the same wherever it stands.
+    """
+    dims = delta.shape[1]
+    found = np.array(np.broadcast_to(coef[..., 0], len(delta)), float)
+    for i in range(dims):
+        found += coef[..., 1 + i] * delta[:, i]
+    for at, (i, j) in enumerate(Summing(dims, True).pairs, 1 + dims):
+        found += coef[..., at] * (delta[:, i] * delta[:, j])
+    return found
+
+
+def region_sums(
+    x: np.ndarray, weight: np.ndarray, radii: Sequence[np.ndarray | None], centres: np.ndarray, reach: np.ndarray
+) -> list[np.ndarray]:
+    """Quadratics in the offset from each centre, at least the weighted sum of max(r - d, 0) within reach.
+
+    d is the distance from the point to centre and offset, r the point's radius; one result
+    for each of ``radii``, and for None at least the sum of -d. The last column is the value
+    at the centre. With u the direction and q the part of the offset across it, d is no less
+    than d0 + u offset + q^2 / (2 (d0 + reach)). Where r lies inside the range of d, the
+    maximum is at most the chord between the range's ends.
+    """
+    dims = x.shape[1]
+    pairs = Summing(dims, True).pairs
+    d = lengths(x, centres)
+    w = weight[:, None].astype(float)
+    close = d <= TINY * np.sqrt((centres * centres).sum(axis=1)) + 1e-300
+    inverse = np.where(close, 0.0, 1 / np.where(close, 1.0, d))
+    bend = np.where(close, 0.0, 0.5 * w / np.where(close, 1.0, d + reach))
+    products = np.column_stack([x[:, i] * x[:, j] for i, j in pairs])
+    found = []
+    for r in radii:
+        sums = np.empty((len(centres), 2 + dims + len(pairs)))
+        if r is None:
+            sums[:, 0], at, slope, curved = -(weight @ np.where(close, 0, d)), -d, w * inverse, bend
+        else:
+            a = r[:, None] - d
+            inside = a >= reach
+            share = np.clip((a + reach) / np.maximum(2 * reach, 1e-300), 0, 1)
+            share[inside] = 1
+            most = np.where(inside, a, share * reach)
+            sums[:, 0] = weight @ np.where(close, r[:, None], most)
+            at, slope, curved = np.maximum(a, 0), w * share * inverse, bend * inside
+        sums[:, -1] = weight @ at
+        sums[:, 1 : 1 + dims] = slope.T @ x - centres * slope.sum(axis=0)[:, None]
+        flat = curved.sum(axis=0)
+        curved = curved * inverse * inverse
+        whole, once, twice = curved.sum(axis=0), curved.T @ x, curved.T @ products
+        for n, (i, j) in enumerate(pairs):
+            across = centres[:, i] * centres[:, j] * whole - centres[:, i] * once[:, j] - centres[:, j] * once[:, i] + twice[:, n]
+            sums[:, 1 + dims + n] = across - flat if i == j else 2 * across
+        found.append(sums)
+    return found
+
+
+def _added_floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the arrays of each chunk."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, chunk in enumerate(batch.column("chunk").to_pylist()):
+            values = batch.column("sums")[i].values.to_numpy()
+            sums[chunk] = sums[chunk] + values if chunk in sums else values
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["chunk", "sums"]
+    )
+
+
+def _region_totals(sites: DataFrame, cols: Sequence[str], add: Callable, shape: tuple[int, ...]) -> np.ndarray:
+    """What ``add`` adds, batch by batch, to an array of this shape, over all tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(shape)
+        for batch in batches:
+            add(sums, batch)
+        starts = range(0, len(sums), ROW_REGIONS)
+        rows = [sums[s : s + ROW_REGIONS].reshape(-1) for s in starts]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(starts)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["chunk", "sums"]
+        )
+
+    schema = "chunk int, sums array<double>"
+    rows = sites.select(*cols, "weight").mapInArrow(task, schema).repartition("chunk").mapInArrow(_added_floats, schema)
+    found = {chunk: sums.values.to_numpy() for chunk, sums in zip(*_listed(rows.toArrow()))}
+    if not found:
+        return np.zeros(shape)
+    return np.concatenate([found[chunk] for chunk in sorted(found)]).reshape(shape)
+
+
+def _listed(rows: pa.Table) -> tuple[list, list]:
+    return rows.column("chunk").to_pylist(), list(rows.column("sums"))
+
+
+def swap_regions(
+    sites: DataFrame, cols: Sequence[str], fit: np.ndarray, centres: np.ndarray, reach: np.ndarray
+) -> np.ndarray:
+    """By region and medoid: the quadratic that is at least what a candidate gains in its place."""
+    names, origin = list(cols), centres.mean(axis=0)
+    middle, slots = centres - origin, len(fit)
+    width = 2 + len(names) + len(names) * (len(names) + 1) // 2
+
+    def add(sums: np.ndarray, batch: pa.RecordBatch) -> None:
+        x, weight = np.column_stack([batch.column(c).to_numpy() for c in names]), batch.column("weight").to_numpy()
+        if not len(x):
+            return
+        label, near, second = nearest(distances(x, fit))
+        rows = BLOCK // TILE
+        for slot in np.unique(label):
+            mine = np.flatnonzero(label == slot)
+            for at in range(0, len(mine), rows):
+                part = mine[at : at + rows]
+                points, radii = x[part] - origin, [near[part] / STEPS, second[part] / STEPS]
+                for first in range(0, len(middle), TILE):
+                    tile = slice(first, first + TILE)
+                    kept, freed = region_sums(points, weight[part], radii, middle[tile], reach[tile])
+                    sums[tile] += kept[:, None]
+                    sums[tile, slot] += freed - kept
+
+    return _region_totals(sites, names, add, (len(centres), slots, width))
+
+
+def within_regions(
+    sites: DataFrame, cols: Sequence[str], fits: Sequence[np.ndarray], groups: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
+) -> dict[tuple[int, int], np.ndarray]:
+    """By group and reach: the quadratic that is at least minus the distance sum to the group's points.
+
+    ``groups`` has the centre and the reaches of each (fit, slot).
+    """
+    names, medoids, place = list(cols), list(fits), {g: i for i, g in enumerate(groups)}
+    width = 2 + len(names) + len(names) * (len(names) + 1) // 2
+    reaches = len(next(iter(groups.values()))[1])
+
+    def add(sums: np.ndarray, batch: pa.RecordBatch) -> None:
+        for part in _parts(batch, names, 4):
+            for f in sorted({f for f, _ in groups}):
+                label = nearest(distances(part["x"], medoids[f]))[0]
+                for slot in np.unique(label):
+                    if (f, slot) in place:
+                        mine, (centre, reach) = label == slot, groups[f, slot]
+                        # the centre as the origin: nothing cancels
+                        x, middle = part["x"][mine] - centre, np.zeros((len(reach), len(centre)))
+                        sums[place[f, slot]] += region_sums(x, part["weight"][mine], [None], middle, reach)[0]
+
+    found = _region_totals(sites, names, add, (len(groups), reaches, width))
+    return {g: found[i] for g, i in place.items()}
+
+
+def within_region_bound(x: np.ndarray, centre: np.ndarray, reach: np.ndarray, coef: np.ndarray, weight: float) -> np.ndarray:
+    """At most the distance sum, in steps, from each candidate to the points of a group.
+
+    Beyond a reach the sum, which is convex, goes on at least as steeply as from the centre to there.
+    """
+    delta = x - centre
+    far = np.sqrt((delta * delta).sum(axis=1))
+    best = np.full(len(x), -np.inf)
+    for r, c in zip(reach, coef):
+        past = np.maximum(far / r, 1) if r > 0 else np.ones(len(x))
+        inner = -quadratic(delta / past[:, None], c)
+        found = -c[-1] + past * (inner + c[-1])
+        if r <= 0:
+            found[far > 0] = -np.inf
+        best = np.maximum(best, found)
+    return (best - MARGIN * (abs(coef[0, -1]) + weight * far)) * STEPS - weight - 1
+
+
+def swap_region_bound(delta: np.ndarray, coef: np.ndarray, reach: np.ndarray, totals: dict[str, np.ndarray]) -> np.ndarray:
+    """At most the change of the loss, in steps, of each candidate's best swap, from its region's quadratics."""
+    best = np.full(len(delta), np.inf)
+    for slot, lost in enumerate(totals["lost"]):
+        best = np.minimum(best, lost - quadratic(delta, coef[..., slot, :]))
+    return (best - swap_margin(reach, totals)) * STEPS
+
+
+def swap_margin(reach: np.ndarray, totals: dict[str, np.ndarray]) -> np.ndarray:
+    return MARGIN * (totals["second"] + totals["weight"] * reach) + 4 * totals["weight"] / STEPS
+
+
+def swap_sums(cell: dict[str, np.ndarray], slots: int) -> dict[str, np.ndarray]:
+    """Of all points: weight, distances to the second nearest, and what the loss of each medoid costs."""
+    lost = np.bincount(cell["slot"], cell["r1"] - cell["r0"], minlength=slots)
+    return {"lost": lost, "second": cell["r1"].sum(), "weight": cell["weight"].sum()}
+
+
+def grouped(points: np.ndarray, groups: int) -> list[np.ndarray]:
+    """The rows of the points in at most so many groups of near ones, halved along the widest column."""
+    found, waiting = [], [(np.arange(len(points)), groups)]
+    while waiting:
+        rows, most = waiting.pop()
+        if most < 2 or len(rows) < 2:
+            found.append(rows)
+            continue
+        here = points[rows]
+        order = rows[np.argsort(here[:, np.ptp(here, axis=0).argmax()], kind="stable")]
+        left = most // 2
+        cut = min(max(len(rows) * left // most, 1), len(rows) - 1)
+        waiting += [(order[:cut], left), (order[cut:], most - left)]
+    return found
+
+
+def middles(points: np.ndarray, groups: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each group the row nearest to its middle, and how far the group reaches from there."""
+    rows, far = [], []
+    for g in groups:
+        here = points[g]
+        middle = (here.min(axis=0) + here.max(axis=0)) / 2
+        rows.append(g[((here - middle) ** 2).sum(axis=1).argmin()])
+        far.append(np.sqrt(((here - points[rows[-1]]) ** 2).sum(axis=1)).max())
+    return np.array(rows), np.array(far) * (1 + MARGIN)
+
+
+def coarsened(cell: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
+    """The described cells of a swap merged with near ones of their cluster, to about so many."""
+    merged = np.empty(len(cell["slot"]), int)
+    n = 0
+    for slot in np.unique(cell["slot"]):
+        mine = np.flatnonzero(cell["slot"] == slot)
+        for rows in grouped(cell["mean"][mine], -(-most * len(mine) // len(merged))):
+            merged[mine[rows]], n = n, n + 1
+
+    def add(values: np.ndarray) -> np.ndarray:
+        return np.bincount(merged, values, minlength=n)
+
+    def most_of(values: np.ndarray) -> np.ndarray:
+        found = np.zeros(n)
+        np.maximum.at(found, merged, values)
+        return found
+
+    weight = add(cell["weight"])
+    mean = np.stack([add(cell["weight"] * c) / weight for c in cell["mean"].T], axis=1)
+    shift = (cell["mean"] - mean[merged]).T
+    slot = np.zeros(n, cell["slot"].dtype)
+    slot[merged] = cell["slot"]
+    found = {"slot": slot, "weight": weight, "mean": mean, "cov": np.zeros((len(shift), len(shift), n))}
+    for i, j in Summing(len(shift), True).pairs:
+        found["cov"][i, j] = add(cell["cov"][i, j] + cell["weight"] * shift[i] * shift[j])
+    for radius in ("0", "1"):
+        r = cell["r" + radius]
+        found |= {"r" + radius: add(r), "rr" + radius: add(cell["rr" + radius])}
+        found["cross" + radius] = np.stack([add(c + r * by) for c, by in zip(cell["cross" + radius], shift)])
+        found["widest" + radius] = most_of(cell["widest" + radius])
+    return found | {"reach": most_of(cell["reach"] + np.sqrt((shift * shift).sum(axis=0))) * (1 + MARGIN)}
+
+
+def central(means: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """About the point with the least weighted distance sum to the means, and the mean distance to it."""
+    some = np.argsort(-weight, kind="stable")[:512]
+    centre = means[some[within_bound(means[some], means, weight).argmin()]]
+    d = lengths(means, centre[None])[:, 0]
+    for _ in range(50):
+        # a mean near the centre does not hold it
+        pull = weight / np.maximum(np.hypot(d, 0.01 * (weight @ d) / weight.sum()), 1e-300)
+        after = (pull @ means) / pull.sum()
+        moved, centre = np.abs(after - centre).max(), after
+        d = lengths(means, centre[None])[:, 0]
+        if moved <= 1e-9 * d.max():
+            break
+    return centre, float(weight @ d / weight.sum())
+
+
+# --- candidates ----------------------------------------------------------------------
+
+
 # group (fit, slot) -> (bound, id) after which candidates are asked for, and the most that counts
 Range = tuple[float, int, float]
 
@@ -313,7 +589,7 @@ def lowest(
     sites: DataFrame,
     cols: Sequence[str],
     fits: Sequence[np.ndarray],
-    cells: Sequence[dict[str, np.ndarray]],
+    bounds: Callable[[tuple[int, int], np.ndarray, float], np.ndarray],
     ranges: dict[tuple[int, int], Range],
     keep: int,
     swap: bool,
@@ -321,7 +597,8 @@ def lowest(
     """(bound, id, point) of the ``keep`` candidates with the least bounds, by group, in order.
 
     Without ``swap`` a group is a cluster of a fit, and its candidates are its points. With
-    ``swap`` there is one group, of all points.
+    ``swap`` there is one group, of all points. ``bounds`` gives a group's candidates
+    bounds from below; infinite ones may stand for any above the most that counts.
     """
     names, medoids, wanted = list(cols), list(fits), dict(ranges)
 
@@ -335,7 +612,7 @@ def lowest(
 
         def offer(group, bound: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
             after, last, most = wanted[group]
-            good = (bound <= most) & ((bound > after) | ((bound == after) & (ids > last)))
+            good = (bound < np.inf) & (bound <= most) & ((bound > after) | ((bound == after) & (ids > last)))
             if good.any():
                 held[group].append((bound[good], ids[good], x[good]))
                 if sum(len(h[0]) for h in held[group]) > 4 * keep:
@@ -343,18 +620,17 @@ def lowest(
 
         for batch in batches:
             if swap:
-                for part in _parts(batch, names, len(cells[0]["slot"])):
-                    offer((0, 0), swap_bound(part["x"], cells[0], len(medoids[0])), part["id"], part["x"])
+                for part in _parts(batch, names, 1):
+                    offer((0, 0), bounds((0, 0), part["x"], wanted[0, 0][2]), part["id"], part["x"])
                 continue
-            for part in _parts(batch, names, max(len(c["slot"]) for c in cells)):
+            for part in _parts(batch, names, 4):
                 x, ids = part["x"], part["id"]
                 for f, m in enumerate(medoids):
                     own = own_slots(x, m, nearest(distances(x, m))[0])
                     for slot in np.unique(own):
                         if (f, slot) in wanted:
-                            mine, there = own == slot, cells[f]["slot"] == slot
-                            bound = within_bound(x[mine], cells[f]["mean"][there], cells[f]["weight"][there])
-                            offer((f, int(slot)), bound, ids[mine], x[mine])
+                            mine = own == slot
+                            offer((f, int(slot)), bounds((f, slot), x[mine], wanted[f, slot][2]), ids[mine], x[mine])
         for (f, slot), some in held.items():
             if some:
                 bound, ids, x = least((f, slot))
@@ -376,6 +652,33 @@ def lowest(
     return found
 
 
+def within_bounds(groups: dict[tuple[int, int], tuple], coefs: dict[tuple[int, int], np.ndarray], weight: dict[tuple[int, int], float]) -> Callable:
+    """The bounds of candidates within their clusters, for ``lowest``."""
+
+    def bounds(group: tuple[int, int], x: np.ndarray, most: float) -> np.ndarray:
+        return within_region_bound(x, *groups[group], coefs[group], weight[group])
+
+    return bounds
+
+
+def swap_bounds(levels: Sequence[dict[str, np.ndarray]], slots: int) -> Callable:
+    """The bounds of candidates for a swap, for ``lowest``: of the first level's few cells, and of
+    each further level's for those that the levels before leave."""
+
+    def bounds(group: tuple[int, int], x: np.ndarray, most: float) -> np.ndarray:
+        found, left = np.full(len(x), -np.inf), np.arange(len(x))
+        for cell in levels:
+            rows = max(1, BLOCK // 4 // len(cell["slot"]))
+            for at in range(0, len(left), rows):
+                some = left[at : at + rows]
+                found[some] = np.maximum(found[some], swap_bound(x[some], cell, slots))
+            found[found > most] = np.inf
+            left = np.flatnonzero(found < np.inf)
+        return found
+
+    return bounds
+
+
 # --- totals --------------------------------------------------------------------------
 
 

@@ -293,3 +293,101 @@ def test_sums_of_any_size_are_exact():
         values = rng.integers(0, 1 << 35, size=(50, 3)).astype(float)
         expected = [sum(int(w) * int(v) for w, v in zip(weight, column)) for column in values.T]
         assert joined(scoring.weighted(weight, values)).tolist() == expected
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_region_quadratics_never_rule_out_too_much(seed):
+    points = spread(seed)
+    rng = np.random.default_rng(seed)
+    weight = rng.integers(1, 5, len(points))
+    d = pairwise(points)
+    chosen = rng.choice(len(points), 4, replace=False).tolist()
+    fit = points[chosen]
+    label, near, second = scoring.nearest(scoring.distances(points, fit))
+    changes = joined(scoring.swap_changes(d.astype(float), weight, d[:, chosen].astype(float))).min(axis=0)
+    described = summed(points, weight, 80, chosen, True)
+    totals = scoring.swap_sums(described, 4)
+    for groups in (1, 20, 200, len(points)):
+        found = scoring.grouped(points, groups)
+        assert sorted(np.concatenate(found).tolist()) == list(range(len(points))) and len(found) <= groups
+        at, reach = scoring.middles(points, found)
+        origin = points[at].mean(axis=0)
+        sums = np.zeros((len(at), 4, 11))
+        for slot in range(4):
+            mine = label == slot
+            kept, freed = scoring.region_sums(
+                points[mine] - origin, weight[mine], [near[mine] / 1e9, second[mine] / 1e9], points[at] - origin, reach
+            )
+            sums += kept[:, None]
+            sums[:, slot] += freed - kept
+        for rows, centre, far, coef in zip(found, points[at], reach, sums):
+            bound = scoring.swap_region_bound(points[rows] - centre, coef[:, :-1], far, totals)
+            assert (bound <= changes[rows].astype(float)).all()
+    for slot in range(4):
+        mine = label == slot
+        centre = points[mine].mean(axis=0)
+        reach = np.array([50.0, 1.0, 0.01])
+        coef = scoring.region_sums(points[mine] - centre, weight[mine], [None], np.zeros((3, 3)), reach)[0]
+        bound = scoring.within_region_bound(points, centre, reach, coef, weight[mine].sum())
+        assert (bound <= weight[mine] @ d[mine]).all()
+
+
+@pytest.mark.parametrize("most", [1, 8, 60])
+def test_merged_cells_never_rule_out_too_much(most):
+    points = spread(7)
+    rng = np.random.default_rng(7)
+    weight = rng.integers(1, 5, len(points))
+    d = pairwise(points)
+    chosen = rng.choice(len(points), 4, replace=False).tolist()
+    changes = joined(scoring.swap_changes(d.astype(float), weight, d[:, chosen].astype(float))).min(axis=0)
+    described = summed(points, weight, 80, chosen, True)
+    merged = scoring.coarsened(described, most)
+    assert len(merged["slot"]) < len(described["slot"]) and merged["weight"].sum() == weight.sum()
+    assert (scoring.swap_bound(points, merged, 4) <= changes.astype(float)).all()
+
+
+def test_swaps_equal_brute_force_through_every_level(spark, monkeypatch):
+    monkeypatch.setattr(medoids, "LEVELS", (3, 12))
+    monkeypatch.setattr(medoids, "FIRST", 6)
+    monkeypatch.setattr(medoids, "TRIED", 2)
+    points = np.random.default_rng(13).lognormal(size=(160, 2))
+    df, d = table(spark, points), pairwise(points)
+    assert ids(medoids.kmedoids(df, COLS, 4, "pam", cells=40, batch=30)) == brute_pam(d, 4)
+    assert ids(medoids.kmedoids(df, COLS, 4, cells=40, batch=30)) == brute_alternate(d, 4)
+
+
+def test_few_candidates_of_a_swap_meet_all_cells(spark, monkeypatch):
+    """Pairs of candidates and cells grow with the points, not with the points times the cells."""
+    points = np.random.default_rng(14).normal(size=(20_000, 5))
+    cols = [f"c{i}" for i in range(5)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "company_id long, " + ", ".join(f"{c} double" for c in cols))
+    with medoids.PointSpace(df, cols) as space:
+        fit = points[:4]
+        cells, _ = space.summarised([fit], True)
+        levels = [scoring.coarsened(cells[0], n) for n in medoids.LEVELS if 2 * n < len(cells[0]["slot"])] + cells
+        limit = space._tried(fit, scoring.swap_bounds(levels[:2], 4), 0, 1)
+    pairs = []
+    bound = scoring.swap_bound
+    monkeypatch.setattr(scoring, "swap_bound", lambda x, cell, slots: pairs.append(len(x) * len(cell["slot"])) or bound(x, cell, slots))
+    found = scoring.swap_bounds(levels, 4)((0, 0), points, limit)
+    assert sum(pairs) < len(points) * len(cells[0]["slot"]) / 2
+    assert 0 < (found < np.inf).sum() < len(points) / 4
+
+
+def test_a_round_scores_few_members_of_each_cluster(spark):
+    points = np.random.default_rng(15).normal(size=(20_000, 5))
+    cols = [f"c{i}" for i in range(5)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "company_id long, " + ", ".join(f"{c} double" for c in cols))
+    with medoids.PointSpace(df, cols) as space:
+        fits = [tuple(medoids.Medoid(i, i, tuple(points[i])) for i in range(k)) for k in (2, 5)]
+        cells, costs = space.summarised([medoids.points_of(ms) for ms in fits], False)
+        below = {(f, s): cost for f, by_slot in enumerate(costs) for s, cost in enumerate(by_slot)}
+        groups = [medoids.points_of(ms) for ms in fits]
+        bounds = space._around_centres(groups, cells, below)
+        for (f, slot), _ in below.items():
+            label = scoring.nearest(scoring.distances(points, groups[f]))[0]
+            members = points[label == slot]
+            bound = bounds((f, slot), members, np.inf)
+            first = members[np.argsort(bound)[:16]]
+            best = scoring.distances(first, members).sum(axis=1).min()
+            assert (bound <= best).sum() <= 100
