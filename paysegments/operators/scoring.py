@@ -306,6 +306,98 @@ def swap_bound(x: np.ndarray, cell: dict[str, np.ndarray], slots: int) -> np.nda
     return (best - margin) * STEPS
 
 
+# Candidates that are bounded together: near ones, to which the same far cells mean nothing.
+TOGETHER = 64
+# Cells at a time, so that a few arrays of cells and candidates fit a core's cache.
+STRIP = 512
+# Relative error allowed for where moments are taken about one place instead of each candidate, and
+# the least distance, as a share of how far both are from that place, at which this holds.
+ROUGH, CLEAR = 1e-6, 0.05
+
+
+def expanded(cell: dict[str, np.ndarray], slots: int) -> dict[str, np.ndarray]:
+    """The described cells of a swap as polynomials in the candidate, about the middle of the cells."""
+    n, dims = cell["weight"], cell["mean"].shape[1]
+    origin = (n @ cell["mean"]) / n.sum()
+    m = (cell["mean"] - origin).T
+    pairs = Summing(dims, True).pairs
+    moved = np.zeros_like(m)
+    for i, j in pairs:
+        moved[i] += cell["cov"][i, j] * m[j]
+        if i != j:
+            moved[j] += cell["cov"][i, j] * m[i]
+    found = {"origin": origin, "n": n, "mean": np.ascontiguousarray(m), "far": np.sqrt((m * m).sum(axis=0))}
+    found["spread"] = np.stack(
+        [(m * moved).sum(axis=0), *(-2 * moved), *[cell["cov"][i, j] * (1 if i == j else 2) for i, j in pairs]]
+    )
+    for radius in ("0", "1"):
+        cross = cell["cross" + radius]
+        found["along" + radius] = 2 * np.stack([(m * cross).sum(axis=0), *-cross])
+        found["r" + radius], found["rr" + radius] = cell["r" + radius], cell["rr" + radius]
+        found["ends" + radius] = cell["widest" + radius] + cell["reach"]
+    found["member"] = (cell["slot"][:, None] == np.arange(slots)).astype(float)
+    found["lost"] = (cell["r1"] - cell["r0"]) @ found["member"]
+    found["margin"] = MARGIN * cell["r1"].sum() + 4 * n.sum() / STEPS
+    return found
+
+
+def swap_filter(x: np.ndarray, cells: dict[str, np.ndarray]) -> np.ndarray:
+    """Like ``swap_bound`` of each candidate, a little lower, from the cells as ``expanded`` gives them.
+
+    It is for candidates that lie together. Its last digits depend on which these are, so it
+    may rule out candidates but not put them in order.
+    """
+    x = x - cells["origin"]
+    dims, slots = x.shape[1], cells["member"].shape[1]
+    middle = (x.min(axis=0) + x.max(axis=0)) / 2
+    reach = np.sqrt(((x - middle) ** 2).sum(axis=1)).max() * (1 + MARGIN)
+    away = lengths(middle[None], cells["mean"].T)[0] * (1 - MARGIN) - reach
+    gains = [away < cells["ends0"], away < cells["ends1"]]
+    # all others gain nothing: those that gain on the nearest medoid first
+    order = [np.flatnonzero(gains[0]), np.flatnonzero(gains[1] & ~gains[0])]
+    x_far = np.sqrt((x * x).sum(axis=1))
+    terms = np.column_stack([np.ones(len(x)), x, *[x[:, i] * x[:, j] for i, j in Summing(dims, True).pairs]])
+    line = np.ascontiguousarray(terms[:, : 1 + dims])
+    total, by_slot, slack = np.zeros(len(x)), np.zeros((len(x), slots)), np.zeros(len(x))
+    for radii, rows in (((0, 1), order[0]), ((1,), order[1])):
+        for at in range(0, len(rows), STRIP):
+            some = rows[at : at + STRIP]
+            n, member = cells["n"][some], cells["member"][some]
+            d = lengths(x, cells["mean"][:, some].T)
+            # too near: the distance counts as 0, which is at least what the points gain
+            near = d <= CLEAR * (x_far[:, None] + cells["far"][some])
+            inverse = 1 / np.where(near, 1.0, d)
+            spread = terms @ cells["spread"][:, some]
+            spread *= inverse
+            spread *= inverse
+            nd = n * d
+            for radius in radii:
+                r, ends = cells[f"r{radius}"][some], cells[f"ends{radius}"][some]
+                squares = line @ cells[f"along{radius}"][:, some]
+                squares *= inverse
+                np.subtract(spread, squares, out=squares)
+                squares += cells[f"rr{radius}"][some]
+                squares += d * (nd - 2 * r)
+                np.maximum(squares, 0, out=squares)
+                squares *= n
+                gain = np.sqrt(squares, out=squares)
+                gain -= nd
+                gain += r
+                gain *= 0.5
+                np.maximum(gain, 0, out=gain)
+                gain[near] = np.broadcast_to(r, gain.shape)[near]
+                gain *= d * (1 - MARGIN) < ends
+                slack += n @ ends + nd.sum(axis=1)
+                found = gain @ member
+                if radius:
+                    by_slot += found
+                else:
+                    total += found.sum(axis=1)
+                    by_slot -= found
+    best = (cells["lost"] - total[:, None] - by_slot).min(axis=1)
+    return (best - ROUGH * slack - cells["margin"]) * STEPS
+
+
 # --- regions -------------------------------------------------------------------------
 
 
@@ -662,18 +754,26 @@ def within_bounds(groups: dict[tuple[int, int], tuple], coefs: dict[tuple[int, i
 
 
 def swap_bounds(levels: Sequence[dict[str, np.ndarray]], slots: int) -> Callable:
-    """The bounds of candidates for a swap, for ``lowest``: of the first level's few cells, and of
-    each further level's for those that the levels before leave."""
+    """The bounds of candidates for a swap, for ``lowest``: the cells of each level, few ones first, rule
+    out what they can. What is left is bounded by the last level's, each candidate by itself, so that it
+    has the same bound in every pass."""
+    filters = [expanded(cell, slots) for cell in levels]
 
     def bounds(group: tuple[int, int], x: np.ndarray, most: float) -> np.ndarray:
-        found, left = np.full(len(x), -np.inf), np.arange(len(x))
-        for cell in levels:
-            rows = max(1, BLOCK // 4 // len(cell["slot"]))
-            for at in range(0, len(left), rows):
-                some = left[at : at + rows]
-                found[some] = np.maximum(found[some], swap_bound(x[some], cell, slots))
-            found[found > most] = np.inf
-            left = np.flatnonzero(found < np.inf)
+        left = np.arange(len(x))
+        for cells in filters:
+            kept = [left[:0]]
+            for together in grouped(x[left], -(-len(left) // TOGETHER)):
+                some = left[together]
+                if len(some):
+                    kept.append(some[swap_filter(x[some], cells) <= most])
+            left = np.sort(np.concatenate(kept))
+        found = np.full(len(x), np.inf)
+        rows = max(1, BLOCK // 4 // len(levels[-1]["slot"]))
+        for at in range(0, len(left), rows):
+            some = left[at : at + rows]
+            found[some] = swap_bound(x[some], levels[-1], slots)
+        found[found > most] = np.inf
         return found
 
     return bounds

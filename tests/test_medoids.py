@@ -391,3 +391,36 @@ def test_a_round_scores_few_members_of_each_cluster(spark):
             first = members[np.argsort(bound)[:16]]
             best = scoring.distances(first, members).sum(axis=1).min()
             assert (bound <= best).sum() <= 100
+
+
+@pytest.mark.parametrize("cells", [1, 9, 80])
+@pytest.mark.parametrize("seed", range(3))
+def test_swap_filter_never_rules_out_too_much(seed, cells):
+    for points in (spread(seed), spread(seed) + 1e5):
+        rng = np.random.default_rng(seed)
+        weight = rng.integers(1, 5, len(points))
+        d = pairwise(points)
+        chosen = rng.choice(len(points), 4, replace=False).tolist()
+        changes = joined(scoring.swap_changes(d.astype(float), weight, d[:, chosen].astype(float))).min(axis=0)
+        described = summed(points, weight, cells, chosen, True)
+        expanded = scoring.expanded(described, 4)
+        for groups in (1, 7, len(points)):
+            for rows in scoring.grouped(points, groups):
+                assert (scoring.swap_filter(points[rows], expanded) <= changes[rows].astype(float)).all()
+
+
+def test_only_candidates_that_are_left_meet_all_cells_one_by_one(spark, monkeypatch):
+    """A candidate's bound does not depend on the others of a pass, and few candidates get one."""
+    points = np.random.default_rng(16).normal(size=(4_000, 5))
+    chosen = [0, 1, 2, 3]
+    cell = summed(points, np.ones(len(points), int), 400, chosen, True)
+    levels = [scoring.coarsened(cell, 60), cell]
+    bounds = scoring.swap_bounds(levels, 4)
+    limit = float(np.quantile(scoring.swap_bound(points, cell, 4), 0.05))
+    asked, bound = [], scoring.swap_bound
+    monkeypatch.setattr(scoring, "swap_bound", lambda x, *rest: asked.append(len(x)) or bound(x, *rest))
+    found = bounds((0, 0), points, limit)
+    assert (found <= limit).sum() == 200 and sum(asked) < 220
+    order = np.random.default_rng(17).permutation(len(points))[:3000]
+    again = bounds((0, 0), points[order], limit)
+    assert (again == found[order]).all()
